@@ -1,0 +1,102 @@
+"""Secret and personal-data spans against the stated patterns, matched by ``re``."""
+
+import hashlib
+import os
+import random
+import re
+
+import pytest
+
+from packetloom.llm import pii, secret_scan
+
+SF = "/root/testdata/sf0.001"
+FULL = "doc_id long, text string, source string, lang string, kind string, row_id int, value string"
+
+
+def luhn(s):
+    d = [int(c) for c in s][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def joined(found, order):
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted((a, order.index(k), b, k) for k, a, b in found))
+
+
+def secrets_of(t):
+    found = []
+    rx = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found += [("assign", m.start(), m.end()) for m in rx.finditer(t) if len(m[2]) >= 8]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return joined(found, ["assign", "access", "hex"])
+
+
+def private_of(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    found += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    found += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    return joined(found, ["email", "ip", "card", "phone"])
+
+
+def texts():
+    rng = random.Random(5)
+    bits = ["token", "api_key", "APIKEY", "passWD", "secret", '"', "'", " ", "=", ":", ": ", "abcdefgh", "a1b2c3d4e5f60718" * 2, "AKIA", "ABCD1234EFGH", "AKIAAKIA", "é", "😀", "\n", "x@y.z", "a.b@c-d.e_f@g.hh", "@", ".", "..", "-", "--", "  ", "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1112", "1.2.3.4", "300.1.2.3", "1.2.3.4.5.6.7.8", "007.01.02.0255", "+1 (017) 555-7713", "+49", "(030)", "12", "7", "0"]
+    out = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    out += ["", " ", "\n", "9" * 20000, "1 " * 20000, "a." * 20000 + "@b" + ".c" * 20000, "a1b2" * 10000, "token=" * 5000, "+1" + " " * 20000 + "2", "x@" + "y." * 5000]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, f"s{i % 7}", "en", "clash", 1, "v") for i, t in enumerate([*texts(), None])], FULL)
+
+
+@pytest.mark.parametrize("module", [secret_scan, pii])
+def test_base_spans_match_the_patterns(spark, docs, module):
+    if module is pii:
+        found = {r.doc_id: r for r in module.find_pii(docs).select("doc_id", module.text_of(module.F.col("base_spans")).alias("s")).collect()}
+        want = private_of
+    else:
+        out = module.secret_scan(docs, docs["source"], docs["source"])
+        found = {r.doc_id: r for r in out.select("doc_id", module.text_of(module.F.col("base_spans")).alias("s")).collect()}
+        want = secrets_of
+    for i, t in enumerate([*texts(), None]):
+        assert found[i].s == want(t or ""), (i, (t or "")[:200])
+
+
+@pytest.mark.parametrize("module, want", [(secret_scan, secrets_of), (pii, private_of)])
+def test_query_over_the_whole_table(spark, module, want):
+    rows = {r.doc_id: r for r in module.query(spark, SF).collect()}
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(texts)
+    for i, t in texts:
+        base = want(t or "")
+        assert rows[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(rows[i].spans.split(","))
+
+
+@pytest.mark.parametrize("module", [secret_scan, pii])
+def test_empty_table(spark, docs, module):
+    none = docs.limit(0)
+    out = module.find_pii(none) if module is pii else module.secret_scan(none, none["source"], none["source"])
+    assert out.count() == 0
+
+
+def test_ownership_separates_examples_from_live_credentials(spark):
+    rows = [(i, 'token = "9f86d081884c7d659a2feaa0"', f"repo{i}", f"owner{i % 5}") for i in range(20)]
+    rows += [(100, "password: Zx81qLp02vTn", "repo1", "owner1"), (101, "password: aaaaaaaaaaaa", "repo1", "owner1"), (102, None, None, None), (102, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, who string")
+    out = secret_scan.secret_scan(docs, docs["repo"], docs["who"]).collect()
+    by = {r.doc_id: (r.n_live, r.n_example, r.n_weak) for r in out}
+    assert len(out) == 24 and by[0] == (0, 1, 0) and by[100] == (1, 0, 0) and by[101] == (0, 0, 1) and by[102] == (0, 0, 0)
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    """Tokens that stand where many known ones stand are found; tokens elsewhere are not."""
+    rows = [(i, f"Mail it now. customer ip 10.0.0.{i} then go.") for i in range(40)]
+    rows += [(100, "So customer ip 10x0x0x7 then go."), (101, "In the year 2024x1 it rained.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [s.kind for s in r.pii_spans] for r in pii.find_pii(docs).collect()}
+    assert found[0] == ["ip"] and found[100] == ["context"] and found[101] == []
