@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules, secret_scan
+from . import jaccard, langid, media, mixing, nbsvm, packing, pii, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_quality_classifier": nbsvm.query,
+    "op3_jaccard_join": jaccard.query,
     "op4_secret_scan": secret_scan.query,
+    "op5_source_mixing": mixing.query,
+    "op6_best_fit_packing": packing.query,
+    "op7_warc": warc.query,
+    "op8_media_chunks": media.query,
+    "op9_language_id": langid.query,
     "op10_pii": pii.query,
 }
 
-ORACLE_SQL = {"op1_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_source_mixing": mixing.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
+}
