@@ -103,21 +103,15 @@ def bootstrap(instances: DataFrame, rounds: int = 3, min_score: float = 0.8, min
     return known
 
 
-def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
-    """``doc_id``, ``row_id`` and the spans of every row: ``base_spans`` and ``pii_spans`` (all).
-
-    The added kind is ``context``: a token with a digit that no base span touches and
-    that the rounds have found. Null and empty texts have no spans; repeated rows have
-    equal spans; other columns of ``docs`` don't matter.
-    """
-    body = docs.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scanned = body.select("row_id", "doc_id", F.concat(*_base_spans(F.col("text"))).alias("base"), tokens(F.col("text")).alias("tokens"))
+def _found(rows: DataFrame, carried: list[str], rounds: int) -> DataFrame:
+    """``carried`` and the spans of ``rows`` (``carried``, text), which are written with their tokens once."""
+    scanned = rows.select(*carried, F.concat(*_base_spans(F.col("text"))).alias("base"), tokens(F.col("text")).alias("tokens"), F.monotonically_increasing_id().alias("row_id"))
     lean = lambda s: F.struct(s["start"], s["ord"], s["stop"], s["kind"], F.lit("").alias("value"))
     touched = lambda t: F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
     token = lambda t: F.struct(
         t["start"].alias("start"), t["stop"].alias("stop"), F.xxhash64(t["value"]).alias("value"), F.xxhash64(t["left"], shape(t["value"])).alias("pattern"), touched(t).cast("int").alias("seed")
     )
-    scanned = stage(scanned.select("row_id", "doc_id", F.transform("base", lean).cast(SPAN).alias("base_spans"), F.transform("tokens", token).alias("tokens")), "pii")
+    scanned = stage(scanned.select(*carried, "row_id", F.transform("base", lean).cast(SPAN).alias("base_spans"), F.transform("tokens", token).alias("tokens")), "pii")
     each = scanned.select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")
     edges = stage(each.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
     known = bootstrap(edges, rounds)
@@ -126,7 +120,37 @@ def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
         F.collect_list(F.struct("start", F.lit(4).alias("ord"), "stop", F.lit("context").alias("kind"), F.lit("").alias("value"))).cast(SPAN).alias("more")
     )
     out = scanned.drop("tokens").join(hits, "row_id", "left")
-    return out.select("doc_id", "row_id", "base_spans", F.sort_array(F.concat("base_spans", F.coalesce("more", F.array().cast(SPAN)))).alias("pii_spans"))
+    return out.select(*carried, "row_id", "base_spans", F.sort_array(F.concat("base_spans", F.coalesce("more", F.array().cast(SPAN)))).alias("pii_spans"))
+
+
+def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
+    """``doc_id``, ``row_id`` and the spans of every row: ``base_spans`` and ``pii_spans`` (all).
+
+    The added kind is ``context``: a token with a digit that no base span touches and
+    that the rounds have found. Null and empty texts have no spans; repeated rows have
+    equal spans; other columns of ``docs`` don't matter.
+    """
+    return _found(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")), ["doc_id"], rounds)
+
+
+def redact(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
+    """``docs`` with every span of personal data in ``text`` replaced by its kind: ``<email>``.
+
+    All rows and columns stay, whatever their names. Spans that overlap are replaced
+    together, under the kind of the first. A null text stays null.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = _found(rows, ["row"], rounds)
+    body = F.col("row").getField(text)
+
+    def step(acc: Column, s: Column) -> Column:
+        part = F.concat(acc["out"], body.substr(acc["at"] + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
+        return F.struct(F.greatest(acc["at"], s["stop"].cast("int")).alias("at"), F.when(s["start"] >= acc["at"], part).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("pii_spans", zero, step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body))))
+    clean = F.when(F.size("pii_spans") == 0, body).otherwise(clean)
+    return found.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
