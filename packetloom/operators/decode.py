@@ -144,7 +144,10 @@ def decode(raw: DataFrame) -> DataFrame:
         "payload": payload,
         "arp": F.when(is_arp & F.col("decode_error").isNull(), arp),
     })
-    return df.drop("_v6", "_bad", "_proto", "_l4", "_end", "_cut", "_tcp", "_udp", "_icmp", "_off", "_uend", "l3", "ether_type", "outer_mac")
+    df = df.drop("_v6", "_bad", "_proto", "_l4", "_end", "_cut", "_tcp", "_udp", "_icmp", "_off", "_uend", "l3", "ether_type", "outer_mac")
+    # A generator of one row: filters on decoded columns stay above it. Pushed below,
+    # each would carry the whole decoder with it, many times over.
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def service(src_port: Column, dst_port: Column) -> Column:
