@@ -1,7 +1,14 @@
-"""The library's queries over the driver's tables, and the SQL that gives the same rows."""
+"""The library's queries over the driver's tables, and the SQL that gives the same rows.
+
+No table holds packets, so ``virtual`` makes a capture of the events: each event is a
+frame, built as bytes and then decoded by the operators of the library. The SQL states
+the expected rows from the events themselves.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import virtual_queries
+
+FLAGSHIP = "capture_totals"
+QUERIES = dict(virtual_queries.QUERIES)
+ORACLE_SQL = dict(virtual_queries.ORACLE_SQL)
