@@ -145,7 +145,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-6, block: int = 1024, block_shingles: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-6, block: int = 256, block_shingles: int = 2_000_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, n_links, copies.
 
     ``class_id`` is the least doc_id among the documents that links join, over any
