@@ -39,9 +39,11 @@ def _new(classes: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in out.items()}
 
 
-def _run(p: dict, d: str, codes: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+def _run(p: dict, d: str, codes: np.ndarray, keep: bool, real: np.ndarray | None = None) -> tuple[np.ndarray, list]:
     """States after each step: (steps, rows, HIDDEN). ``codes``: (steps, rows) bytes in running order.
 
+    ``real`` marks the steps that are no padding; before a row's first such step its state stays zero.
+
     Gates are logistic functions, computed as tanh of half the input.
     """
     h = HIDDEN
@@ -64,6 +66,8 @@ def _run(p: dict, d: str, codes: np.ndarray, keep: bool) -> tuple[np.ndarray, li
         if keep:
             kept.append((state, z, r, own, c))
         state = c + z * (state - c)
+        if real is not None and not real[t].all():
+            state = state * real[t][:, None]
         states[t] = state
     return states, kept
 
@@ -73,10 +77,10 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
-def position_log_probabilities(p: dict, codes: np.ndarray) -> np.ndarray:
-    """(steps, rows, classes) for windows of bytes, codes (steps, rows)."""
+def position_log_probabilities(p: dict, codes: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """(steps, rows, classes) for windows of bytes, codes (steps, rows), of which ``real`` are no padding."""
     forward, _ = _run(p, "f", codes, False)
-    backward, _ = _run(p, "b", codes[::-1], False)
+    backward, _ = _run(p, "b", codes[::-1], False, real[::-1].astype(np.float32))
     h = HIDDEN
     return _log_softmax(forward @ p["v"][:h] + backward[::-1] @ p["v"][h:] + p["o"])
 
@@ -171,13 +175,14 @@ def pooled(model: Model, column: pa.Array, most: int = 1 << 19) -> np.ndarray:
             spots = begin[w][None, :] + np.arange(steps)[:, None]
             real = np.arange(steps)[:, None] < count[w][None, :]
             codes = np.where(real, data[np.minimum(spots, len(data) - 1)], np.uint8(32))
-            log_p = position_log_probabilities(model.params, codes)
+            log_p = position_log_probabilities(model.params, codes, real)
             np.add.at(total, doc[w], (log_p * real[:, :, None]).sum(axis=0))
         mean = total / np.maximum(size, 1)[:, None]
         # neighbouring positions see the same letters: the pool counts as that of one word in six bytes, 200 at most
         logits = mean * np.minimum(np.maximum(size, 1), 1200)[:, None] / 6
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        out[first : first + len(part)] = p / p.sum(axis=1, keepdims=True)
+        # rounded, as matrix products of other sizes differ in their last bits
+        out[first : first + len(part)] = np.round(p / p.sum(axis=1, keepdims=True), 5)
     return out
 
 

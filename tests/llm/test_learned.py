@@ -92,4 +92,4 @@ def test_windows_are_labelled_alike_wherever_they_run():
     texts = ["aaa ddd " * 100, "b", None, "ccc " * 7]
     whole = langid.pooled(model, pa.array(texts))
     alone = np.concatenate([langid.pooled(model, pa.array([t])) for t in texts if t])
-    assert np.allclose(whole[[0, 1, 3]], alone, atol=1e-5)
+    assert np.allclose(whole[[0, 1, 3]], alone, atol=2e-5)
