@@ -18,13 +18,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
     both = stage(both, "cc-edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "cc-labels")
+    # Files of some 200,000 rows: rounds over small tables don't write a file for each shuffle partition.
+    files = 1 + both.count() // 200_000
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")).coalesce(files), "cc-labels")
     for _ in range(most_rounds):
         seen = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         near = labels.join(seen, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # labels of labels: the jump that halves long paths
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = stage(near.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), "cc-labels")
+        moved = stage(near.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")).coalesce(files), "cc-labels")
         labels = moved.select("node", "label")
         if moved.where("label <> old").isEmpty():
             return labels
