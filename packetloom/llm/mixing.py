@@ -56,9 +56,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
         counts = counts.join(listed, "_source")
     else:
         counts = counts.withColumn("_weight", F.lit(1.0))
-    total = docs.groupBy().agg(F.count("*").alias("_rows"))
-    shares = counts.groupBy().agg(F.sum("_weight").alias("_sum"), F.count("*").alias("_sources")).crossJoin(total).first()
-    mean = F.col("_weight") / F.lit(float(shares["_sum"] or 1.0)) * F.lit(float(size * shares["_rows"])) / F.col("_n")
+    rows = docs.count()
+    shares = counts.groupBy().agg(F.sum("_weight").alias("_sum"), F.count("*").alias("_sources")).first()
+    mean = F.col("_weight") / F.lit(float(shares["_sum"] or 1.0)) * F.lit(float(size * rows)) / F.col("_n")
     rates = counts.select("_source", poisson_steps(mean).alias("_steps"))
     docs = docs.withColumn("_source", name)
     if shares["_sources"] <= BROADCAST_SOURCES:

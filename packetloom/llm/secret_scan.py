@@ -66,7 +66,7 @@ def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """
     one = found.select("secret", "random", repository.alias("repository"), owner.alias("owner"))
     pairs = one.groupBy("secret", "repository", "owner").agg(F.count("*").alias("places"), F.max("random").alias("random"))
-    by_owner = pairs.groupBy("secret", "owner").agg(F.sum("places").alias("places"), F.collect_set("repository").alias("r"), F.max("random").alias("random"))
+    by_owner = pairs.groupBy("secret", "owner").agg(F.sum("places").alias("places"), F.max("random").alias("random"))
     repositories = pairs.select("secret", "repository").distinct().groupBy("secret").agg(F.count("repository").alias("n_repositories"))
     owners = by_owner.groupBy("secret").agg(F.sum("places").alias("places"), F.count("owner").alias("n_owners"), F.max("random").alias("random"))
     return owners.join(repositories, "secret")
