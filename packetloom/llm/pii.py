@@ -56,9 +56,11 @@ def _left(gap: Column, words: int = 2) -> Column:
 
 
 def shape(value: Column) -> Column:
-    """Digits as 0, letters as a, with their numbers up to 32 in steps of powers of two: ``a8:0``."""
-    kinds = F.concat(F.when(value.rlike("[0-9]"), "0").otherwise(""), F.when(value.rlike(r"\p{L}"), "a").otherwise(""), F.when(value.rlike("[@:/]"), ":").otherwise(""))
-    return F.concat(kinds, F.least(F.lit(5), F.floor(F.log2(F.length(value).cast("double")))).cast("string"))
+    """Its length up to 32 in steps of powers of two, and whether it holds one of ``@:/``: ``:4``.
+
+    Letters and digits count alike, so a disguised identifier has the shape of a known one.
+    """
+    return F.concat(F.when(value.rlike("[@:/]"), ":").otherwise(""), F.least(F.lit(5), F.floor(F.log2(F.length(value).cast("double")))).cast("string"))
 
 
 def tokens(text: Column) -> Column:
