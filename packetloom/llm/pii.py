@@ -1,15 +1,17 @@
 r"""Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Four patterns find e-mail addresses, IP addresses, payment cards and telephone numbers.
-These seeds induce lexical patterns: the words before an entity together with its shape.
-Spark scores the graph of patterns and instances in rounds: a pattern is as good as the
-share of its occurrences that are known, an instance as good as its best patterns
-together. Instances of good patterns are known in the next round, so unseen identifiers
-that stand where known ones stand are found.
+These seeds, whole spans with or without spaces and digits, induce lexical patterns: the
+two words before an entity and the word behind it. Spark scores patterns and instances in
+rounds: a pattern by the known values in its place, a run of words by how often it stands
+in the places of good patterns. What is found adds contexts of its own, until nothing new
+is known, so unseen identifiers of any form that stand where known ones stand are found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP_VALID = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: A run of characters other than white space with a digit in it.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Words in an instance at most: a card in groups of four has four, a spaced telephone number three to six.
+MOST = 8
 
 
 def digits(value: Column) -> Column:
@@ -48,102 +50,175 @@ def _base_spans(text: Column) -> list[Column]:
     return [emails, ips, cards, phones]
 
 
-def _left(gap: Column, words: int = 2) -> Column:
-    """The last words before a token on its line, lower case; ``^`` at a line's start."""
-    line = F.element_at(F.split(F.right(gap, F.lit(64)), "\n", -1), -1)
-    before = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.lower(F.concat_ws(" ", F.lit("^"), F.slice(before, F.greatest(F.lit(1), F.size(before) - words + 1), words)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shape(value: Column) -> Column:
-    """Its length up to 32 in steps of powers of two, and whether it holds one of ``@:/``: ``:4``.
+def units(text: Column) -> Column:
+    """Words with the white space behind them; a word also ends behind ``:`` or ``=``.
 
-    Letters and digits count alike, so a disguised identifier has the shape of a known one.
+    Joined, they are the text between ``^ ^`` and ``$``, which stand for its ends.
     """
-    return F.concat(F.when(value.rlike("[@:/]"), ":").otherwise(""), F.least(F.lit(5), F.floor(F.log2(F.length(value).cast("double")))).cast("string"))
-
-
-def tokens(text: Column) -> Column:
-    """Tokens with a digit: start, stop, left (the words before), value. At least five characters count."""
-    matches = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    gaps = F.split(text, TOKEN, -1)
-    kind = "array<struct<start:bigint,stop:bigint,left:string,value:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        bare = F.regexp_extract(x["match"], r"^[^0-9\p{L}+]*+(.*?)[^0-9\p{L}]*$", 1)
-        first = start + F.length(F.regexp_extract(x["match"], r"^[^0-9\p{L}+]*+", 0))
-        one = F.struct(first.alias("start"), (first + F.length(bare)).alias("stop"), _left(x["gap"]).alias("left"), bare.alias("value"))
-        return F.struct((start + F.length(x["match"])).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("found"))
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["found"])
-    found = F.filter(found, lambda t: F.length(t["value"]) >= 5)
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(kind))
-
-
-def bootstrap(instances: DataFrame, rounds: int = 3, min_score: float = 0.8, min_support: int = 3) -> DataFrame:
-    """Known instances after ``rounds`` of scoring.
-
-    ``instances``: pattern, value (a hash), seed (long: 1 if a base pattern covers it),
-    n (occurrences), one row for each edge of the graph. A pattern's score is
-    (known + 0) / (all + 1) of its distinct values, for patterns with at least
-    ``min_support`` known values; a value's score is 1 less the product of (1 - score)
-    over its patterns. Values of at least ``min_score`` are known from then on.
-    Returns value, score of the values that were found.
+    return F.filter(F.split(F.concat(F.lit("^ ^ "), text, F.lit(" $ ")), r"(?<=[\x20\x09-\x0D:=])(?![\x20\x09-\x0D])", -1), lambda u: u != "")
+
+
+def _word(unit: Column) -> Column:
+    return F.lower(F.rtrim(unit, F.lit(" \t\n\v\f\r")))
+
+
+def _bare(run: Column) -> Column:
+    """A run of words without the punctuation around it."""
+    return F.regexp_extract(run, r"(?s)^[^0-9\p{L}+]*+(.*?)[^0-9\p{L}]*$", 1)
+
+
+def _value(run: Column) -> Column:
+    return F.xxhash64(F.lower(_bare(run)))
+
+
+def _seeds(text: Column, base: Column) -> Column:
+    """left, right and value of each base span: the words before and behind it, and the whole span."""
+
+    def one(s: Column) -> Column:
+        # Punctuation that touches the span belongs to neither side.
+        low = F.greatest(F.lit(0).cast("bigint"), s["start"] - 256)
+        front = F.regexp_replace(text.substr((low + 1).cast("int"), (s["start"] - low).cast("int")), r"(?<=[\x20\x09-\x0D:=]|^)[^0-9\p{L}\x20\x09-\x0D:=]+$", "")
+        back = F.regexp_replace(text.substr((s["stop"] + 1).cast("int"), F.lit(256)), r"^[^0-9\p{L}\x20\x09-\x0D]+", "")
+        left = let(F.transform(units(front), _word), lambda w: F.xxhash64(F.get(w, F.size(w) - 3), F.get(w, F.size(w) - 2)))
+        right = F.xxhash64(_word(F.get(units(back), F.lit(2))))
+        return F.struct(left.alias("left"), right.alias("right"), _value(s["value"]).alias("value"))
+
+    return F.transform(base, one)
+
+
+def _places(docs: DataFrame, key: str) -> DataFrame:
+    """row_id, i, left, window for each word of ``docs`` (row_id, text), and ``first`` if that is the key."""
+
+    def at(u: Column, w: Column) -> Column:
+        def one(i: Column) -> Column:
+            first = [_value(F.get(u, i)).alias("first")] if key == "first" else []
+            return F.struct(i.alias("i"), F.xxhash64(F.get(w, i - 2), F.get(w, i - 1)).alias("left"), *first, F.slice(u, i + 1, F.lit(MOST + 1)).alias("window"))
+
+        return F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(u) - 2)), one)
+
+    each = docs.select("row_id", F.explode(let(units(F.col("text")), lambda u: let(F.transform(u, _word), lambda w: at(u, w)))).alias("p"))
+    return each.select("row_id", "p.*")
+
+
+def _run(j: Column) -> Column:
+    return F.array_join(F.slice("window", F.lit(1), j), "")
+
+
+def _in_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The runs of at most ``MOST`` words that stand between the words of ``patterns`` (left, right)."""
+    met = _places(docs, "left").join(F.broadcast(patterns), "left")
+    behind = F.transform(F.slice("window", F.lit(2), F.lit(MOST)), lambda u: F.xxhash64(_word(u)))
+    met = met.withColumn("j", F.array_position(behind, F.col("right")).cast("int")).where("j > 0").withColumn("run", _run(F.col("j")))
+    return met.where(_bare(F.col("run")) != "").select("left", "right", _value(F.col("run")).alias("value"), _value(F.get("window", F.lit(0))).alias("first"))
+
+
+def _of_values(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """Every place of ``values`` (value, first) in ``docs``: row_id, i, j (words), left, right, value."""
+    met = _places(docs, "first").join(F.broadcast(values.select("first").distinct()), "first")
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST), F.size("window") - 1)), lambda j: F.struct(j.alias("j"), _value(_run(j)).alias("value"), F.xxhash64(_word(F.get("window", j))).alias("right")))
+    each = met.where(F.size("window") > 1).select("row_id", "i", "left", F.explode(runs).alias("r")).select("row_id", "i", "left", "r.*")
+    return each.join(F.broadcast(values.select("value").distinct()), "value").select("row_id", "i", "j", "left", "right", "value")
+
+
+def bootstrap(docs: DataFrame, seeds: DataFrame, rounds: int | None = None, min_support: int = 3, min_score: float = 1.0, min_share: float = 0.1) -> DataFrame | None:
+    """Places (row_id, i, j) of the values that are found beyond ``seeds`` (left, right, value); None if there are none.
+
+    A pattern with k known of n distinct values in its place scores k / n * log2(k); it
+    is good from ``min_score`` and ``min_support`` known values on, so the more known values
+    it has, the more new ones may stand beside them. A value in a good pattern's place is
+    known from then on, unless less than ``min_share`` of its places in all texts are
+    those of good patterns, as with common words. Rounds end when nothing new is known,
+    or after ``rounds``.
     """
-    edges = instances
-    known = edges.where("seed = 1").select("value").distinct().withColumn("score", F.lit(1.0))
-    for turn in range(rounds):
-        marked = edges.join(known.select("value", F.lit(1).alias("known")), "value", "left").fillna(0, ["known"])
-        patterns = marked.groupBy("pattern").agg(F.sum("known").alias("k"), F.count("*").alias("all"))
-        good = patterns.where(F.col("k") >= min_support).select("pattern", (F.col("k") / (F.col("all") + 1)).alias("p")).where(F.col("p") >= 0.5)
-        scores = edges.join(good, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
-        more = scores.where(F.col("score") >= min_score)
-        known = stage(known.unionByName(more).groupBy("value").agg(F.max("score").alias("score")), f"pii-known-{turn}")
-    return known
-
-
-def _found(rows: DataFrame, carried: list[str], rounds: int) -> DataFrame:
-    """``carried`` and the spans of ``rows`` (``carried``, text), which are written with their tokens once."""
-    scanned = rows.select(*carried, F.concat(*_base_spans(F.col("text"))).alias("base"), tokens(F.col("text")).alias("tokens"), F.monotonically_increasing_id().alias("row_id"))
+    pair = ["left", "right"]
+    votes = stage(seeds.distinct(), "pii-votes")
+    known = votes.select("value").distinct()
+    looked = inside = places = tried = None
+    found: DataFrame | None = None
+    turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        hopeful = votes.groupBy(*pair, "value").count().groupBy(*pair).agg(F.count("*").alias("k")).where(F.col("k") >= min_support).select(*pair)
+        hopeful = stage(hopeful if looked is None else hopeful.join(looked, pair, "left_anti"), "pii-patterns")
+        if not hopeful.isEmpty():
+            looked = hopeful if looked is None else looked.unionByName(hopeful)
+            more = stage(_in_patterns(docs, hopeful).groupBy(*pair, "value", "first").agg(F.count("*").alias("n")), "pii-inside")
+            inside = more if inside is None else inside.unionByName(more)
+        if inside is None:
+            break
+        edges = inside.groupBy(*pair, "value").agg(F.sum("n").alias("n")).join(known.withColumn("known", F.lit(1)), "value", "left")
+        scored = edges.groupBy(*pair).agg(F.count("known").alias("k"), F.count("*").alias("all")).where(F.col("k") >= min_support)
+        good = scored.where(F.col("k") / F.col("all") * F.log2(F.col("k").cast("double")) >= min_score).select(*pair)
+        # A place between two good patterns' words counts once for each, at most as often as it stands in the texts.
+        mine = inside.join(F.broadcast(good), pair).groupBy("value", "first").agg(F.sum("n").alias("n")).join(known, "value", "left_anti")
+        mine = stage(mine, "pii-mine")
+        fresh = mine if tried is None else mine.join(tried, "value", "left_anti")
+        fresh = stage(fresh.select("value", "first"), "pii-fresh")
+        if not fresh.isEmpty():
+            more = stage(_of_values(docs, fresh), "pii-places")
+            places = more if places is None else places.unionByName(more)
+            tried = fresh.select("value").distinct() if tried is None else tried.unionByName(fresh.select("value").distinct())
+        if places is None:
+            break
+        total = places.groupBy("value").agg(F.count("*").alias("total"))
+        new = mine.groupBy("value").agg(F.sum("n").alias("n")).join(total, "value").where(F.col("n") >= min_share * F.col("total")).select("value")
+        new = stage(new, "pii-new")
+        if new.isEmpty():
+            break
+        known = stage(known.unionByName(new), "pii-known")
+        found = new if found is None else found.unionByName(new)
+        votes = stage(votes.unionByName(places.join(F.broadcast(new), "value").select(*pair, "value")).distinct(), "pii-votes")
+    return None if found is None else places.join(F.broadcast(found), "value").select("row_id", "i", "j")
+
+
+def _found(rows: DataFrame, carried: list[str], body: Column, rounds: int | None) -> DataFrame:
+    """``carried`` and the spans of ``rows``, whose text is ``body``. They are written once with their seeds."""
     lean = lambda s: F.struct(s["start"], s["ord"], s["stop"], s["kind"], F.lit("").alias("value"))
-    touched = lambda t: F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
-    token = lambda t: F.struct(
-        t["start"].alias("start"), t["stop"].alias("stop"), F.xxhash64(t["value"]).alias("value"), F.xxhash64(t["left"], shape(t["value"])).alias("pattern"), touched(t).cast("int").alias("seed")
-    )
-    scanned = stage(scanned.select(*carried, "row_id", F.transform("base", lean).cast(SPAN).alias("base_spans"), F.transform("tokens", token).alias("tokens")), "pii")
-    each = scanned.select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")
-    edges = stage(each.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
-    known = bootstrap(edges, rounds)
-    unseen = edges.groupBy("value").agg(F.max("seed").alias("seed")).where("seed = 0").select("value").join(known.select("value"), "value")
-    hits = each.where("seed = 0").join(unseen, "value").groupBy("row_id").agg(
-        F.collect_list(F.struct("start", F.lit(4).alias("ord"), "stop", F.lit("context").alias("kind"), F.lit("").alias("value"))).cast(SPAN).alias("more")
-    )
-    out = scanned.drop("tokens").join(hits, "row_id", "left")
-    return out.select(*carried, "row_id", "base_spans", F.sort_array(F.concat("base_spans", F.coalesce("more", F.array().cast(SPAN)))).alias("pii_spans"))
-
-
-def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
+    scanned = rows.select(*carried, F.concat(*_base_spans(body)).alias("base"), F.monotonically_increasing_id().alias("row_id"))
+    scanned = stage(scanned.select(*carried, "row_id", F.transform("base", lean).cast(SPAN).alias("base_spans"), _seeds(body, F.col("base")).alias("seeds")), "pii")
+    seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*")
+    places = bootstrap(scanned.select("row_id", body.alias("text")), seeds, rounds)
+    scanned = scanned.drop("seeds")
+    if places is None:
+        return scanned.withColumn("pii_spans", F.sort_array("base_spans"))
+    hits = stage(places.groupBy("row_id").agg(F.collect_set(F.struct("i", "j")).alias("hits")), "pii-hits")
+
+    def span(u: Column, h: Column) -> Column:
+        start = F.aggregate(F.slice(u, F.lit(1), h["i"]), F.lit(-4).cast("bigint"), lambda a, x: a + F.length(x))
+        run = F.array_join(F.slice(u, h["i"] + 1, h["j"]), "")
+        first = start + F.length(F.regexp_extract(run, r"^[^0-9\p{L}+]*+", 0))
+        return F.struct(first.alias("start"), F.lit(4).alias("ord"), (first + F.length(_bare(run))).alias("stop"), F.lit("context").alias("kind"), F.lit("").alias("value"))
+
+    more = F.when(F.col("hits").isNotNull(), let(units(body), lambda u: F.transform("hits", lambda h: span(u, h)))).otherwise(F.array()).cast(SPAN)
+    touched = lambda t: F.exists("base_spans", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
+    out = scanned.join(hits, "row_id", "left").withColumn("more", more)
+    return out.select(*carried, "row_id", "base_spans", F.sort_array(F.concat("base_spans", F.filter("more", lambda t: ~touched(t)))).alias("pii_spans"))
+
+
+def find_pii(docs: DataFrame, text: str = "text", rounds: int | None = None) -> DataFrame:
     """``doc_id``, ``row_id`` and the spans of every row: ``base_spans`` and ``pii_spans`` (all).
 
-    The added kind is ``context``: a token with a digit that no base span touches and
-    that the rounds have found. Null and empty texts have no spans; repeated rows have
+    The added kind is ``context``: a run of words that no base span touches and that
+    the rounds have found. Null and empty texts have no spans; repeated rows have
     equal spans; other columns of ``docs`` don't matter.
     """
-    return _found(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")), ["doc_id"], rounds)
+    return _found(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")), ["doc_id", "text"], F.col("text"), rounds).drop("text")
 
 
-def redact(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", rounds: int | None = None) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind: ``<email>``.
 
     All rows and columns stay, whatever their names. Spans that overlap are replaced
     together, under the kind of the first. A null text stays null.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = _found(rows, ["row"], rounds)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     body = F.col("row").getField(text)
+    found = _found(rows, ["row"], F.coalesce(body, F.lit("")), rounds)
 
     def step(acc: Column, s: Column) -> Column:
         part = F.concat(acc["out"], body.substr(acc["at"] + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))

@@ -100,3 +100,40 @@ def test_contexts_find_unseen_identifiers(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: [s.kind for s in r.pii_spans] for r in pii.find_pii(docs).collect()}
     assert found[0] == ["ip"] and found[100] == ["context"] and found[101] == []
+
+
+def context_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    return {r.doc_id: [text[r.doc_id][s.start : s.stop] for s in r.pii_spans if s.kind == "context"] for r in pii.find_pii(docs).collect()}
+
+
+def test_spaced_phones_grouped_cards_and_plain_mails_are_seeds(spark):
+    card = lambda i: next(c for c in (f"4111 1111 {i:04d} {k:04d}" for k in range(10)) if luhn(c.replace(" ", "")))
+    name = lambda i: "abcdefghij"[i // 10] + "klmnopqrst"[i % 10]
+    rows = [(i, f"So ring us on +1 ({i:03d}) 555-77{i:02d} after noon.") for i in range(12)]
+    rows += [(100 + i, f"It was charged to {card(i)} in full.") for i in range(12)]
+    rows += [(200 + i, f"Please write to {name(i)}@mail.example soon.") for i in range(12)]
+    rows += [(300, "So ring us on 017 555 7713 after noon."), (301, "It was charged to 4111 1111 2222 333x in full."), (302, "Please write to anna at mail dot example soon."), (303, "It was noon and they walked in full light.")]
+    found = context_of(spark, rows)
+    assert found.pop(300) == ["017 555 7713"] and found.pop(301) == ["4111 1111 2222 333x"] and found.pop(302) == ["anna at mail dot example"]
+    assert not any(found.values())
+
+
+def test_many_new_values_stand_beside_known_ones(spark):
+    rows = [(i, f"The customer ip 10.0.0.{i} then left.") for i in range(20)] + [(100 + i, f"The customer ip host{i}x then left.") for i in range(20)]
+    found = context_of(spark, rows)
+    assert all(found[100 + i] == [f"host{i}x"] for i in range(20))
+
+
+def test_found_values_bring_contexts_of_their_own(spark):
+    """Three new values stand between other words, which find a value that no seed's context has."""
+    rows = [(i, f"The customer ip 10.0.0.{i} then left.") for i in range(20)] + [(100 + i, f"The customer ip host{i}x then left.") for i in range(6)]
+    rows += [(200 + i, f"We saw machine host{i}x go down.") for i in range(6)] + [(300, "We saw machine old gateway go down.")]
+    found = context_of(spark, rows)
+    assert found[200] == ["host0x"] and found[300] == ["old gateway"]
+
+
+def test_common_words_in_a_good_place_stay(spark):
+    rows = [(i, f"The customer ip 10.0.0.{i} then left.") for i in range(20)] + [(100, "The customer ip alone then left.")] + [(200 + i, f"He sat alone by {i} trees.") for i in range(30)]
+    assert not any(context_of(spark, rows).values())
