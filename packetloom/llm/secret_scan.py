@@ -1,8 +1,8 @@
 r"""Secret scanning with corpus-wide ownership, with DataFrame functions only.
 
 Candidates are found per document. Their value hashes are then counted over the whole
-corpus by distinct repositories and owners: a value that many owners hold is a copied
-example, one that few hold and that looks random is taken for a live credential.
+corpus by distinct repositories and owners: a value that many owners hold or that many
+repositories contain is a copied example, one that few hold and that looks random is taken for a live credential.
 """
 
 from __future__ import annotations
@@ -19,7 +19,12 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 #: The kinds beyond the base: signed tokens, key blocks, passwords in URLs, issued tokens.
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
-PEM = r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"
+#: A key block through its END line, or where that is missing the long lines behind its header.
+PEM = (
+    r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"
+    r"(?:(?:(?:[\x20\x09-\x0D]|\\[nr]){0,4}[A-Za-z-]{1,32}:\x20[^\r\n]{1,200}){0,8}[A-Za-z0-9+/=\x20\x09-\x0D\\]*+-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"
+    r"|(?:(?:[\x20\x09-\x0D]|\\[nr]){0,4}[A-Za-z0-9+/]{16,}+={0,2}){0,512})"
+)
 URL = r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+]{1,15}://[^\x20\x09-\x0D/:@]{1,128}:[^\x20\x09-\x0D/@]{3,256}@"
 ISSUED = r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk-[A-Za-z0-9_-]{32,}+|AIza[A-Za-z0-9_-]{35})"
 BASE_KINDS = ("assign", "access", "hex")
@@ -48,8 +53,9 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def credential(span: Column) -> Column:
-    """What is secret in a span: of an assignment its right side, else the whole match."""
-    return F.when(span["kind"] == "assign", F.regexp_extract(span["value"], f"{ASSIGN}({VALUE})", 1)).otherwise(span["value"])
+    """What is secret in a span: of an assignment its right side, of a key block what is between its BEGIN and END lines, however broken into lines; else the whole match."""
+    body = F.regexp_replace(span["value"], r"-----(?:BEGIN|END) [A-Z\x20]*+-----|\\[nr]|[^A-Za-z0-9+/=]", "")
+    return F.when(span["kind"] == "assign", F.regexp_extract(span["value"], f"{ASSIGN}({VALUE})", 1)).when(span["kind"] == "pem", body).otherwise(span["value"])
 
 
 def looks_random(value: Column, min_chars: int = 8) -> Column:
@@ -72,13 +78,14 @@ def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
     return owners.join(repositories, "secret")
 
 
-def secret_scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text", max_owners: int = 2) -> DataFrame:
+def secret_scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text", max_owners: int = 2, max_repositories: int = 5) -> DataFrame:
     """Scan every row of ``docs`` and judge each credential by who holds it.
 
     Returns ``doc_id`` and every column needed to redact: secret_spans, base_spans,
-    n_live, n_example, n_weak. A credential held by more than ``max_owners`` owners is
-    an example; one of few owners is live if it looks random, else weak. Credentials
-    are counted once for each distinct value of a row.
+    n_live, n_example, n_weak, and n_repositories and n_owners of the row's most widely
+    held credential. A credential held by more than ``max_owners`` owners or in more than
+    ``max_repositories`` repositories is an example; another is live if it looks random,
+    else weak. Credentials are counted once for each distinct value of a row.
 
     Null and empty texts have no spans; a null repository or owner counts as none;
     repeated rows are separate rows with equal results; columns of ``docs`` beyond
@@ -95,15 +102,16 @@ def secret_scan(docs: DataFrame, repository: Column, owner: Column, text: str =
     )
     each = scanned.where(F.size("secrets") > 0).select("row_id", "repository", "owner", F.explode("secrets").alias("s")).select("row_id", "repository", "owner", "s.secret", "s.random")
     held = ownership(each, F.col("repository"), F.col("owner"))
-    verdict = F.when(F.col("n_owners") > max_owners, "example").when(F.col("random"), "live").otherwise("weak")
-    judged = each.select("row_id", "secret").join(held.select("secret", verdict.alias("verdict")), "secret")
-    counts = judged.groupBy("row_id").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "example", "weak")])
+    verdict = F.when((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories), "example").when(F.col("random"), "live").otherwise("weak")
+    judged = each.select("row_id", "secret").join(held.select("secret", verdict.alias("verdict"), "n_repositories", "n_owners"), "secret")
+    widest = [F.max(c).alias(c) for c in ("n_repositories", "n_owners")]
+    counts = judged.groupBy("row_id").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "example", "weak")], *widest)
     out = scanned.drop("secrets", "repository", "owner").join(counts, "row_id", "left").drop("row_id")
-    return out.fillna(0, ["n_live", "n_example", "n_weak"])
+    return out.fillna(0, ["n_live", "n_example", "n_weak", "n_repositories", "n_owners"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     found = secret_scan(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
     n = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[n(k) for k in BASE_KINDS], F.sha2(text_of(F.col("base_spans")), 256).alias("base_sha256"), text_of(F.col("secret_spans")).alias("spans"), "n_live", "n_example", "n_weak")
+    return found.select("doc_id", *[n(k) for k in BASE_KINDS], F.sha2(text_of(F.col("base_spans")), 256).alias("base_sha256"), text_of(F.col("secret_spans")).alias("spans"), "n_live", "n_example", "n_weak", "n_repositories", "n_owners")
