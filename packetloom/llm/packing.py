@@ -11,10 +11,11 @@ allow. Spark then deals the pieces of each length out to the planned places.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 from itertools import accumulate
 
 import numpy as np
@@ -33,26 +34,36 @@ _END = 0
 
 
 @cache
-def encoder(path: str):
-    """The byte-level vocabulary as ranks: the same ids as its JSON file gives."""
+def encoder(path: str, added: bool = False):
+    """A function from a text to its ids by the byte-level vocabulary as ranks: the ids that its JSON file gives.
+
+    With ``added``, the tokens that the JSON file beside it adds, as <|endoftext|>, are one
+    id wherever they stand in a text; without, they are text like any other.
+    """
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {}
+    if added:
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return partial(made.encode, allowed_special="all") if added else made.encode_ordinary
 
 
-def tokenize_pieces(docs: DataFrame, size: int = 2048, text: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, size: int = 2048, text: str = "text", vocabulary: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of the token ids of each row of ``docs``, whole texts, ``_END`` behind each.
 
     Returns doc_id, piece, start, length, ids_crc32 and, with ``with_ids``, ids (binary,
     little-endian unsigned 32-bit). Of a document longer than ``size`` the first piece
     takes what full pieces leave. Null is an empty text, of one id. Other columns don't matter.
+    ``added``: see :func:`encoder`.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path, added)
         for batch in batches:
             for first, part in textnum.pieces(batch.column("text"), 1 << 22):
                 owner, place, start, length, crc, raw = [], [], [], [], [], []
@@ -161,21 +172,21 @@ def pack(pieces: DataFrame, size: int = 2048, spread: int = 200_000) -> DataFram
     return met.withColumn("sequence_id", F.col("first") + F.col("_rank") - F.col("low")).drop("_rank", "planned", "low", "high", "first")
 
 
-def pack_documents(docs: DataFrame, size: int = 2048, text: str = "text", vocabulary: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = 2048, text: str = "text", vocabulary: str | None = None, added: bool = False) -> DataFrame:
     """Token pieces of all rows of ``docs`` with their places in sequences.
 
     Tokens are made once and only the pieces' lengths and checksums are written; take
     :func:`sequences` for the ids. Empty tables give no rows.
     """
-    return pack(stage(tokenize_pieces(docs, size, text, vocabulary), "pieces"), size)
+    return pack(stage(tokenize_pieces(docs, size, text, vocabulary, added=added), "pieces"), size)
 
 
-def sequences(docs: DataFrame, packed: DataFrame, size: int = 2048, text: str = "text", vocabulary: str | None = None) -> DataFrame:
+def sequences(docs: DataFrame, packed: DataFrame, size: int = 2048, text: str = "text", vocabulary: str | None = None, added: bool = False) -> DataFrame:
     """``sequence_id`` and ``ids`` (binary, all pieces in place) for documents with distinct ids."""
-    own = tokenize_pieces(docs, size, text, vocabulary, with_ids=True).select("doc_id", "piece", "ids")
+    own = tokenize_pieces(docs, size, text, vocabulary, with_ids=True, added=added).select("doc_id", "piece", "ids")
     met = packed.join(own, ["doc_id", "piece"]).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return met.select("sequence_id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), added=True)

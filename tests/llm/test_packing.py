@@ -98,3 +98,13 @@ def test_a_length_in_many_buckets(spark):
     rows = packing.pack(pieces, 100, spread=100).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == 5000
     assert max(r.sequence_id for r in rows) + 1 == len({r.sequence_id for r in rows})
+
+
+def test_added_tokens_are_one_id(spark, tmp_path):
+    """The query gives the ids of the tokenizer with its default settings."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n x", "x<|endoftext|", "word " * 2046 + "<|endoftext|>", None]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check(packing.query(spark, str(tmp_path)).collect(), rows, default)
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), True)(texts[0]) == [64, 220, 50256, 275]
