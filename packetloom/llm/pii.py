@@ -2,7 +2,7 @@ r"""Personal data by bootstrapped contextual extraction, with DataFrame function
 
 Four patterns find e-mail addresses, IP addresses, payment cards and telephone numbers.
 These seeds, whole spans with or without spaces and digits, induce lexical patterns: the
-two words before an entity and the word behind it. Spark scores patterns and instances in
+two words before an entity and the word behind it, without case and the marks around them. Spark scores patterns and instances in
 rounds: a pattern by the known values in its place, a run of words by how often it stands
 in the places of good patterns. What is found adds contexts of its own, until nothing new
 is known, so unseen identifiers of any form that stand where known ones stand are found.
@@ -28,6 +28,11 @@ IP_VALID = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Words in an instance at most: a card in groups of four has four, a spaced telephone number three to six.
 MOST = 8
+#: Where a word begins, and the marks around one. Each is found in one pass over a text of any length.
+BOUNDARY = r"(?<=[\x20\x09-\x0D:=])(?![\x20\x09-\x0D])"
+EDGES = r"^[^0-9\p{L}+]++|(?<![^0-9\p{L}])[^0-9\p{L}]++$"
+#: Patterns or values up to which their table (16 bytes a row) is broadcast to the scan.
+BROADCAST_ROWS = 2_000_000
 
 
 def digits(value: Column) -> Column:
@@ -42,11 +47,11 @@ def luhn(number: Column) -> Column:
 
 
 def _base_spans(text: Column) -> list[Column]:
-    emails = spans(text, EMAIL, "email", 0, text.contains("@"))
-    ips = F.filter(spans(text, IP, "ip", 1), lambda s: s["value"].rlike(IP_VALID))
-    cards = F.filter(spans(text, CARD, "card", 2, text.rlike("[0-9](?:[\\x20-]?[0-9]){11}")), lambda s: F.length(digits(s["value"])).between(12, 19))
+    emails = spans(text, EMAIL, "email", 0, text.contains("@"), BOUNDARY)
+    ips = F.filter(spans(text, IP, "ip", 1, boundary=BOUNDARY), lambda s: s["value"].rlike(IP_VALID))
+    cards = F.filter(spans(text, CARD, "card", 2, text.rlike("[0-9](?:[\\x20-]?[0-9]){11}"), BOUNDARY), lambda s: F.length(digits(s["value"])).between(12, 19))
     cards = F.filter(cards, lambda s: luhn(digits(s["value"])))
-    phones = F.filter(spans(text, PHONE, "phone", 3, text.contains("+")), lambda s: F.length(digits(s["value"])).between(9, 15))
+    phones = F.filter(spans(text, PHONE, "phone", 3, text.contains("+"), BOUNDARY), lambda s: F.length(digits(s["value"])).between(9, 15))
     return [emails, ips, cards, phones]
 
 
@@ -60,74 +65,58 @@ def units(text: Column) -> Column:
 
     Joined, they are the text between ``^ ^`` and ``$``, which stand for its ends.
     """
-    return F.filter(F.split(F.concat(F.lit("^ ^ "), text, F.lit(" $ ")), r"(?<=[\x20\x09-\x0D:=])(?![\x20\x09-\x0D])", -1), lambda u: u != "")
+    return F.filter(F.split(F.concat(F.lit("^ ^ "), text, F.lit(" $ ")), BOUNDARY, -1), lambda u: u != "")
 
 
-def _word(unit: Column) -> Column:
-    return F.lower(F.rtrim(unit, F.lit(" \t\n\v\f\r")))
+def _marks_off(run: Column) -> Column:
+    """A word or a run of words without the marks and white space around it; a ``+`` in front stays."""
+    return F.regexp_replace(run, EDGES, "")
 
 
-def _bare(run: Column) -> Column:
-    """A run of words without the punctuation around it."""
-    return F.regexp_extract(run, r"(?s)^[^0-9\p{L}+]*+(.*?)[^0-9\p{L}]*$", 1)
+def word_hashes(text: Column) -> Column:
+    """A hash of each of :func:`units`, without case and the marks around it; 0 for one of marks only, as the ends are."""
+    return F.transform(units(text), lambda u: let(F.lower(_marks_off(u)), lambda w: F.when(w == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(w))))
 
 
-def _value(run: Column) -> Column:
-    return F.xxhash64(F.lower(_bare(run)))
+def _pattern(i: Column, j: Column) -> list[Column]:
+    """left, right and value of the run of ``j`` words from word ``i`` of ``words``: the two words before, the one behind, the run."""
+    left = F.xxhash64(F.get("words", i - 2), F.get("words", i - 1))
+    return [left.alias("left"), F.get("words", i + j).alias("right"), F.xxhash64(F.slice("words", i + 1, j)).alias("value")]
 
 
-def _seeds(text: Column, base: Column) -> Column:
-    """left, right and value of each base span: the words before and behind it, and the whole span."""
+def _in_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The runs of at most ``MOST`` words that stand between the words of ``patterns`` (left, right): left, right, value, first."""
+    each = texts.select("words", F.posexplode("words").alias("at", "word"))
+    each = each.withColumn("left", F.xxhash64(F.get("words", F.col("at") - 1), "word")).where("at >= 1")
+    met = each.join(_small(patterns), "left").withColumn("i", F.col("at") + 1)
+    met = met.withColumn("j", F.array_position(F.slice("words", F.col("i") + 2, F.lit(MOST)), F.col("right")).cast("int")).where("j > 0")
+    run = F.slice("words", F.col("i") + 1, F.col("j"))
+    # Marks alone are no value. A lambda here would keep the join out of generated code, which copies a text's words for each of them.
+    met = met.where(F.size(F.array_remove(run, 0)) > 0)
+    return met.select("left", "right", F.xxhash64(run).alias("value"), F.get("words", F.col("i")).alias("first"))
 
-    def one(s: Column) -> Column:
-        # Punctuation that touches the span belongs to neither side.
-        low = F.greatest(F.lit(0).cast("bigint"), s["start"] - 256)
-        front = F.regexp_replace(text.substr((low + 1).cast("int"), (s["start"] - low).cast("int")), r"(?<=[\x20\x09-\x0D:=]|^)[^0-9\p{L}\x20\x09-\x0D:=]+$", "")
-        back = F.regexp_replace(text.substr((s["stop"] + 1).cast("int"), F.lit(256)), r"^[^0-9\p{L}\x20\x09-\x0D]+", "")
-        left = let(F.transform(units(front), _word), lambda w: F.xxhash64(F.get(w, F.size(w) - 3), F.get(w, F.size(w) - 2)))
-        right = F.xxhash64(_word(F.get(units(back), F.lit(2))))
-        return F.struct(left.alias("left"), right.alias("right"), _value(s["value"]).alias("value"))
 
-    return F.transform(base, one)
+def _of_values(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """Every place of ``values`` (value, first) in ``texts``: row_id, i, j (words), left, right, value."""
+    each = texts.select("row_id", "words", F.posexplode("words").alias("i", "first")).where("i >= 2")
+    met = each.join(_small(values.select("first").distinct()), "first")
+    runs = F.sequence(F.lit(1), F.least(F.lit(MOST), F.size("words") - 1 - F.col("i")))
+    met = met.where(F.size("words") - 1 > F.col("i")).withColumn("j", F.explode(runs))
+    met = met.select("row_id", "i", "j", *_pattern(F.col("i"), F.col("j")))
+    return met.join(_small(values.select("value").distinct()), "value")
 
 
-def _places(docs: DataFrame, key: str) -> DataFrame:
-    """row_id, i, left, window for each word of ``docs`` (row_id, text), and ``first`` if that is the key."""
+def _small(table: DataFrame) -> DataFrame:
+    """``table`` to be broadcast if it has at most ``BROADCAST_ROWS`` rows (of two numbers); a larger one is joined by shuffles."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
-    def at(u: Column, w: Column) -> Column:
-        def one(i: Column) -> Column:
-            first = [_value(F.get(u, i)).alias("first")] if key == "first" else []
-            return F.struct(i.alias("i"), F.xxhash64(F.get(w, i - 2), F.get(w, i - 1)).alias("left"), *first, F.slice(u, i + 1, F.lit(MOST + 1)).alias("window"))
 
-        return F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(u) - 2)), one)
-
-    each = docs.select("row_id", F.explode(let(units(F.col("text")), lambda u: let(F.transform(u, _word), lambda w: at(u, w)))).alias("p"))
-    return each.select("row_id", "p.*")
-
-
-def _run(j: Column) -> Column:
-    return F.array_join(F.slice("window", F.lit(1), j), "")
-
-
-def _in_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The runs of at most ``MOST`` words that stand between the words of ``patterns`` (left, right)."""
-    met = _places(docs, "left").join(F.broadcast(patterns), "left")
-    behind = F.transform(F.slice("window", F.lit(2), F.lit(MOST)), lambda u: F.xxhash64(_word(u)))
-    met = met.withColumn("j", F.array_position(behind, F.col("right")).cast("int")).where("j > 0").withColumn("run", _run(F.col("j")))
-    return met.where(_bare(F.col("run")) != "").select("left", "right", _value(F.col("run")).alias("value"), _value(F.get("window", F.lit(0))).alias("first"))
-
-
-def _of_values(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """Every place of ``values`` (value, first) in ``docs``: row_id, i, j (words), left, right, value."""
-    met = _places(docs, "first").join(F.broadcast(values.select("first").distinct()), "first")
-    runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST), F.size("window") - 1)), lambda j: F.struct(j.alias("j"), _value(_run(j)).alias("value"), F.xxhash64(_word(F.get("window", j))).alias("right")))
-    each = met.where(F.size("window") > 1).select("row_id", "i", "left", F.explode(runs).alias("r")).select("row_id", "i", "left", "r.*")
-    return each.join(F.broadcast(values.select("value").distinct()), "value").select("row_id", "i", "j", "left", "right", "value")
-
-
-def bootstrap(docs: DataFrame, seeds: DataFrame, rounds: int | None = None, min_support: int = 3, min_score: float = 1.0, min_share: float = 0.1) -> DataFrame | None:
+def bootstrap(texts: DataFrame, seeds: DataFrame, rounds: int | None = None, min_support: int = 3, min_score: float = 1.0, min_share: float = 0.1) -> DataFrame | None:
     """Places (row_id, i, j) of the values that are found beyond ``seeds`` (left, right, value); None if there are none.
 
+    ``texts``: row_id and ``words``, the hashes of :func:`word_hashes`. Only these are read
+    in the rounds, once for new patterns and once for new values.
+
     A pattern with k known of n distinct values in its place scores k / n * log2(k); it
     is good from ``min_score`` and ``min_support`` known values on, so the more known values
     it has, the more new ones may stand beside them. A value in a good pattern's place is
@@ -147,7 +136,7 @@ def bootstrap(docs: DataFrame, seeds: DataFrame, rounds: int | None = None, min_
         hopeful = stage(hopeful if looked is None else hopeful.join(looked, pair, "left_anti"), "pii-patterns")
         if not hopeful.isEmpty():
             looked = hopeful if looked is None else looked.unionByName(hopeful)
-            more = stage(_in_patterns(docs, hopeful).groupBy(*pair, "value", "first").agg(F.count("*").alias("n")), "pii-inside")
+            more = stage(_in_patterns(texts, hopeful).groupBy(*pair, "value", "first").agg(F.count("*").alias("n")), "pii-inside")
             inside = more if inside is None else inside.unionByName(more)
         if inside is None:
             break
@@ -155,12 +144,12 @@ def bootstrap(docs: DataFrame, seeds: DataFrame, rounds: int | None = None, min_
         scored = edges.groupBy(*pair).agg(F.count("known").alias("k"), F.count("*").alias("all")).where(F.col("k") >= min_support)
         good = scored.where(F.col("k") / F.col("all") * F.log2(F.col("k").cast("double")) >= min_score).select(*pair)
         # A place between two good patterns' words counts once for each, at most as often as it stands in the texts.
-        mine = inside.join(F.broadcast(good), pair).groupBy("value", "first").agg(F.sum("n").alias("n")).join(known, "value", "left_anti")
+        mine = inside.join(good, pair).groupBy("value", "first").agg(F.sum("n").alias("n")).join(known, "value", "left_anti")
         mine = stage(mine, "pii-mine")
         fresh = mine if tried is None else mine.join(tried, "value", "left_anti")
         fresh = stage(fresh.select("value", "first"), "pii-fresh")
         if not fresh.isEmpty():
-            more = stage(_of_values(docs, fresh), "pii-places")
+            more = stage(_of_values(texts, fresh), "pii-places")
             places = more if places is None else places.unionByName(more)
             tried = fresh.select("value").distinct() if tried is None else tried.unionByName(fresh.select("value").distinct())
         if places is None:
@@ -172,18 +161,19 @@ def bootstrap(docs: DataFrame, seeds: DataFrame, rounds: int | None = None, min_
             break
         known = stage(known.unionByName(new), "pii-known")
         found = new if found is None else found.unionByName(new)
-        votes = stage(votes.unionByName(places.join(F.broadcast(new), "value").select(*pair, "value")).distinct(), "pii-votes")
-    return None if found is None else places.join(F.broadcast(found), "value").select("row_id", "i", "j")
+        votes = stage(votes.unionByName(places.join(new, "value").select(*pair, "value")).distinct(), "pii-votes")
+    return None if found is None else places.join(found, "value").select("row_id", "i", "j")
 
 
 def _found(rows: DataFrame, carried: list[str], body: Column, rounds: int | None) -> DataFrame:
-    """``carried`` and the spans of ``rows``, whose text is ``body``. They are written once with their seeds."""
+    """``carried`` and the spans of ``rows``, whose text is ``body``. They are written once with their words' hashes."""
     lean = lambda s: F.struct(s["start"], s["ord"], s["stop"], s["kind"], F.lit("").alias("value"))
-    scanned = rows.select(*carried, F.concat(*_base_spans(body)).alias("base"), F.monotonically_increasing_id().alias("row_id"))
-    scanned = stage(scanned.select(*carried, "row_id", F.transform("base", lean).cast(SPAN).alias("base_spans"), _seeds(body, F.col("base")).alias("seeds")), "pii")
-    seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*")
-    places = bootstrap(scanned.select("row_id", body.alias("text")), seeds, rounds)
-    scanned = scanned.drop("seeds")
+    scanned = rows.select(*carried, F.concat(*_base_spans(body)).alias("base"), word_hashes(body).alias("words"), F.monotonically_increasing_id().alias("row_id"))
+    places = F.transform("base", lambda s: F.struct(s["unit"].alias("i"), s["units"].alias("j")))
+    scanned = stage(scanned.select(*carried, "row_id", F.transform("base", lean).cast(SPAN).alias("base_spans"), places.alias("places"), "words"), "pii")
+    seeds = scanned.where(F.size("places") > 0).select("words", F.explode("places").alias("p")).select(*_pattern(F.col("p.i"), F.col("p.j")))
+    places = bootstrap(scanned.select("row_id", "words"), seeds, rounds)
+    scanned = scanned.drop("places", "words")
     if places is None:
         return scanned.withColumn("pii_spans", F.sort_array("base_spans"))
     hits = stage(places.groupBy("row_id").agg(F.collect_set(F.struct("i", "j")).alias("hits")), "pii-hits")
@@ -192,7 +182,7 @@ def _found(rows: DataFrame, carried: list[str], body: Column, rounds: int | None
         start = F.aggregate(F.slice(u, F.lit(1), h["i"]), F.lit(-4).cast("bigint"), lambda a, x: a + F.length(x))
         run = F.array_join(F.slice(u, h["i"] + 1, h["j"]), "")
         first = start + F.length(F.regexp_extract(run, r"^[^0-9\p{L}+]*+", 0))
-        return F.struct(first.alias("start"), F.lit(4).alias("ord"), (first + F.length(_bare(run))).alias("stop"), F.lit("context").alias("kind"), F.lit("").alias("value"))
+        return F.struct(first.alias("start"), F.lit(4).alias("ord"), (first + F.length(_marks_off(run))).alias("stop"), F.lit("context").alias("kind"), F.lit("").alias("value"))
 
     more = F.when(F.col("hits").isNotNull(), let(units(body), lambda u: F.transform("hits", lambda h: span(u, h)))).otherwise(F.array()).cast(SPAN)
     touched = lambda t: F.exists("base_spans", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))

@@ -1,7 +1,7 @@
 """Tables written in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder. Only where it is unset, as in local
-tests, a temporary folder of this machine takes its place.
+``spark.checkpoint.dir`` names that folder. Only where it is unset and all tasks run on
+this machine, as in local tests, a temporary folder takes its place.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, set for the session where the cluster names none."""
+    """The shared folder. A local session without one gets a folder of its own; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="packetloom-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
