@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stage
+from .skew import join_hot
 from .spans import SPAN, spans, text_of
 
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*+[:=]\x20*+["']?"""
@@ -21,11 +22,11 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 #: A key block through its END line, or where that is missing the long lines behind its header.
 PEM = (
-    r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"
-    r"(?:(?:(?:[\x20\x09-\x0D]|\\[nr]){0,4}[A-Za-z-]{1,32}:\x20[^\r\n]{1,200}){0,8}[A-Za-z0-9+/=\x20\x09-\x0D\\]*+-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"
-    r"|(?:(?:[\x20\x09-\x0D]|\\[nr]){0,4}[A-Za-z0-9+/]{16,}+={0,2}){0,512})"
+    r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z]++ )*+PRIVATE KEY-----"
+    r"(?:(?:(?:[\x20\x09-\x0D]|\\[nr])*+[A-Za-z-]++:\x20(?:(?!-----)[^\r\n\\])++)*+[A-Za-z0-9+/=\x20\x09-\x0D\\]*+-----END (?:(?!PRIVATE KEY)[A-Z]++ )*+PRIVATE KEY-----"
+    r"|(?:(?:[\x20\x09-\x0D]|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})*+)"
 )
-URL = r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+]{1,15}://[^\x20\x09-\x0D/:@]{1,128}:[^\x20\x09-\x0D/@]{3,256}@"
+URL = r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+]++://[^\x20\x09-\x0D/:@]++:[^\x20\x09-\x0D/@]{3,}+@"
 ISSUED = r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk-[A-Za-z0-9_-]{32,}+|AIza[A-Za-z0-9_-]{35})"
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -101,9 +102,10 @@ def secret_scan(docs: DataFrame, repository: Column, owner: Column, text: str =
         "secrets",
     )
     each = scanned.where(F.size("secrets") > 0).select("row_id", "repository", "owner", F.explode("secrets").alias("s")).select("row_id", "repository", "owner", "s.secret", "s.random")
-    held = ownership(each, F.col("repository"), F.col("owner"))
+    held = stage(ownership(each, F.col("repository"), F.col("owner")), "secrets-held")
     verdict = F.when((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories), "example").when(F.col("random"), "live").otherwise("weak")
-    judged = each.select("row_id", "secret").join(held.select("secret", verdict.alias("verdict"), "n_repositories", "n_owners"), "secret")
+    # A credential that a large share of all rows hold is broadcast to them; its rows never meet in one task.
+    judged = join_hot(each.select("row_id", "secret"), held.select("secret", verdict.alias("verdict"), "n_repositories", "n_owners", "places"), ["secret"], "places")
     widest = [F.max(c).alias(c) for c in ("n_repositories", "n_owners")]
     counts = judged.groupBy("row_id").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "example", "weak")], *widest)
     out = scanned.drop("secrets", "repository", "owner").join(counts, "row_id", "left").drop("row_id")
