@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
 from .components import connected_components
 from .scratch import stage
+from .skew import join_hot
 
 #: 30 bands of 6 values: a pair of similarity 0.8 is missed with probability 0.0001, of 0.85 with 0.0000002.
 BANDS, ROWS = 30, 6
@@ -154,10 +155,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, t
     documents with an equal set, the row itself too.
 
     A text without words (null, empty, spaces) links to nothing and is its own class. A
-    text of fewer than ``shingle`` words is one shingle. Repeated rows with one doc_id
-    are copies of each other; rows without doc_id are left out. No other column matters.
+    text of fewer than ``shingle`` words is one shingle. Repeated rows are copies of each
+    other; different texts under one doc_id are documents of their own. Rows without
+    doc_id are linked to nothing and have a null class. No other column matters.
     """
-    body = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return _grouped(docs, threshold, shingle, tolerance, block, block_shingles).select("doc_id", "class_id", "n_links", "copies")
+
+
+def deduplicated(docs: DataFrame, **limits) -> DataFrame:
+    """All columns of one row of ``docs`` for each group of near duplicates.
+
+    It is a row with the least doc_id of the group, of several texts under that id the
+    one with the least hash, of its repeated rows one. A text without words and a row
+    without doc_id have no near duplicates, so each of them stays, but of repeated rows
+    with a doc_id one. ``limits``: those of :func:`near_duplicates`.
+    """
+    kept = _grouped(docs, **limits).where("kept").select("doc_id", "text_key").distinct()
+    names = docs.columns
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", _text_key())
+    found = row.where("doc_id IS NOT NULL").join(kept, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return found.select("row").unionByName(row.where("doc_id IS NULL").select("row")).select("row.*")
+
+
+def _text_key() -> Column:
+    """Tells the texts under one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
+
+
+def _grouped(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-6, block: int = 256, block_shingles: int = 2_000_000) -> DataFrame:
+    """doc_id, text_key, class_id, n_links, copies, and ``kept``: whether the row is its group's first."""
+    body = docs.select("doc_id", "text", _text_key())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,47 +193,46 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, t
                 sums = set_keys(sets)
                 marks = [bands(minhash(s)) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(part)), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
-                    ["doc_id", "k1", "k2", "size", "marks"],
+                    [*(batch.column(c).slice(first, len(part)) for c in ("doc_id", "text_key")), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "k1", "k2", "size", "marks"],
                 )
 
-    drawn = stage(body.mapInArrow(sketch, "doc_id long, k1 long, k2 long, size long, marks array<bigint>"), "jaccard-sketch")
-    classes = drawn.where("size > 0").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stage(classes, "jaccard-classes")
-
-    # One row of marks for each class: the least document's; its repeated rows carry the same.
-    marks = drawn.select("doc_id", "k1", "k2", "marks").join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"])
-    banded = stage(marks.select(F.col("doc_id").alias("rep"), F.explode("marks").alias("band")), "jaccard-bands")
-    least = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
-    ties = banded.join(least, "band").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    drawn = stage(body.mapInArrow(sketch, "doc_id long, text_key long, k1 long, k2 long, size long, marks array<bigint>"), "jaccard-sketch")
+    # A class is an equal set; its number in a written table names it from here on, as one doc_id may stand on several texts.
+    classes = drawn.where("size > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "size").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"))
+    classes = stage(classes.select("k1", "k2", "size", "rep.*", "copies", F.monotonically_increasing_id().alias("node")), "jaccard-classes")
+
+    # One row of marks for each class: the first document's; its repeated rows carry the same.
+    own = ["doc_id", "text_key"]
+    marks = drawn.select(*own, "marks").join(classes.select(*own, "node"), own).dropDuplicates(["node"])
+    banded = stage(marks.select("node", F.explode("marks").alias("band")), "jaccard-bands")
+    least = banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
+    ties = banded.join(least, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     groups = connected_components(ties)  # node, label
 
-    sized = groups.join(classes.withColumnRenamed("rep", "node"), "node")
+    sized = groups.join(classes, "node")
     total = sized.groupBy("label").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"))
     parts = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / block_shingles)).cast("int")
     planned = sized.join(total.select("label", parts.alias("parts")), "label")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("own")
-    planned = planned.select(F.col("node").alias("doc_id"), "label", "copies", "parts", own, "k1", "k2")
+    block_of = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("own")
+    planned = planned.select("doc_id", "text_key", "node", "label", "copies", "parts", block_of)
 
     # Each text of a candidate goes to every pair of blocks that holds its own block.
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    needed = body.join(planned, "doc_id")
+    needed = body.join(planned, own)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in textnum.pieces(batch.column("text")):
                 sets = shingle_sets(part, shingle)
                 rest = batch.slice(first, len(part)).drop_columns(["text"])
-                out = pa.RecordBatch.from_arrays([*rest.columns, pa.array([s.tobytes() for s in sets], pa.binary())], [*rest.schema.names, "grams"])
-                sums = set_keys(sets)  # one doc_id may stand on several texts: only the planned one goes on
-                own_text = (sums[:, 0] == out.column("k1").to_numpy()) & (sums[:, 1] == out.column("k2").to_numpy())
-                yield out.filter(pa.array(own_text))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([s.tobytes() for s in sets], pa.binary())], [*rest.schema.names, "grams"])
 
-    lined = needed.mapInArrow(gather, "doc_id long, label long, copies long, parts int, own int, k1 long, k2 long, grams binary")
+    lined = needed.select("text", "node", "label", "copies", "parts", "own").mapInArrow(gather, "node long, label long, copies long, parts int, own int, grams binary")
     spread = lined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("label", low.alias("low"), high.alias("high"), "own", "doc_id", "copies", "grams")
+    spread = spread.select("label", low.alias("low"), high.alias("high"), "own", "node", "copies", "grams")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = spread.repartition(tasks, "label", "low", "high").sortWithinPartitions("label", "low", "high", "own", "doc_id")
+    spread = spread.repartition(tasks, "label", "low", "high").sortWithinPartitions("label", "low", "high", "own", "node")
     fewest = least_agreements(threshold, tolerance)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +240,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, t
         key = None
         for batch in batches:
             keys = list(zip(*[batch.column(c).to_pylist() for c in ("label", "low", "high")], strict=True))
-            rows = zip(*[batch.column(c).to_pylist() for c in ("own", "doc_id", "copies", "grams")], strict=True)
+            rows = zip(*[batch.column(c).to_pylist() for c in ("own", "node", "copies", "grams")], strict=True)
             for now, row in zip(keys, rows, strict=True):
                 if now != key:
                     if held:
@@ -242,20 +268,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, t
         i, j = i[good], j[good]
         links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
         root = ids[_roots(len(ids), i, j)]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(links.astype(np.int64))], ["rep", "root", "links"])
-
-    solved = stage(spread.mapInArrow(compare, "rep long, root long, links long"), "jaccard-solved")
-    links = solved.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(solved.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    final = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    final = final.select("k1", "k2", "size", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    alone = F.col("class_id").isNull()
-    return drawn.drop("marks").join(final, ["k1", "k2", "size"], "left").select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("copies", F.lit(1)).alias("copies"),
-    )
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(links.astype(np.int64))], ["node", "root", "links"])
+
+    solved = stage(spread.mapInArrow(compare, "node long, root long, links long"), "jaccard-solved")
+    links = solved.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = connected_components(solved.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    joined = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = stage(joined.select("k1", "k2", "size", *own, "label", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "jaccard-joined")
+    firsts = joined.groupBy("label").agg(F.min(F.struct(*own)).alias("first"))
+    final = joined.join(firsts, "label").select("k1", "k2", "size", F.col("first.doc_id").alias("class_id"), F.col("first.text_key").alias("first_key"), "n_links", "copies")
+    # Equal sets that a large share of the documents have are broadcast to them.
+    met = join_hot(drawn.where("size > 0 AND doc_id IS NOT NULL").drop("marks"), final.withColumn("rows", F.col("copies")), ["k1", "k2", "size"], "rows")
+    met = met.withColumn("kept", (F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("first_key")))
+    alone = drawn.where("size = 0 OR doc_id IS NULL").withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "copies": F.lit(1).cast("long"), "kept": F.lit(True)})
+    columns = ["doc_id", "text_key", "class_id", "n_links", "copies", "kept"]
+    return met.select(*columns).unionByName(alone.select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -91,7 +91,54 @@ def test_query_over_the_whole_table(spark):
 
 def test_repeated_rows_and_missing_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z p q r"), (None, "a b c d e f"), (3, None)], "doc_id long, text string")
-    assert answer(jaccard.near_duplicates(docs)) == [(1, 1, 1), (1, 1, 1), (2, 2, 0), (3, 3, 0)]
+    got = jaccard.near_duplicates(docs)
+    assert answer(got.where("doc_id IS NOT NULL")) == [(1, 1, 1), (1, 1, 1), (2, 2, 0), (3, 3, 0)]
+    assert [(r.class_id, r.n_links, r.copies) for r in got.where("doc_id IS NULL").collect()] == [(None, 0, 1)]
+
+
+def near(text, k):
+    """``text`` with the words around place ``k`` changed."""
+    w = text.split()
+    w[k] = f"y{k}"
+    return " ".join(w)
+
+
+def test_different_texts_under_one_id_keep_their_links(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (2, near(a, 5)), (3, near(b, 70)), (1, "c d e f g h"), (4, "c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answer(jaccard.near_duplicates(docs)) == brute(rows)
+
+
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a, "s"), (1, b, "t"), (1, b, "t"), (2, near(a, 5), "u"), (3, near(b, 70), "v"), (4, None, "w"), (5, "", "w"), (5, "", "w"), (None, a, "x"), (None, a, "x"), (6, "a  b", "y"), (6, "a b", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard.deduplicated(docs).collect()), key=str)
+    short = min(["a  b", "a b"], key=lambda t: docs.sparkSession.range(1).select(jaccard.F.xxhash64(jaccard.F.lit(t))).first()[0])
+    assert got == sorted([(1, a), (1, b), (4, None), (5, ""), (None, a), (None, a), (6, short)], key=str)
+    assert jaccard.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 7919}x{i // 5}" for i in range(60_000))
+    rows = [(1, long), (2, near(long, 30_000)), (3, long[: len(long) // 2]), (4, "z" * 300_000), (5, "z" * 300_000)]
+    assert answer(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_recall_at_the_threshold(spark):
+    """Of 300 pairs just above the threshold, alone in their buckets, all are found."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        w = [f"p{i}w{k}" for k in range(84)]
+        other = list(w)
+        for k in (2, rng.randrange(10, 70)):  # changes take three and five shingles from either side
+            other[k] = f"q{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    assert all(0.8 <= len(x & y) / len(x | y) < 0.82 for x, y in ((shingles(rows[k][1]), shingles(rows[k + 1][1])) for k in range(0, 600, 2)))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_links = 1").count() == 600
 
 
 def test_empty_table(spark):
