@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the table of sources up to which it is broadcast: some 40 MB at most.
-BROADCAST_SOURCES = 20_000
+#: A document with a larger mean is drawn in parts of at most this mean, which are Poisson too; their copies are numbered apart.
+PART_MEAN, PART_COPIES = 256, 1024
+#: Doubles in the table of distributions (32 MiB) up to which it is broadcast; a larger one is joined on source and salt.
+BROADCAST_STEPS = 4 << 20
 SALTS = 64
 
 
@@ -23,7 +25,7 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def poisson_steps(mean: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... for a mean, as far as the tail matters to a double."""
+    """P(X <= 0), P(X <= 1), ... for a mean of at most some hundreds, as far as the tail matters to a double."""
     most = F.ceil(mean + 10 * F.sqrt(mean) + 20).cast("int")
 
     def step(acc: Column, k: Column) -> Column:
@@ -45,8 +47,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     is a source of its own. Equal rows are drawn alike. An empty table gives an empty
     one. Columns named copy or shuffle_key are replaced. Texts are not looked at.
 
-    Sources are counted with partial aggregates. Up to ``BROADCAST_SOURCES`` of them are
-    broadcast; more are joined on source and salt, so no source's rows meet in one task.
+    A source with a mean of more than ``PART_MEAN`` is drawn in equal parts: a sum of
+    Poisson numbers is one. Part p of a document numbers its copies from 1024 p on, and the
+    parts are dealt to tasks before they are repeated, so a rare source's few rows are
+    repeated by all tasks.
+
+    Sources are counted with partial aggregates. Their distributions, at most some 440
+    numbers each, are broadcast while they hold ``BROADCAST_STEPS`` numbers in all; beyond
+    that they are joined on source and salt, so no source's rows meet in one task.
     """
     docs = docs.drop("copy", "shuffle_key")
     name = F.coalesce(F.col(source), F.lit("\0"))
@@ -57,20 +65,27 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     else:
         counts = counts.withColumn("_weight", F.lit(1.0))
     rows = docs.count()
-    shares = counts.groupBy().agg(F.sum("_weight").alias("_sum"), F.count("*").alias("_sources")).first()
-    mean = F.col("_weight") / F.lit(float(shares["_sum"] or 1.0)) * F.lit(float(size * rows)) / F.col("_n")
-    rates = counts.select("_source", poisson_steps(mean).alias("_steps"))
+    weight = counts.agg(F.sum("_weight")).first()[0]
+    mean = F.col("_weight") / F.lit(float(weight or 1.0)) * F.lit(float(size * rows)) / F.col("_n")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_mean") / PART_MEAN).cast("int"))
+    rates = counts.withColumn("_mean", mean).withColumn("_parts", parts)
+    rates = rates.select("_source", "_parts", poisson_steps(F.col("_mean") / F.col("_parts")).alias("_steps"))
     docs = docs.withColumn("_source", name)
-    if shares["_sources"] <= BROADCAST_SOURCES:
+    if (rates.agg(F.sum(F.size("_steps"))).first()[0] or 0) <= BROADCAST_STEPS:
         drawn = docs.join(F.broadcast(rates), "_source")
     else:
         rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         drawn = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(rates, ["_source", "_salt"]).drop("_salt")
-    u = uniform(seed, F.col("doc_id"))
-    times = F.size(F.filter("_steps", lambda p: p <= u))
-    # The number of documents is read off once; the copies are then made and ordered by hash.
-    drawn = drawn.withColumn("_times", times).drop("_steps", "_source").where("_times > 0")
-    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times")
+    drawn = drawn.drop("_source")
+    many = drawn.where("_parts > 1").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.repartition(tasks, F.xxhash64("doc_id", "_part"))
+    drawn = drawn.where("_parts = 1").withColumn("_part", F.lit(0)).unionByName(many).drop("_parts")
+    # The first part's number is that of a document drawn whole.
+    u = F.when(F.col("_part") == 0, uniform(seed, F.col("doc_id"))).otherwise(uniform(seed, F.col("doc_id"), F.col("_part")))
+    drawn = drawn.withColumn("_u", u).withColumn("_times", F.size(F.filter("_steps", lambda p: p <= F.col("_u")))).drop("_steps", "_u").where("_times > 0")
+    first = F.col("_part") * PART_COPIES
+    drawn = drawn.withColumn("copy", F.explode(F.sequence(first, first + F.col("_times") - 1))).drop("_times", "_part")
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     return drawn.withColumn("shuffle_key", key).orderBy("shuffle_key")
 
