@@ -1,7 +1,7 @@
 """Media columns in content-defined chunks.
 
 A payload is stored as samples of an 8-bit mono WAV file. A gear hash over the last 32
-bytes cuts the file into chunks where its low bits are zero, so equal passages give
+bytes cuts the file into chunks where its high bits are zero, so equal passages give
 equal chunks wherever they stand. Chunks that occur more than once are found by their
 digests and stored once, in a table of shared chunks; the others stay with their medium.
 Each medium is a row with the ordered list of its chunks, and is put together again,
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textnum
 from .scratch import new_path, stage
+from .skew import join_hot
 
 UNIT = 192
 RATE = 8000
@@ -52,16 +53,17 @@ def wav_payload(media: bytes) -> bytes:
 
 
 def cuts(data: bytes) -> list[int]:
-    """The ends of the chunks: after a byte where the gear hash's low bits are zero.
+    """The ends of the chunks: after a byte where the gear hash's highest ``MASK_BITS`` bits are zero.
 
-    hash = hash * 2 + gear[byte] modulo 2 ** 32, so a byte counts for 32 positions; the
-    sum over those is built by doubling, for all positions at once.
+    hash = hash * 2 + gear[byte] modulo 2 ** 32, so a byte counts for 32 positions, and
+    the highest bits depend on all of them. The sum is built by doubling, for all
+    positions at once.
     """
     h = _GEAR[np.frombuffer(data, np.uint8)]
-    for k in range(4):  # a window of 16 bytes: only the lower MASK_BITS <= 16 bits are asked for
+    for k in range(5):
         step = 1 << k
         h[step:] += h[:-step] << np.uint32(step)
-    marks = np.flatnonzero((h & np.uint32((1 << MASK_BITS) - 1)) == 0) + 1
+    marks = np.flatnonzero(h < np.uint32(1 << (32 - MASK_BITS))) + 1
     out, last, n = [], 0, len(data)
     for end in [*marks.tolist(), n]:
         while end - last > LONGEST:
@@ -126,9 +128,9 @@ def bloom(keys: DataFrame) -> np.ndarray:
 def store(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Write the media of all rows and return the tables (media, shared chunks).
 
-    media: doc_id, row_id, n_bytes, media_sha256, digests (in order), own (the bytes of
-    chunks that stand nowhere else, by position; null for shared ones). shared: digest,
-    bytes, one row for each digest. Null is an empty text; repeated rows are media of
+    media: doc_id, row_id, n_bytes, media_sha256, digests (in order), places (of the shared
+    chunks), own (the bytes of the others, by position; null for shared ones). shared:
+    digest, bytes, one row for each digest. Null is an empty text; repeated rows are media of
     their own that share all chunks.
     """
     body = docs.select("doc_id", F.col(text).alias("text"))
@@ -137,7 +139,7 @@ def store(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in textnum.pieces(batch.column("text")):
-                n, sha, lists, own, others = [], [], [], [], []
+                n, sha, lists, places, own, others = [], [], [], [], [], []
                 for t in part.to_pylist():
                     raw = (t or "").encode()
                     media = wav(padded(raw))
@@ -148,23 +150,24 @@ def store(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
                     n.append(len(raw))
                     sha.append(hashlib.sha256(media).hexdigest())
                     lists.append(digests)
+                    places.append(np.flatnonzero(hit))
                     own.append([None if s else zlib.compress(c, 4) for c, s in zip(cut, hit.tolist(), strict=True)])
                     others.append([zlib.compress(c, 4) for c, s in zip(cut, hit.tolist(), strict=True) if s])
                 lists_of = pa.list_(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(part)), pa.array(n, pa.int64()), pa.array(sha), pa.array(lists, lists_of), pa.array(own, lists_of), pa.array(others, lists_of)],
-                    ["doc_id", "n_bytes", "media_sha256", "digests", "own", "others"],
+                    [batch.column("doc_id").slice(first, len(part)), pa.array(n, pa.int64()), pa.array(sha), pa.array(lists, lists_of), pa.array(places, pa.list_(pa.int32())), pa.array(own, lists_of), pa.array(others, lists_of)],
+                    ["doc_id", "n_bytes", "media_sha256", "digests", "places", "own", "others"],
                 )
 
-    saved = body.mapInArrow(save, "doc_id long, n_bytes long, media_sha256 string, digests array<binary>, own array<binary>, others array<binary>")
+    saved = body.mapInArrow(save, "doc_id long, n_bytes long, media_sha256 string, digests array<binary>, places array<int>, own array<binary>, others array<binary>")
     spark = docs.sparkSession
     media = stage(saved.withColumn("row_id", F.monotonically_increasing_id()), "media")
     # Of each shared digest the least (row, position) gives the bytes.
-    listed = F.filter(F.zip_with("digests", "own", lambda d, o: F.when(o.isNull(), d)), lambda d: d.isNotNull())
+    listed = F.transform("places", lambda i: F.get("digests", i))
     refs = media.select("row_id", F.posexplode(listed).alias("place", "digest"))
     holder = refs.groupBy("digest").agg(F.min(F.struct("row_id", "place")).alias("h")).select("digest", "h.row_id", "h.place")
     mine = holder.groupBy("row_id").agg(F.collect_list(F.struct("place", "digest")).alias("mine"))
-    given = media.where(F.size("others") > 0).select("row_id", "others").join(mine, "row_id")
+    given = media.where(F.size("places") > 0).select("row_id", "others").join(mine, "row_id")
     rows = given.select(F.explode(F.transform("mine", lambda m: F.struct(m["digest"].alias("digest"), F.get("others", m["place"]).alias("bytes")))).alias("c"))
     path = new_path(spark, "media-shared")
     rows.select("c.*").write.parquet(path)
@@ -176,7 +179,8 @@ def rebuild(media: DataFrame, shared: DataFrame, columns: str, derive) -> DataFr
 
     Media without shared chunks are read as they lie. Of the others, one for each list of
     chunks is put together: its shared chunks are fetched by digest, and its results
-    go to all media with that list.
+    go to all media with that list. A chunk that stands in more than one of 200 of all
+    places, and the results of a medium that so many rows hold, are broadcast.
     """
 
     def join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,17 +199,19 @@ def rebuild(media: DataFrame, shared: DataFrame, columns: str, derive) -> DataFr
                 made = made.combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made.columns], [*keep, *made.schema.names])
 
-    partial = F.exists("own", lambda o: o.isNull())
-    plain = media.where(~partial).select("doc_id", "n_bytes", "media_sha256", "own", F.lit(None).cast("array<struct<place:int,bytes:binary>>").alias("fetched"))
+    plain = media.where(F.size("places") == 0).select("doc_id", "n_bytes", "media_sha256", "own", F.lit(None).cast("array<struct<place:int,bytes:binary>>").alias("fetched"))
     done = plain.mapInArrow(join_chunks, f"media_sha256 string, doc_id long, n_bytes long, {columns}")
 
-    mixed = media.where(partial)
-    one = mixed.groupBy("media_sha256").agg(F.min("row_id").alias("row_id"))
-    chosen = mixed.select("row_id", "digests", "own").join(one, "row_id")
-    refs = chosen.select("row_id", F.posexplode(F.zip_with("digests", "own", lambda d, o: F.when(o.isNull(), d))).alias("place", "digest")).where("digest IS NOT NULL")
-    fetched = refs.join(shared, "digest").groupBy("row_id").agg(F.collect_list(F.struct("place", "bytes")).alias("fetched"))
-    built = chosen.join(fetched, "row_id").select("media_sha256", "own", "fetched").mapInArrow(join_chunks, f"media_sha256 string, {columns}")
-    spread = mixed.select("doc_id", "n_bytes", "media_sha256").join(built, "media_sha256")
+    mixed = media.where(F.size("places") > 0)
+    one = stage(mixed.groupBy("media_sha256").agg(F.min("row_id").alias("row_id"), F.count("*").alias("rows")), "media-distinct")
+    wanted = F.explode(F.transform("places", lambda i: F.struct(i.alias("place"), F.get("digests", i).alias("digest"))))
+    refs = mixed.select("row_id", "digests", "places").join(one.select("row_id"), "row_id").select("row_id", wanted.alias("w")).select("row_id", "w.*")
+    refs = stage(refs, "media-refs")
+    counted = shared.join(refs.groupBy("digest").agg(F.count("*").alias("n")), "digest")
+    fetched = join_hot(refs, counted, ["digest"], "n", 200).groupBy("row_id").agg(F.collect_list(F.struct("place", "bytes")).alias("fetched"))
+    built = mixed.select("row_id", "media_sha256", "own").join(fetched, "row_id").select("media_sha256", "own", "fetched")
+    built = stage(built.mapInArrow(join_chunks, f"media_sha256 string, {columns}"), "media-built")
+    spread = join_hot(mixed.select("doc_id", "n_bytes", "media_sha256"), built.join(one.select("media_sha256", "rows"), "media_sha256"), ["media_sha256"], "rows", 200)
     return done.unionByName(spread)
 
 

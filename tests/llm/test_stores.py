@@ -68,8 +68,8 @@ def test_cuts_depend_on_content():
         h, out = 0, []
         for i, x in enumerate(data):
             h = (2 * h + int(media._GEAR[x])) % 2**32
-            out.append(h % 2**media.MASK_BITS == 0)
-        return [i + 1 for i, cut in enumerate(out) if cut and i >= 16]
+            out.append(h >> (32 - media.MASK_BITS) == 0)
+        return [i + 1 for i, cut in enumerate(out) if cut]
 
     marks = {i for i in media.cuts(data)}
     assert marks - set(slow(data)) <= {len(data)}
@@ -113,6 +113,30 @@ def test_mixing_rates(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mix_sources(docs, {}).count() == 0
 
 
+def test_mixing_a_rare_source(spark):
+    """One row among 200,000 in equal shares of two: some 100,000 copies, all different, from many tasks."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 77, "rare").otherwise("big").alias("source"), F.lit("t").alias("text"))
+    out = mixing.mix_sources(docs).where("source = 'rare'")
+    r = out.agg(F.count("*").alias("n"), F.countDistinct("copy").alias("copies"), F.min("copy").alias("least"), F.countDistinct("shuffle_key").alias("keys")).first()
+    assert abs(r.n - 100_000) < 5 * math.sqrt(100_000) and r.n == r.copies == r.keys and r.least == 0
+
+
+def test_mixing_odd_rows(spark):
+    """Null ids and equal rows are drawn alike, long texts are carried whole, clashing columns go."""
+    rows = [(None, "x" * 3_000_000, "a", 1), (5, "t", "a", 2), (5, "t", "a", 2), (6, None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shuffle_key int")
+    out = mixing.mix_sources(docs, size=8.0).collect()
+    n = Counter((r.doc_id, r.source) for r in out)
+    assert n[5, "a"] % 2 == 0 and {len(r.text) for r in out if r.doc_id is None} <= {3_000_000} and out[0].asDict().keys() == {"doc_id", "text", "source", "copy", "shuffle_key"}
+
+
+def test_mixing_with_more_sources_than_are_broadcast(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 300).cast("string")).alias("source"))
+    want = Counter((r.doc_id, r.copy) for r in mixing.mix_sources(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", 10)
+    assert Counter((r.doc_id, r.copy) for r in mixing.mix_sources(docs).collect()) == want
+
+
 def test_poisson_inversion(spark):
     means = [0.0, 0.01, 0.7, 3.0, 60.0, 2000.0]
     df = spark.createDataFrame([(m,) for m in means], "m double").select("m", mixing.poisson_steps(F.col("m")).alias("s"))
