@@ -4,12 +4,15 @@ The network is trained in numpy by backpropagation through time on windows of la
 texts. It labels every byte of every text; the probabilities of a document's positions
 are pooled as the mean of their logarithms. A text is cut into windows of a fixed
 number of bytes, which run side by side through the matrix products; a window's state
-begins at zero, as in training.
+begins at zero, as in training. Rows that no window was drawn from then tell how far the
+pooled mean of a text of some length can be trusted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +21,19 @@ from pyspark.sql import functions as F
 
 from . import textnum
 from .nbsvm import fold
+from .scratch import stage
 
 HIDDEN, WINDOW = 8, 96
+#: Windows that are drawn from each text to learn from.
+DRAWN = 16
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
     params: dict[str, np.ndarray]
+    scale: float = 1.0  # a document's logits are its mean log probabilities times scale * bytes ** power
+    power: float = 0.5
 
 
 def _new(classes: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -141,7 +149,7 @@ def fit(texts: list[bytes], labels: list[str], steps: int = 260, rows: int = 128
         codes, mask = np.full((WINDOW, rows), 32, np.uint8), np.zeros((WINDOW, rows), np.float32)
         for i, k in enumerate(y):
             t = by[k][rng.integers(len(by[k]))]
-            at = int(rng.integers(0, max(1, len(t) - WINDOW // 2)))
+            at = int(rng.integers(0, len(t) - WINDOW // 2)) if len(t) > WINDOW else 0
             part = np.frombuffer(t[at : at + WINDOW], np.uint8)
             codes[: len(part), i] = part
             mask[: len(part), i] = 1
@@ -156,9 +164,9 @@ def fit(texts: list[bytes], labels: list[str], steps: int = 260, rows: int = 128
     return Model(languages, p)
 
 
-def pooled(model: Model, column: pa.Array, most: int = 1 << 19) -> np.ndarray:
-    """(rows, classes): probabilities of each row's language from all its positions."""
-    out = np.full((len(column), max(1, len(model.languages))), 1.0 / max(1, len(model.languages)))
+def means(model: Model, column: pa.Array, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, classes): the mean of the log probabilities of all positions of each row, and the rows' bytes."""
+    out, sizes = np.zeros((len(column), max(1, len(model.languages)))), np.zeros(len(column), np.int64)
     for first, part in textnum.pieces(column, most):
         data, at = textnum.utf8(part)
         size = np.diff(at)
@@ -167,7 +175,7 @@ def pooled(model: Model, column: pa.Array, most: int = 1 << 19) -> np.ndarray:
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
         begin = at[:-1][doc] + nth * WINDOW
         count = np.minimum(WINDOW, at[1:][doc] - begin)
-        total = np.zeros((len(part), len(model.languages)))
+        total = np.zeros((len(part), max(1, len(model.languages))))
         order = np.argsort(-count, kind="stable")
         for a in range(0, len(order), 2048):
             w = order[a : a + 2048]
@@ -177,25 +185,84 @@ def pooled(model: Model, column: pa.Array, most: int = 1 << 19) -> np.ndarray:
             codes = np.where(real, data[np.minimum(spots, len(data) - 1)], np.uint8(32))
             log_p = position_log_probabilities(model.params, codes, real)
             np.add.at(total, doc[w], (log_p * real[:, :, None]).sum(axis=0))
-        mean = total / np.maximum(size, 1)[:, None]
-        # neighbouring positions see the same letters: the pool counts as that of one word in six bytes, 200 at most
-        logits = mean * np.minimum(np.maximum(size, 1), 1200)[:, None] / 6
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        # rounded, as matrix products of other sizes differ in their last bits
-        out[first : first + len(part)] = np.round(p / p.sum(axis=1, keepdims=True), 5)
-    return out
+        out[first : first + len(part)] = total / np.maximum(size, 1)[:, None]
+        sizes[first : first + len(part)] = size
+    return out, sizes
+
+
+def _softmax(mean: np.ndarray, size: np.ndarray, scale: float, power: float) -> np.ndarray:
+    logits = mean * (scale * np.maximum(size, 1) ** power)[:, None]
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def pooled(model: Model, column: pa.Array) -> np.ndarray:
+    """(rows, classes): probabilities of each row's language from all its positions."""
+    # rounded, as matrix products of other sizes differ in their last bits
+    return np.round(_softmax(*means(model, column), model.scale, model.power), 5)
+
+
+def calibrated(model: Model, mean: np.ndarray, size: np.ndarray, y: np.ndarray) -> Model:
+    """``model`` with the scale and power that give rows of languages ``y`` (numbers) the least loss.
+
+    Neighbouring positions see the same letters, so a text's evidence grows by less than
+    its length. A small share of each probability is spread over all languages, as an
+    error among few rows can't be ruled out.
+    """
+    if not len(y):
+        return model
+    spread = 1.0 / (len(y) + 2)
+    best = (np.inf, model.scale, model.power)
+    for power in (0.0, 0.25, 0.5, 0.75, 1.0):
+        for scale in 10.0 ** np.linspace(-2, 3, 51):
+            p = _softmax(mean, size, scale, power)[np.arange(len(y)), y]
+            best = min(best, (-float(np.log((1 - spread) * p + spread / mean.shape[1]).mean()), float(scale), power))
+    return replace(model, scale=best[1], power=best[2])
 
 
 def train(docs: DataFrame, max_rows: int = 3000, held_out: int = 2, text: str = "text", label: str = "lang") -> Model:
-    """Fit on about ``max_rows`` labelled rows outside the held-out fold, those with the lowest hashes of their ids."""
-    usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.coalesce(fold(F.col("doc_id")), F.lit(0)) != held_out))
-    n = usable.count()
-    if n > max_rows:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * max_rows / n))
-    # A few thousand bytes of each text are enough to learn from; labelling reads all.
-    got = usable.select(F.substring(F.col(text), 1, 4000).alias("t"), F.col(label).alias("y")).toArrow()
-    rows = sorted(zip(got["y"].to_pylist(), [t.encode() for t in got["t"].to_pylist()], strict=True))
-    return fit([t for _, t in rows], [y for y, _ in rows])
+    """Fit on at most about ``max_rows`` labelled rows outside the held-out fold, as many of each language.
+
+    Of a language with more rows than its share, those with the lowest hashes of their
+    ids are taken; a rarer one keeps all its rows. Of each row ``DRAWN`` windows at
+    random places of the whole text are learned from. Every fourth row is not, and sets
+    how probabilities are pooled. Null labels and texts are left out.
+    """
+    usable = docs.select("doc_id", F.col(text).alias("text"), F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != held_out))
+    found = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not found:
+        return fit([], [])
+    share = max_rows / len(found)
+    limits = F.create_map(*[F.lit(x) for y, n in sorted(found.items()) for x in (y, int(1_000_003 * min(1.0, share / n)))])
+    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(limits, F.col("y")))
+    sample = stage(picked.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(4)) == 0).alias("pool")), "lang-sample")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = []
+            for t in batch.column("text").to_pylist():
+                body = t.encode()
+                rng = np.random.default_rng(zlib.crc32(body))
+                at = rng.integers(0, max(1, len(body) - WINDOW // 2), DRAWN if len(body) > WINDOW else 1)
+                windows.append([body[k : k + WINDOW] for k in at.tolist()] if len(body) > WINDOW else [body])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(windows, pa.list_(pa.binary()))], ["y", "windows"])
+
+    got = sample.where("NOT pool").select("y", "text").mapInArrow(draw, "y string, windows array<binary>").toArrow()
+    rows = sorted((y, w) for y, all_ in zip(got["y"].to_pylist(), got["windows"].to_pylist(), strict=True) for w in all_)
+    model = fit([w for _, w in rows], [y for y, _ in rows])
+    if len(model.languages) < 2:
+        return model
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mean, size = means(model, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(mean), pa.list_(pa.float64())), pa.array(size)], ["y", "mean", "size"])
+
+    known = sample.where(F.col("pool") & F.col("y").isin(*model.languages) & (F.col("text") != "")).select("y", "text")
+    got = known.mapInArrow(measure, "y string, mean array<double>, size long").toArrow().sort_by([("y", "ascending"), ("size", "ascending")])
+    at = {name: i for i, name in enumerate(model.languages)}
+    mean = np.array(got["mean"].to_pylist(), float).reshape(-1, len(model.languages))
+    return calibrated(model, mean, got["size"].to_numpy(), np.array([at[y] for y in got["y"].to_pylist()], int))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

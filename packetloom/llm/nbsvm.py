@@ -135,7 +135,8 @@ def scores(model: Model, column: pa.Array) -> np.ndarray:
 
 
 def fold(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4
+    """The part of four that a row belongs to; one without doc_id is in part 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, held_out: int = 2) -> Model:

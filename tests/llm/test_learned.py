@@ -93,3 +93,94 @@ def test_windows_are_labelled_alike_wherever_they_run():
     whole = langid.pooled(model, pa.array(texts))
     alone = np.concatenate([langid.pooled(model, pa.array([t])) for t in texts if t])
     assert np.allclose(whole[[0, 1, 3]], alone, atol=2e-5)
+
+
+def test_a_rare_language_is_learned_beside_common_ones(spark):
+    """The sample is drawn by language, so a language with one row in a thousand is among the learned ones."""
+    rows = [(i, ("the then rather other " if i % 2 else "où été déjà près ") * 12, "en" if i % 2 else "fr") for i in range(4000)]
+    rows += [(10_000 + i, "żółw gęś źdźbło łąka " * 12, "pl") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_rows=300)
+    assert model.languages == ("en", "fr", "pl")
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id < 3 OR doc_id >= 10000"), model).collect()}
+    assert out[0] == "fr" and out[1] == "en" and {out[10_000 + i] for i in range(4)} == {"pl"}
+
+
+def test_language_windows_come_from_whole_texts(spark):
+    """A long text whose first part says nothing is still learned from."""
+    rows = [(i, "0 " * 4000 + ("the then rather other " if i % 2 else "où été déjà près ") * 400, "en" if i % 2 else "fr") for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    out = langid.identify(spark.createDataFrame([(1, "the other then"), (2, "déjà été près où")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in out] == ["en", "fr"]
+
+
+def test_language_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a b", None, "x", 1.0), (1, "a b", None, "x", 1.0)], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = langid.train(docs)
+    assert model.languages == () and langid.train(docs.limit(0)).languages == ()
+    out = langid.identify(docs, model)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {r.lang_pred for r in out.collect()} == {"und"}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for module in (langid, nbsvm):
+        held = {r.doc_id: r.held_out for r in module.query(spark, str(tmp_path)).collect()}
+        assert held[None] is False and held[1] in (True, False)
+
+
+def test_pooling_is_calibrated():
+    rng = np.random.default_rng(0)
+    size = rng.integers(20, 4000, 3000)
+    truth = rng.integers(0, 3, 3000)
+    mean = rng.normal(0, 1, (3000, 3)) / np.sqrt(size)[:, None]
+    mean[np.arange(3000), truth] += 1.0 / np.sqrt(size)
+    model = langid.calibrated(langid.Model(("a", "b", "c"), {}), mean, size, truth)
+    p = langid._softmax(mean, size, model.scale, model.power)
+    sure = p.max(axis=1)
+    assert model.power == 0.5 and abs(sure.mean() - (p.argmax(axis=1) == truth).mean()) < 0.03
+
+
+def test_classifier_against_brute_force():
+    """The dual's weights come near the minimum of the primal hinge loss over the same scaled indicators."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 200)
+    rows = [np.unique(rng.integers(0, 30, 8) + (0 if k else 15)).astype(np.int32) for k in y]
+    model = nbsvm.fit(rows, y, min_rows=0, epochs=200, seed=7)
+    order = np.random.default_rng(7).permutation(len(rows))
+    train = order[len(rows) // 4 :]
+    x = np.zeros((len(train), 60))
+    for a, i in enumerate(train):
+        x[a, rows[i]] = 1 / np.sqrt(len(rows[i]))
+    sign = np.where(y[train] == 1, 1.0, -1.0)
+    cost = np.where(y[train] == 1, len(train) / (2 * (y[train] == 1).sum()), len(train) / (2 * (y[train] == 0).sum()))
+    ratio = model_ratio(rows, y, train)
+    scaled = x * ratio
+
+    def loss(w, b):
+        return 0.5 * (w @ w + b * b) + (cost * np.maximum(0, 1 - sign * (scaled @ w + b))).sum()
+
+    w, b = np.zeros(60), 0.0
+    best = loss(w, b)
+    for step in range(20_000):  # plain subgradient descent
+        hit = sign * (scaled @ w + b) < 1
+        gw, gb = w - ((cost * sign * hit)[:, None] * scaled).sum(axis=0), b - (cost * sign * hit).sum()
+        w, b = w - 0.05 / (1 + step / 50) * gw, b - 0.05 / (1 + step / 50) * gb
+        best = min(best, loss(w, b))
+    own = model.weights[:60] / np.where(ratio == 0, 1, ratio)
+    assert loss(own, model.bias) <= best * 1.02 + 1e-6
+
+
+def model_ratio(rows, y, train):
+    """Log-count ratios over the hashed width, as in the model: smoothing counts for all of it."""
+    width = 1 << nbsvm.BITS
+    p, q = np.ones(width), np.ones(width)
+    for i in train:
+        for k in rows[i]:
+            (p if y[i] else q)[k] += 1
+    return np.log((p / p.sum()) / (q / q.sum()))[:60]
+
+
+def test_a_score_at_the_threshold_is_accepted(spark):
+    shift = float(np.log(0.75 / 0.25))
+    model = nbsvm.Model(np.zeros(1 << nbsvm.BITS, np.float32), 0.0, 0.0, shift)
+    out = nbsvm.classify(spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string"), model, threshold=1 / (1 + np.exp(-shift))).collect()
+    assert [r.predicted for r in out] == [1, 1]
