@@ -108,3 +108,17 @@ def test_added_tokens_are_one_id(spark, tmp_path):
     default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     check(packing.query(spark, str(tmp_path)).collect(), rows, default)
     assert packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), True)(texts[0]) == [64, 220, 50256, 275]
+
+
+def test_every_code_point_gives_the_default_tokenizer_s_ids():
+    """Classes of characters, spaces and contractions are cut alike, wherever the added token stands."""
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), True)
+    points = [*range(0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x110000, 97)]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)}\n{chr(c)} 's{chr(c)}'ll" for c in points]
+    rng = random.Random(1)
+    bits = [" ", "  ", "\n", "\r\n", "\t", " ", "a", "Bc", "é", "日本", "😀", "1", "½", "'s", "'LL", "_", "<|endoftext|>", "<|endo", "‍", "\x00", "\x85"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    for first in range(0, len(texts), 5000):
+        part = texts[first : first + 5000]
+        assert [encode(t) for t in part] == [e.ids for e in default.encode_batch(part, add_special_tokens=False)]
