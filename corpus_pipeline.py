@@ -2,6 +2,8 @@
 
 Each stage is one of the operators of ``packetloom.llm``. It takes the documents that
 its predecessor kept and returns documents; the last returns the token pieces' places.
+Every stage takes whole texts of any length and gives no rows for an empty table. Of
+the columns of ``docs`` it needs those of ``COLUMNS`` and drops all others.
 """
 
 from __future__ import annotations
@@ -16,30 +18,43 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It learns from those of ``docs`` that have labels."""
+    """Documents that the classifier accepts. It learns from those of ``docs`` that have labels.
+
+    Null and empty texts get the model's base score; a score of exactly 0.7 is accepted;
+    repeated rows and equal texts stay or go together; a null doc_id or label teaches nothing.
+    """
     model = nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return nbsvm.classify(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id; of its repeated rows, one."""
-    groups = jaccard.near_duplicates(docs)
-    keep = groups.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near duplicates the document with the least id; of its repeated rows, one.
+
+    Of several texts under that id one stays. Documents without words, with a null text or
+    without doc_id are in no group and stay, but for repeated rows of one with a doc_id.
+    """
+    return jaccard.deduplicated(docs.select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by ``<kind>``."""
+    """Personal data replaced by ``<kind>``, n_chars counted anew.
+
+    Rows stay, null texts too, with n_chars null; of spans that overlap one kind is written.
+    """
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in equal shares, as many documents on average as there were."""
+    """Sources in equal shares, as many documents on average as there were.
+
+    A null source is one of its own. Rows of one doc_id are drawn alike; a null doc_id
+    counts as an id. Texts are not looked at.
+    """
     return mixing.mix_sources(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token piece's sequence and place."""
+    """Every token piece's sequence and place. A null text is one token; repeated rows get places of their own."""
     return packing.pack_documents(docs, added=True)
 
 
