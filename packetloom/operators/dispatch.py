@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.binary import part
 
-from .flows import KEY
-
 # The tokens that open an HTTP message, and the ports that stand in for content.
 HTTP_TOKENS = ("GET ", "POST ", "PUT ", "DELETE ", "HEAD ", "OPTIONS ", "PATCH ", "CONNECT ", "TRACE ", "HTTP/")
 PORTS = (((443, 8443), "Tls"), ((80, 8080), "Http"), ((502,), "Modbus"), ((20000,), "Dnp3"), ((44818,), "Enip"))
@@ -27,16 +25,21 @@ def classify(data: Column, lower_port: Column, upper_port: Column) -> Column:
     return out
 
 
+_TOKENS = tuple(t.encode() for t in HTTP_TOKENS)
+
+
+def classify_bytes(data: bytes, lower_port: int, upper_port: int) -> str | None:
+    """:func:`classify` of one chunk, for the pass over a flow."""
+    if len(data) >= 5 and data[:2] == b"\x16\x03":
+        return "Tls"
+    if data.startswith(_TOKENS):
+        return "Http"
+    return next((name for ports, name in PORTS if lower_port in ports or upper_port in ports), None)
+
+
 def dispatch(chunks: DataFrame) -> DataFrame:
-    """Chunks with ``route``. Chunks before the one that tells are dropped, as are all of an instance whose first eight tell nothing."""
-    w = Window.partitionBy(*KEY, "inst").orderBy("ip_idx", "sub")
-    df = chunks.withColumn("_kind", classify(F.col("data"), F.col("lower_port"), F.col("upper_port"))).withColumn("_nth", F.row_number().over(w))
-    told = F.when((F.col("_nth") <= ATTEMPTS), F.col("_kind"))
-    route = F.first(told, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("route", route).where("route IS NOT NULL").drop("_kind", "_nth")
-
-
-def unclassified(all_instances: DataFrame, routed: DataFrame) -> DataFrame:
-    """One row: ``unclassified_flows``, the instances without a route."""
-    known = routed.select(*KEY, "inst").distinct()
-    return all_instances.select(*KEY, "inst").distinct().join(known, [*KEY, "inst"], "left_anti").agg(F.count("*").alias("unclassified_flows"))
+    """Chunks that have a ``route``: reassembly fixes it with the first of an instance's first eight chunks that tells.
+
+    Chunks before that one are dropped, as are all of an instance whose first eight tell nothing.
+    """
+    return chunks.where("route IS NOT NULL")

@@ -199,9 +199,19 @@ def detect(found: DataFrame, ends: DataFrame, threshold: int = 10) -> DataFrame:
     ])
 
 
-def counts(found: DataFrame) -> DataFrame:
-    """``field``, ``value``, ``n``: frames, parse errors, and the distribution of function codes."""
+def counts(found: DataFrame, routed: DataFrame) -> DataFrame:
+    """``field``, ``value``, ``n``: frames, parse errors, flows, function codes, and each flow's control requests.
+
+    Flows are numbered from 0 by their ends; a flow's control requests are those of its last window.
+    """
     frame = found.where("what = 'frame'")
     codes = frame.where("fc IS NOT NULL").groupBy(F.col("fc").cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("field", F.lit("function_code_distribution"))
-    sums = found.where(F.col("what").isin("frame", "malformed")).groupBy(F.when(F.col("what") == "frame", "frame_count").otherwise("parse_errors").alias("value")).agg(F.count("*").alias("n")).withColumn("field", F.lit("counters"))
-    return codes.unionByName(sums)
+    sums = found.where(F.col("what").isin("frame", "malformed")).groupBy(F.when(F.col("what") == "frame", "total_frames").otherwise("parse_errors").alias("value")).agg(F.count("*").alias("n")).withColumn("field", F.lit("counters"))
+    flows = routed.where("route = 'Dnp3'").select(*KEY).distinct()
+    total = flows.agg(F.count("*").alias("n")).select(F.lit("flows_analyzed").alias("value"), "n", F.lit("counters").alias("field"))
+    control = anchored_windows(frame.where(code_class(F.col("fc")) == "Control"), KEY, ["at", "sub"], "ts", 60)
+    last = control.groupBy(*KEY).agg(F.max_by("win_count", F.struct("at", "sub")).alias("n"))
+    per = flows.join(last, KEY, "left").select(F.struct(*KEY).alias("key"), F.coalesce("n", F.lit(0)).alias("n"))
+    # Only the flows' rows, of a few bytes each, are numbered in one task.
+    per = per.select((F.row_number().over(Window.orderBy("key")) - 1).cast("string").alias("value"), "n", F.lit("control_operation_counts").alias("field"))
+    return codes.unionByName(sums).unionByName(total).unionByName(per)

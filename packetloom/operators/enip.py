@@ -175,10 +175,11 @@ def detect(found: DataFrame, ends: DataFrame, write_burst: int = 50, error_burst
     return out.unionByName(more)
 
 
-def counts(found: DataFrame) -> DataFrame:
+def counts(found: DataFrame, routed: DataFrame) -> DataFrame:
     """``field``, ``value``, ``n``: frames, malformed ones, CIP errors and writes, commands."""
     commands = found.where("what = 'frame'").groupBy(hex4(uint_le(F.col("frame"), 0, 2)).alias("value")).agg(F.count("*").alias("n")).withColumn("field", F.lit("command_distribution"))
-    sums = found.where(F.col("what").isin("frame", "malformed")).groupBy(F.when(F.col("what") == "frame", "pdu_count").otherwise("parse_errors").alias("value")).agg(F.count("*").alias("n")).withColumn("field", F.lit("counters"))
+    sums = found.where(F.col("what").isin("frame", "malformed")).groupBy(F.when(F.col("what") == "frame", "total_pdu_count").otherwise("parse_errors").alias("value")).agg(F.count("*").alias("n")).withColumn("field", F.lit("counters"))
     kind = F.when(F.col("response") & (F.coalesce("status", F.lit(0)) != 0), "error_count").when(~F.col("response") & F.col("service").isin(2, 4, 16), "write_count")
     cip = services(found).select(kind.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n")).withColumn("field", F.lit("counters"))
-    return commands.unionByName(sums).unionByName(cip)
+    flows = routed.where("route = 'Enip'").select(*KEY).distinct().agg(F.count("*").alias("n")).select(F.lit("flows_analyzed").alias("value"), "n", F.lit("counters").alias("field"))
+    return commands.unionByName(sums).unionByName(cip).unionByName(flows)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: stage: ARP 0, reassembly 1, HTTP 2, TLS 3, Modbus 4, DNP3 5, EtherNet/IP 6; at and sub order findings within one.
 COLUMNS = ["stage", "at", "sub", "category", "verdict", "confidence", "summary", "evidence", "mitre_techniques", "source_ip", "ts", "direction"]
 MOST = 10_000
+CAPPED = (1, 4, 5, 6)
+#: The place of a stage's closing finding, behind all others and outside the cap.
+LAST = 2**62
 
 
 def finding(category: str | Column, verdict: str | Column, confidence: str | Column, summary: Column, evidence: Column, techniques: list[str] | Column, sub: int, source_ip: Column | None = None, direction: str | Column | None = None) -> Column:
@@ -29,12 +32,22 @@ def rows(df: DataFrame, stage: int, at: Column, ts: Column, found: list[tuple[Co
 
 
 def capped(found: DataFrame, most: int = MOST) -> DataFrame:
-    """The first ``most`` findings of each stage but ARP, HTTP and TLS, which have no cap.
+    """The first ``most`` findings of each stage but ARP, HTTP and TLS, which have no cap; those at ``LAST`` pass it.
 
-    The cap is the feature of the report, not of detection: it bounds what a reader sees.
+    The cap is the feature of the report, not of detection: it bounds what a reader sees,
+    and :func:`dropped` tells how many it leaves out. Each task keeps its own first ones,
+    so no task gets all findings of a stage.
     """
-    w = Window.partitionBy("stage").orderBy("at", "sub")
-    return found.withColumn("_n", F.row_number().over(w)).where(F.col("stage").isin(0, 2, 3) | (F.col("_n") <= most)).drop("_n")
+    out = found.where(~F.col("stage").isin(*CAPPED) | (F.col("at") == LAST))
+    for stage in CAPPED:
+        out = out.unionByName(found.where((F.col("stage") == stage) & (F.col("at") != LAST)).orderBy("at", "sub").limit(most))
+    return out
+
+
+def dropped(found: DataFrame, most: int = MOST) -> dict[int, int]:
+    """The number of findings that :func:`capped` leaves out of each capped stage."""
+    n = {r.stage: r.n for r in found.where(F.col("stage").isin(*CAPPED) & (F.col("at") != LAST)).groupBy("stage").agg(F.count("*").alias("n")).collect()}
+    return {stage: max(0, n.get(stage, 0) - most) for stage in CAPPED}
 
 
 def hex4(value: Column) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import numbered
 
 
 @dataclass(frozen=True)
@@ -53,9 +53,7 @@ def keyed(packets: DataFrame) -> DataFrame:
 
 def ip_index(packets: DataFrame) -> DataFrame:
     """IP packets with ``ip_idx``, their number from 1 over all files, and ``clock``, the latest second so far."""
-    ip = packets.where("kind = 'ip'")
-    ip = running(ip, F.col("order"), F.lit(1), "count", "ip_idx")
-    return running(ip, F.col("ip_idx"), F.greatest(F.col("ts"), F.lit(0)), "max", "clock")
+    return numbered(packets.where("kind = 'ip'"), F.col("order"), F.greatest(F.col("ts"), F.lit(0)), "ip_idx", "clock")
 
 
 def instances(indexed: DataFrame, config: FlowConfig = FlowConfig()) -> DataFrame:
@@ -86,6 +84,8 @@ def flows(tcp: DataFrame, end_clock: int | None = None, end_idx: int | None = No
     """
     per = tcp.groupBy(*KEY, "inst").agg(
         F.first("flow").alias("flow"),
+        F.first("lower_ip").alias("lower_ip"),
+        F.first("upper_ip").alias("upper_ip"),
         F.min("ts").alias("first_seen"),
         F.max_by("ts", "ip_idx").alias("last_seen"),
         F.max("ip_idx").alias("last_idx"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .findings import finding, rows
@@ -148,13 +148,30 @@ def top(found: DataFrame, column: str, n: int = 20) -> DataFrame:
     return found.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
+#: Values of a counter that are told apart: the first ones to occur, as in the report that this one matches.
+MOST_KEYS = 50_000
+
+
+def first_keys(values: DataFrame, order: list[str], most: int = MOST_KEYS) -> DataFrame:
+    """``field``, ``value``, ``n`` of ``values`` (field, value, ``order``): of each field the ``most`` values that occur first."""
+    seen = values.groupBy("field", "value").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
+    # Fields are few; more than ``most`` values of one are put in order within tasks before they meet.
+    w = Window.partitionBy("field", "_part").orderBy("_first")
+    near = seen.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy("field").orderBy("_first"))).where(F.col("_n") <= most).select("field", "value", "n")
+
+
+def recent_uris(found: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` URIs, in order: ``nth``, ``uri``."""
+    first = found.where("what = 'request'").select("at", "sub", "uri").orderBy("at", "sub").limit(n)
+    return first.select(F.row_number().over(Window.orderBy("at", "sub")).alias("nth"), "uri")
+
+
 def counts(found: DataFrame) -> DataFrame:
     """``field``, ``value``, ``n``: every counter of the summary, one row for each value."""
-    one = lambda what, column: found.where((F.col("what") == what) & F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    parts = [one("request", "method").withColumn("field", F.lit("methods")), one("response", "status").withColumn("field", F.lit("status_codes")), one("request", "user_agent").withColumn("field", F.lit("user_agents")), one("request", "host").withColumn("field", F.lit("hosts"))]
+    parts = (("request", "method", "methods"), ("request", "user_agent", "user_agents"), ("request", "host", "hosts"), ("response", "status", "status_codes"))
+    each = F.array(*[F.struct(F.lit(field).alias("field"), F.when(F.col("what") == what, F.col(c).cast("string")).alias("value")) for what, c, field in parts])
+    values = found.select("at", "sub", F.explode(each).alias("x")).select("at", "sub", "x.*").where("value IS NOT NULL")
     names = F.create_map(*[F.lit(x) for x in ("response", "transactions", "error", "parse_errors", "foreign", "non_http_flows", "skipped", "poisoned_bytes_skipped")])
     sums = found.where(F.col("what").isin("response", "error", "foreign", "skipped")).groupBy("what").agg(F.sum("n").alias("n")).select(names[F.col("what")].alias("value"), "n").withColumn("field", F.lit("counters"))
-    out = parts[0]
-    for p in [*parts[1:], sums]:
-        out = out.unionByName(p)
-    return out.select("field", "value", "n")
+    return first_keys(values, ["at", "sub"]).unionByName(sums)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tactics in report order (name, id), and techniques (id, name, tactic).
@@ -73,22 +73,24 @@ def reference(technique):
     return F.concat(F.lit("https://attack.mitre.org/techniques/"), F.replace(technique, F.lit("."), F.lit("/")), F.lit("/"))
 
 
+def _known(value) -> Column:
+    """A map literal from technique to ``value`` (name, tactic, id of the tactic, its place in reports)."""
+    order = {name: (i, code) for i, (name, code) in enumerate(TACTICS)}
+    return F.create_map(*[F.lit(x) for t, n, tactic in TECHNIQUES for x in (t, value(n, tactic, order[tactic][1], order[tactic][0]))])
+
+
 def enrich(findings: DataFrame) -> DataFrame:
     """``findings`` with ``mitre_attack``: id, name, tactic and page of each technique, in its order.
 
-    An unknown technique keeps its id and page. The 28 techniques are broadcast.
+    An unknown technique keeps its id and page. The 28 techniques are looked up within the row.
     """
-    known = F.broadcast(techniques(findings.sparkSession))
-    rows = findings.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", F.posexplode("mitre_techniques").alias("_at", "id")).join(known, "id", "left")
-    entry = F.struct("_at", "id", "name", "tactic_id", "tactic_name", reference(F.col("id")).alias("reference"))
-    lists = each.groupBy("_row").agg(F.sort_array(F.collect_list(entry)).alias("mitre_attack"))
-    bare = F.transform("mitre_attack", lambda m: F.struct(*[m[c].alias(c) for c in ("id", "name", "tactic_id", "tactic_name", "reference")]))
-    return rows.join(lists, "_row", "left").withColumn("mitre_attack", F.coalesce(bare, F.array())).drop("_row")
+    names, ids, tactics = (_known(lambda n, t, i, o, k=k: (n, i, t)[k]) for k in range(3))
+    entry = lambda t: F.struct(t.alias("id"), F.try_element_at(names, t).alias("name"), F.try_element_at(ids, t).alias("tactic_id"), F.try_element_at(tactics, t).alias("tactic_name"), reference(t).alias("reference"))
+    return findings.withColumn("mitre_attack", F.coalesce(F.transform("mitre_techniques", entry), F.array()))
 
 
 def by_tactic(findings: DataFrame) -> DataFrame:
     """``findings`` with the tactic of their first technique; without one they are Uncategorized, last."""
-    known = F.broadcast(techniques(findings.sparkSession).select(F.col("id").alias("_first"), "tactic_name", "tactic_order"))
-    out = findings.withColumn("_first", F.get("mitre_techniques", F.lit(0))).join(known, "_first", "left").drop("_first")
-    return out.fillna({"tactic_name": "Uncategorized", "tactic_order": len(TACTICS)})
+    first = F.get("mitre_techniques", F.lit(0))
+    name, place = F.try_element_at(_known(lambda n, t, i, o: t), first), F.try_element_at(_known(lambda n, t, i, o: o), first)
+    return findings.withColumns({"tactic_name": F.coalesce(name, F.lit("Uncategorized")), "tactic_order": F.coalesce(place, F.lit(len(TACTICS)))})

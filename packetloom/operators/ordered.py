@@ -10,17 +10,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from packetloom.scratch import stage
 
-def ordered_map(df: DataFrame, keys: list[str], order: list[str], run: Callable[[tuple, Iterator[dict]], Iterable[tuple]], schema: str) -> DataFrame:
-    """``run(key, rows)`` for each key; what it yields becomes rows of ``schema``."""
+
+def ordered_map(df: DataFrame, keys: list[str], order: list[str], run: Callable[[tuple, Iterator[dict]], Iterable[tuple]], schema: str, placed: bool = False) -> DataFrame:
+    """``run(key, rows)`` for each key; what it yields becomes rows of ``schema``.
+
+    ``placed``: each key's rows already lie together and in order, as behind a window over it.
+    """
     fields = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(fields)
-    placed = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    rows_of = df if placed else df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in batch.to_pylist())
@@ -48,32 +53,32 @@ def ordered_map(df: DataFrame, keys: list[str], order: list[str], run: Callable[
         if out:
             yield _batch(out, arrow)
 
-    return placed.mapInArrow(work, fields)
+    return rows_of.mapInArrow(work, fields)
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
 
-def running(df: DataFrame, order: Column, value: Column, kind: str, name: str, width: int = 8192) -> DataFrame:
-    """``df`` with a running ``max`` or ``count`` of ``value`` over all rows in ``order`` (a dense long).
+def numbered(df: DataFrame, order: Column, value: Column, count: str, highest: str, width: int = 65_536) -> DataFrame:
+    """``df`` with the running number of rows (from 1) and the running maximum of ``value``, over all rows by ``order`` (a long).
 
-    Not one window over everything: a window within blocks of ``width`` order values,
-    one over blocks of blocks, and one over the blocks of those, each joined to the
-    next. Only the last, with a row for some 67 million, runs in a single task.
+    Not one window over everything, which would be one task: a window within blocks of
+    ``width`` order values, and the totals of the blocks before, which a window over the
+    table of blocks gives. That table has two numbers for each block and is written, so
+    ``df`` is read once for the blocks and once for its rows.
     """
-    from pyspark.sql import Window
-
-    fn = {"max": F.max, "count": F.count}[kind]
-    top = {"max": F.max, "count": F.sum}[kind]
-    both = (lambda a, b: F.greatest(a, b)) if kind == "max" else (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     df = df.withColumn("_o", order).withColumn("_b", F.floor(order / width)).withColumn("_v", value)
-    blocks = df.groupBy("_b").agg(fn("_v").alias("_x")).withColumn("_c", F.floor(F.col("_b") / width))
-    upper = blocks.groupBy("_c").agg(top("_x").alias("_y"))
+    blocks = df.groupBy("_b").agg(F.count("*").alias("_n"), F.max("_v").alias("_m")).withColumn("_c", F.floor(F.col("_b") / width))
+    blocks = stage(blocks, "blocks")
+    # Blocks of blocks: only the last window, with a row for some four billion order values, is one task.
+    upper = blocks.groupBy("_c").agg(F.sum("_n").alias("_un"), F.max("_m").alias("_um"))
     before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    upper = upper.select("_c", top("_y").over(before).alias("_y"))
+    upper = upper.select("_c", F.sum("_un").over(before).alias("_un"), F.max("_um").over(before).alias("_um"))
     before = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_c", "_b", top("_x").over(before).alias("_x")).join(upper, "_c").select("_b", both(F.col("_x"), F.col("_y")).alias("_x"))
+    blocks = blocks.select("_c", "_b", F.sum("_n").over(before).alias("_n"), F.max("_m").over(before).alias("_m")).join(upper, "_c")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    blocks = blocks.select("_b", (zero("_n") + zero("_un")).alias("_n"), F.greatest("_m", "_um").alias("_m"))
     within = Window.partitionBy("_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_w", fn("_v").over(within)).join(blocks, "_b")
-    return df.withColumn(name, both(F.col("_w"), F.col("_x"))).drop("_o", "_b", "_v", "_w", "_x")
+    df = df.withColumns({"_k": F.count("*").over(within), "_x": F.max("_v").over(within)}).join(blocks, "_b")
+    return df.withColumns({count: F.col("_k") + F.col("_n"), highest: F.greatest("_x", "_m")}).drop("_o", "_b", "_v", "_k", "_x", "_n", "_m")

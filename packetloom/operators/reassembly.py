@@ -11,9 +11,10 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dispatch import ATTEMPTS, classify_bytes
 from .flows import KEY, FlowConfig
 from .ordered import ordered_map
 
@@ -21,7 +22,7 @@ CLIENT, SERVER = "ClientToServer", "ServerToClient"
 SCHEMA = (
     "lower_key binary, lower_port int, upper_key binary, upper_port int, inst long, flow string, what string, ip_idx long, sub int, ts long, direction string,"
     " offset long, data binary, category string, verdict string, confidence string, summary string, evidence array<string>, mitre_techniques array<string>,"
-    " source_ip string, stats map<string,long>"
+    " source_ip string, stats map<string,long>, route string"
 )
 
 
@@ -125,6 +126,7 @@ def _instance(config: FlowConfig, rows: Iterator[dict]) -> Iterator[dict]:
     stats: Counter = Counter()
     ports: tuple[int, ...] = ()
     last: dict = {}
+    route, looks = None, 0
     for p in rows:
         last = p
         stats["packets_tcp"] += 1
@@ -161,10 +163,13 @@ def _instance(config: FlowConfig, rows: Iterator[dict]) -> Iterator[dict]:
                 yield f | {"p": p, "what": "finding"}
             for at, chunk in own.ready():
                 stats["bytes_reassembled"] += len(chunk)
-                yield {"what": "chunk", "p": p, "direction": direction, "offset": at, "data": chunk}
+                if route is None and looks < ATTEMPTS:
+                    route, looks = classify_bytes(chunk, *ports), looks + 1
+                yield {"what": "chunk", "p": p, "direction": direction, "offset": at, "data": chunk, "route": route}
     if fins >= 2 and not stats["flows_rst"]:
         stats["flows_fin"] += 1
     stats["flows_total"] += 1
+    stats["unclassified_flows"] += route is None
     yield {"what": "stats", "p": last, "stats": dict(stats)}
 
 
@@ -194,14 +199,17 @@ def reassemble(tcp: DataFrame, config: FlowConfig = FlowConfig()) -> DataFrame:
             p = made["p"]
             yield (
                 *key, p["flow"], made["what"], p["ip_idx"], sub, p["ts"], made.get("direction"), made.get("offset"), made.get("data"), made.get("category"), made.get("verdict"),
-                made.get("confidence"), made.get("summary"), made.get("evidence"), made.get("mitre_techniques"), made.get("source_ip"), list(made["stats"].items()) if "stats" in made else None,
+                made.get("confidence"), made.get("summary"), made.get("evidence"), made.get("mitre_techniques"), made.get("source_ip"), list(made["stats"].items()) if "stats" in made else None, made.get("route"),
             )
 
     needed = tcp.select(*KEY, "inst", "ip_idx", "flow", "ts", "src_ip", "from_lower", "seq", "syn", "ack", "fin", "rst", "payload")
-    return ordered_map(needed, [*KEY, "inst"], ["ip_idx"], run, SCHEMA)
+    # Behind the windows of the instances this one needs no shuffle and no sort; behind anything
+    # else Spark adds them. Instances of a key follow one another.
+    needed = needed.withColumn("_nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("ip_idx")))
+    return ordered_map(needed, [*KEY, "inst"], ["ip_idx"], run, SCHEMA, placed=True)
 
 
-STATS = ["flows_partial", "flows_fin", "flows_rst", "segments_inserted", "segments_duplicates", "segments_overlaps", "segments_out_of_window", "segments_segment_limit", "segments_depth_exceeded", "bytes_reassembled", "flows_total", "packets_tcp"]
+STATS = ["flows_partial", "flows_fin", "flows_rst", "segments_inserted", "segments_duplicates", "segments_overlaps", "segments_out_of_window", "segments_segment_limit", "segments_depth_exceeded", "bytes_reassembled", "flows_total", "packets_tcp", "unclassified_flows"]
 
 
 def stats(reassembled: DataFrame) -> DataFrame:
@@ -212,4 +220,4 @@ def stats(reassembled: DataFrame) -> DataFrame:
 
 
 def chunks(reassembled: DataFrame) -> DataFrame:
-    return reassembled.where("what = 'chunk'").select(*KEY, "inst", "flow", "ip_idx", "sub", "ts", "direction", "offset", "data")
+    return reassembled.where("what = 'chunk'").select(*KEY, "inst", "flow", "ip_idx", "sub", "ts", "direction", "offset", "data", "route")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .mitre import by_tactic, enrich
 
+# The catalogue that techniques are taken from.
+MITRE_DOMAIN, MITRE_VERSION = "ics-attack", "ics-attack-19.1"
 # Ranks of verdicts and confidences, best first.
 VERDICTS = ("Likely", "Possible", "Inconclusive", "Unlikely")
 CONFIDENCES = ("High", "Medium", "Low")
@@ -82,6 +84,14 @@ def json_findings(findings: DataFrame) -> DataFrame:
     return enrich(findings).orderBy(*EMITTED).select(F.to_json(body).alias("value"))
 
 
+def csv_text(findings: DataFrame) -> Iterator[str]:
+    """The lines of the CSV report, the header first; a quote within a field is doubled."""
+    quoted = lambda cells: ",".join('"' + c.replace('"', '""') + '"' for c in cells)
+    table = csv_rows(findings)
+    yield quoted(table.columns)
+    yield from (quoted(r) for r in table.toLocalIterator())
+
+
 def write_json_lines(findings: DataFrame, path: str) -> None:
     json_findings(findings).write.mode("overwrite").text(path)
 
@@ -92,7 +102,7 @@ def document(totals: dict, findings: DataFrame, summaries: DataFrame, most: int
     if len(rows) > most:
         raise ValueError(f"more than {most} findings: write them with write_json_lines")
     analyzers = [{"analyzer_name": r.analyzer_name, "packets_analyzed": r.packets_analyzed, "detail": json.loads(r.detail)} for r in summaries.orderBy("place").collect()]
-    out = {"summary": totals, "findings": rows, "analyzers": analyzers, "mitre_domain": "enterprise-attack,ics-attack", "mitre_attack_version": "v17"}
+    out = {"summary": totals, "findings": rows, "analyzers": analyzers, "mitre_domain": MITRE_DOMAIN, "mitre_attack_version": MITRE_VERSION}
     return json.dumps(out, indent=2, ensure_ascii=False)
 
 
@@ -101,12 +111,7 @@ def escaped(text: str) -> str:
     return "".join(c if c >= " " and c != "\\" and not "\x7f" <= c <= "\x9f" else c.encode("unicode_escape").decode() for c in text)
 
 
-def terminal(totals: dict, findings: DataFrame, summaries: DataFrame, grouped: bool = True, collapse: bool = True, most: int = 10_000) -> str:
-    """The report as text: at most ``most`` lines of findings, which is what a reader can scroll."""
-    return "\n".join(_lines(totals, findings, summaries, grouped, collapse, most)) + "\n"
-
-
-def _lines(totals: dict, findings: DataFrame, summaries: DataFrame, grouped: bool, collapse: bool, most: int) -> Iterator[str]:
+def totals_lines(totals: dict) -> Iterator[str]:
     yield "CAPTURE SUMMARY"
     for k in ("total_packets", "total_bytes", "skipped_packets", "unique_hosts"):
         if k in totals:
@@ -115,11 +120,16 @@ def _lines(totals: dict, findings: DataFrame, summaries: DataFrame, grouped: boo
         if totals.get(name):
             yield name.upper()
             yield from (f"  {k}: {n}" for k, n in totals[name].items())
+
+
+def terminal(totals: dict, findings: DataFrame, summaries: DataFrame, grouped: bool = True, collapse: bool = True) -> Iterator[str]:
+    """The lines of the report as text, all of them; findings are fetched partition by partition."""
+    yield from totals_lines(totals)
     rows = collapsed(findings).select("*", "first.*") if collapse else findings.withColumn("n", F.lit(1)).withColumn("samples", F.col("evidence"))
     rows = ranked(rows) if grouped else rows.orderBy(*EMITTED)
     yield "FINDINGS"
     tactic = None
-    for r in rows.limit(most).toLocalIterator():
+    for r in rows.toLocalIterator():
         if grouped and r["tactic_name"] != tactic:
             tactic = r["tactic_name"]
             yield f"  [{tactic}]"

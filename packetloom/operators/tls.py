@@ -11,6 +11,7 @@ from packetloom.functions.binary import hex_of
 
 from .findings import finding, rows
 from .flows import KEY
+from .http import first_keys
 from .ordered import ordered_map
 from .reassembly import CLIENT, SERVER
 
@@ -279,10 +280,11 @@ def fingerprints(found: DataFrame) -> DataFrame:
 def counts(found: DataFrame) -> DataFrame:
     """``field``, ``value``, ``n``: every counter of the summary, one row for each value."""
     hello = found.where(F.col("what").isin("client", "server"))
-    prints = fingerprints(found).select(F.when(F.col("what") == "client", "ja3_hashes").otherwise("ja3s_hashes").alias("field"), F.col("hash").alias("value"))
-    versions = hello.select(F.lit("tls_versions").alias("field"), F.col("version").cast("string").alias("value"))
-    chosen = found.where("what = 'server'").select(F.lit("cipher_suites").alias("field"), cipher_name(F.get("ciphers", F.lit(0))).alias("value"))
-    names = found.where("what = 'client' AND sni IS NOT NULL").select(F.lit("snis").alias("field"), sni_key(F.col("sni")).alias("value"))
+    prints = fingerprints(found).select("at", "sub", F.when(F.col("what") == "client", "ja3_hashes").otherwise("ja3s_hashes").alias("field"), F.col("hash").alias("value"))
+    versions = hello.select("at", "sub", F.lit("tls_versions").alias("field"), F.col("version").cast("string").alias("value"))
+    chosen = found.where("what = 'server'").select("at", "sub", F.lit("cipher_suites").alias("field"), cipher_name(F.get("ciphers", F.lit(0))).alias("value"))
+    names = found.where("what = 'client' AND sni IS NOT NULL").select("at", "sub", F.lit("snis").alias("field"), sni_key(F.col("sni")).alias("value"))
     labels = F.create_map(*[F.lit(x) for x in ("client", "handshakes", "error", "parse_errors", "truncated", "truncated_records", "overflow", "handshake_reassembly_overflows", "saturated", "buffer_saturation_drops")])
     events = found.where("what <> 'server'").select(F.lit("counters").alias("field"), labels[F.col("what")].alias("value"))
-    return prints.unionByName(versions).unionByName(chosen).unionByName(names).unionByName(events).groupBy("field", "value").agg(F.count("*").alias("n"))
+    values = first_keys(prints.unionByName(versions).unionByName(chosen).unionByName(names), ["at", "sub"])
+    return values.unionByName(events.groupBy("field", "value").agg(F.count("*").alias("n")))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators import arp, decode, dispatch, dnp3, enip, flows, http, modbus, reassembly, summary, tls
-from packetloom.operators.findings import COLUMNS, capped, finding, rows
+from packetloom.operators.findings import COLUMNS, LAST, capped, dropped, finding, rows
+from packetloom.scratch import stage
 from packetloom.sources.capture import captures, read_captures
 
 STREAMS = ("http", "tls", "modbus", "dnp3", "enip")
 ANALYZERS = ("dns", "arp", *STREAMS)
+# What the report says of segments beyond the limit.
+SEGMENT_LIMIT_EVIDENCE = ("Segment count limit prevents BTreeMap overhead explosion", "May indicate segmentation-based evasion attempt")
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ class Options:
 
 @dataclass
 class Analysis:
-    """Tables of an analysis; ``findings`` and ``summaries`` (place, analyzer_name, packets_analyzed, detail as JSON) are lazy."""
+    """Tables of an analysis, written in the shared folder; ``summaries``: place, analyzer_name, packets_analyzed, detail as JSON."""
 
     files: DataFrame | None
     packets: DataFrame
@@ -63,106 +65,110 @@ def _json_row(wide: DataFrame, place: int, name: str, analyzed: str) -> DataFram
     return wide.select(F.lit(place).alias("place"), F.lit(name).alias("analyzer_name"), F.expr(analyzed).cast("long").alias("packets_analyzed"), F.to_json(F.struct(*sorted(wide.columns))).alias("detail"))
 
 
-def _json_fields(long: DataFrame, place: int, name: str, analyzed: str, wanted: tuple[str, ...] = (), top: tuple[str, ...] = ()) -> DataFrame:
-    """Counters as rows (field, value, n) as a summary row: ``counters`` at the top level, other fields as maps.
+def _json_fields(long: DataFrame, place: int, name: str, analyzed: str, wanted: tuple[str, ...], maps: tuple[str, ...] = (), top: dict[str, str] | None = None, lists: dict[str, Column] | None = None, nested: str = "") -> DataFrame:
+    """Counters as rows (field, value, n) as a summary row.
 
-    A field in ``top`` becomes the list of its twenty most frequent values.
+    ``wanted``: counters at the top level, 0 where they have no row. ``maps``: fields that
+    become maps, of at most ``http.MOST_KEYS`` values each. ``top``: fields and the names
+    under which their twenty most frequent values are listed. ``lists``: more columns.
+    ``nested``: a name to put all of it under.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("field").orderBy(F.desc("n"), "value")
-    long = long.withColumn("_n", F.row_number().over(w))
-    long = long.where(~F.col("field").isin(*top) | (F.col("_n") <= 20)) if top else long
-    per = long.where("field <> 'counters'").groupBy("field").agg(F.array_sort(F.collect_list(F.struct("_n", "value", "n"))).alias("v"))
-    listed = F.to_json(F.transform("v", lambda x: x["value"]))
-    mapped = F.to_json(F.map_from_entries(F.transform("v", lambda x: F.struct(x["value"], x["n"]))))
-    maps = per.select(F.concat(F.to_json(F.struct("field")).substr(F.lit(10), F.length(F.to_json(F.struct("field"))) - 10), F.lit(":"), F.when(F.col("field").isin(*top), listed).otherwise(mapped) if top else mapped).alias("part"))
-    single = long.where("field = 'counters'").groupBy("value").agg(F.sum("n").alias("n"))
-    names = long.sparkSession.createDataFrame([(x,) for x in wanted] or [("",)], "value string").where("value <> ''")
-    single = names.join(single, "value", "left").fillna(0, ["n"])
-    counters = single.select(F.concat(F.lit('"'), F.col("value"), F.lit('":'), F.col("n").cast("string")).alias("part"))
-    body = maps.unionByName(counters).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("part")), ","), F.lit("}")).alias("detail"))
-    key = analyzed
-    seen = F.coalesce(F.get_json_object("detail", f"$.{key}").cast("long"), F.lit(0))
-    return body.select(F.lit(place).alias("place"), F.lit(name).alias("analyzer_name"), seen.alias("packets_analyzed"), "detail")
+    columns = {c: F.coalesce(F.sum(F.when((F.col("field") == "counters") & (F.col("value") == c), F.col("n"))), F.lit(0)).alias(c) for c in wanted}
+    entries = lambda f: F.collect_list(F.when(F.col("field") == f, F.struct("value", "n")))
+    columns |= {f: F.map_from_entries(F.array_sort(entries(f))).alias(f) for f in maps}
+    for f, shown in (top or {}).items():
+        ranked = F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct((-F.col("n")).alias("rank"), "value"))))
+        columns[shown] = F.transform(F.slice(ranked, 1, 20), lambda x: x["value"]).alias(shown)
+    wide = long.agg(*columns.values()).withColumns(lists or {})
+    body = F.struct(*sorted([*columns, *(lists or {})]))
+    detail = F.to_json(F.struct(body.alias(nested)) if nested else body)
+    return wide.select(F.lit(place).alias("place"), F.lit(name).alias("analyzer_name"), F.col(analyzed).cast("long").alias("packets_analyzed"), detail.alias("detail"))
 
 
 def analyze_packets(packets: DataFrame, options: Options = Options()) -> Analysis:
     """The analysis of decoded packets (:func:`decode.packets`). Branches that aren't asked for are never built.
 
-    Packets and reassembled streams feed several branches, so they are persisted, spilling to disk.
+    Packets, streams, what each analyzer sees and findings are written as tables and read
+    again, so every plan is short, each step runs once, and a lost executor costs one
+    read.
     """
     on = options.analyzers
-    packets = packets.persist(StorageLevel.MEMORY_AND_DISK)
+    packets = stage(packets.drop("data"), "packets")
     found: list[DataFrame] = []
     sums: list[DataFrame] = []
     if "dns" in on:
         sums.append(_json_row(summary.dns(packets), 1, "DNS", "dns_queries + dns_responses"))
     if "arp" in on:
-        own = arp.detect(packets, options.arp_spoof, options.arp_storm_rate)
+        own = stage(arp.detect(packets, options.arp_spoof, options.arp_storm_rate), "arp-findings")
         found.append(own)
         sums.append(_json_row(arp.counts(packets, own), 7, "ARP", "frames_analyzed"))
-    flow_rows = None
+    later, flow_rows = [], None
     if options.reassemble:
-        flow_rows = _streams(packets, options, found, sums)
+        flow_rows = _streams(packets, options, found, later)
     spark = packets.sparkSession
-    findings = spark.createDataFrame([], "stage int, at long, sub int, category string, verdict string, confidence string, summary string, evidence array<string>, mitre_techniques array<string>, source_ip string, ts timestamp, direction string")
+    all_ = spark.createDataFrame([], FINDINGS)
     for f in found:
-        findings = findings.unionByName(f)
+        all_ = all_.unionByName(f)
+    all_ = stage(all_, "findings")
+    lost = dropped(all_)
+    sums += [build(lost) for build in later]
     summaries = spark.createDataFrame([], "place int, analyzer_name string, packets_analyzed long, detail string")
     for s in sums:
         summaries = summaries.unionByName(s)
-    return Analysis(None, packets, capped(findings), summaries, flow_rows)
+    return Analysis(None, packets, stage(capped(all_), "report"), stage(summaries, "summaries"), flow_rows)
 
 
-def _streams(packets: DataFrame, options: Options, found: list[DataFrame], sums: list[DataFrame]) -> DataFrame:
+FINDINGS = "stage int, at long, sub int, category string, verdict string, confidence string, summary string, evidence array<string>, mitre_techniques array<string>, source_ip string, ts timestamp, direction string"
+
+
+def _streams(packets: DataFrame, options: Options, found: list[DataFrame], later: list) -> DataFrame:
+    """Add findings to ``found``, and to ``later`` functions from the dropped findings of each stage to a summary row."""
     on, config = options.analyzers, options.flow
     indexed = flows.ip_index(packets)
-    tcp = flows.instances(indexed, config).persist(StorageLevel.MEMORY_AND_DISK)
-    made = reassembly.reassemble(tcp, config).persist(StorageLevel.MEMORY_AND_DISK)
-    last = indexed.agg(F.max("clock").alias("clock"), F.max("ip_idx").alias("idx"), F.count_if(F.col("protocol") != "Tcp").alias("packets_skipped_non_tcp"), F.count("*").alias("packets_processed"))
-    end = last.first()
-    flow_rows = flows.flows(tcp, end["clock"] or 0, end["idx"] or 0, config)
+    tcp = flows.instances(indexed, config)
+    # Payloads go into the streams; what the flows are counted by stays behind.
+    made = stage(reassembly.reassemble(tcp, config), "streams")
+    end = packets.where("kind = 'ip'").agg(F.max(F.greatest("ts", F.lit(0))).alias("clock"), F.count_if(F.col("protocol") != "Tcp").alias("packets_skipped_non_tcp"), F.count("*").alias("packets_processed")).first()
+    flow_rows = stage(flows.flows(tcp, end["clock"] or 0, end["packets_processed"], config), "flows")
 
     text = [c for c in COLUMNS if c not in ("stage", "at", "ts")]
     own = made.where("what = 'finding'").select(F.lit(1).alias("stage"), F.col("ip_idx").alias("at"), *text, F.timestamp_seconds("ts").alias("ts")).select(*COLUMNS)
-    totals = reassembly.stats(made)
+    totals = stage(reassembly.stats(made), "stream-totals")
     limit = F.col("segments_segment_limit")
-    dropped = finding("Anomaly", "Inconclusive", "Medium", F.concat(limit.cast("string"), F.lit(" segment"), F.when(limit == 1, "").otherwise("s"), F.lit(" dropped due to per-flow segment count limit")), F.array(F.lit("Segment count limit prevents BTreeMap overhead explosion"), F.lit("May indicate segmentation-based evasion attempt")), [], 0)
-    found.append(own.unionByName(rows(totals, 1, F.lit(2**62), F.lit(None).cast("long"), [(limit > 0, dropped)])))
-
-    data = reassembly.chunks(made)
-    routed = dispatch.dispatch(data).persist(StorageLevel.MEMORY_AND_DISK)
-    expired = flow_rows.agg(F.count_if("expired").alias("flows_expired"))
-    wide = totals.crossJoin(expired).crossJoin(last.select("packets_skipped_non_tcp", "packets_processed"))
-    wide = wide.withColumn("evictions", F.lit(0)).withColumn("dropped_findings", F.greatest(F.lit(0), F.lit(0)))
-    if set(STREAMS) & set(on):
-        wide = wide.crossJoin(dispatch.unclassified(tcp, routed))
-    sums.append(_json_row(wide, 0, "TCP Reassembly", "packets_tcp"))
-
-    ends = tcp.select(*flows.KEY, "lower_ip", "upper_ip").distinct()
+    closing = finding("Anomaly", "Inconclusive", "Medium", F.concat(limit.cast("string"), F.lit(" segment"), F.when(limit == 1, "").otherwise("s"), F.lit(" dropped due to per-flow segment count limit")), F.array(*[F.lit(x) for x in SEGMENT_LIMIT_EVIDENCE]), [], 0)
+    found.append(own.unionByName(rows(totals, 1, F.lit(LAST), F.lit(None).cast("long"), [(limit > 0, closing)])))
+
+    routed = dispatch.dispatch(reassembly.chunks(made))
+    expired = flow_rows.agg(F.count_if("expired").alias("n")).first()["n"]
+    wide = totals.withColumns({"flows_expired": F.lit(expired), "packets_skipped_non_tcp": F.lit(end["packets_skipped_non_tcp"]), "packets_processed": F.lit(end["packets_processed"]), "evictions": F.lit(0)})
+    if not set(STREAMS) & set(on):
+        wide = wide.drop("unclassified_flows")
+    later.append(lambda lost: _json_row(wide.withColumn("dropped_findings", F.lit(lost[1])), 0, "TCP Reassembly", "packets_tcp"))
+
+    ends = flow_rows.select(*flows.KEY, "lower_ip", "upper_ip").distinct()
+    lost_column = lambda lost, k: {"dropped_findings": F.lit(lost[k])}
     if "http" in on:
-        m = http.messages(routed).persist(StorageLevel.MEMORY_AND_DISK)
+        m = stage(http.messages(routed), "http")
         found.append(http.detect(m))
-        top_hosts = http.counts(m).withColumn("field", F.when(F.col("field") == "hosts", "top_hosts").otherwise(F.col("field")))
-        sums.append(_json_fields(top_hosts, 2, "HTTP", "transactions", ("transactions", "parse_errors", "non_http_flows", "poisoned_bytes_skipped"), ("top_hosts",)))
+        uris = [r.uri for r in http.recent_uris(m).orderBy("nth").collect()]
+        uris = F.array(*[F.lit(u) for u in uris]).cast("array<string>")
+        later.append(lambda lost: _json_fields(http.counts(m), 2, "HTTP", "transactions", ("transactions", "parse_errors", "non_http_flows", "poisoned_bytes_skipped"), ("methods", "status_codes", "user_agents"), {"hosts": "top_hosts"}, {"recent_uris": uris}))
     if "tls" in on:
-        h = tls.hellos(routed).persist(StorageLevel.MEMORY_AND_DISK)
+        h = stage(tls.hellos(routed), "tls")
         found.append(tls.detect(h))
-        top_snis = tls.counts(h).withColumn("field", F.when(F.col("field") == "snis", "top_snis").otherwise(F.col("field")))
-        sums.append(_json_fields(top_snis, 3, "TLS", "handshakes", ("handshakes", "parse_errors", "truncated_records", "handshake_reassembly_overflows", "buffer_saturation_drops"), ("top_snis",)))
+        later.append(lambda lost: _json_fields(tls.counts(h), 3, "TLS", "handshakes", ("handshakes", "parse_errors", "truncated_records", "handshake_reassembly_overflows", "buffer_saturation_drops"), ("ja3_hashes", "ja3s_hashes", "tls_versions", "cipher_suites"), {"snis": "top_snis"}))
     if "modbus" in on:
-        u = modbus.units(routed).persist(StorageLevel.MEMORY_AND_DISK)
+        u = stage(modbus.units(routed), "modbus")
         found.append(modbus.detect(u, ends, options.modbus_write_burst, options.modbus_write_sustained))
-        sums.append(_json_fields(modbus.counts(u), 4, "modbus", "pdu_count", ("pdu_count", "write_count", "exception_count", "parse_errors")))
+        later.append(lambda lost: _json_fields(modbus.counts(u), 4, "modbus", "pdu_count", ("pdu_count", "write_count", "exception_count", "parse_errors"), ("function_code_distribution",), lists=lost_column(lost, 4)))
     if "dnp3" in on:
-        d = dnp3.frames(routed).persist(StorageLevel.MEMORY_AND_DISK)
+        d = stage(dnp3.frames(routed), "dnp3")
         found.append(dnp3.detect(d, ends, options.dnp3_direct_operate))
-        sums.append(_json_fields(dnp3.counts(d), 5, "DNP3", "frame_count", ("frame_count", "parse_errors")))
+        later.append(lambda lost: _json_fields(dnp3.counts(d, routed), 5, "DNP3", "total_frames", ("total_frames", "parse_errors", "flows_analyzed"), ("function_code_distribution", "control_operation_counts")))
     if "enip" in on:
-        e = enip.frames(routed).persist(StorageLevel.MEMORY_AND_DISK)
+        e = stage(enip.frames(routed), "enip")
         found.append(enip.detect(e, ends, options.enip_write_burst, options.enip_error_burst))
-        sums.append(_json_fields(enip.counts(e), 6, "EtherNet/IP", "pdu_count", ("pdu_count", "parse_errors", "error_count", "write_count")))
+        later.append(lambda lost: _json_fields(enip.counts(e, routed), 6, "EtherNet/IP", "total_pdu_count", ("total_pdu_count", "parse_errors", "error_count", "write_count", "flows_analyzed"), ("command_distribution",), lists=lost_column(lost, 6), nested="enip_summary"))
     return flow_rows
 
 

@@ -186,6 +186,7 @@ class CaptureFile(InputPartition):
     seq: int
     path: str
     size: int
+    target: str  # tells the store of the path
 
 
 class CaptureReader(DataSourceReader):
@@ -213,9 +214,9 @@ class CaptureReader(DataSourceReader):
             else:
                 files = (f for f in fs.get_file_info(pafs.FileSelector(path, recursive=False)) if f.type == pafs.FileType.File)
                 found = sorted((f for f in files if is_capture(fs, f.path)), key=lambda f: f.path)
-            out += [(f.path, f.size) for f in found]
-        files = [CaptureFile(i, p, n) for i, (p, n) in enumerate(out)]
-        return [f for f in files if self.only is None or f.path in self.only] or [CaptureFile(-1, "", 0)]
+            out += [(f.path, f.size, target) for f in found]
+        files = [CaptureFile(i, *f) for i, f in enumerate(out)]
+        return [f for f in files if self.only is None or f.path in self.only] or [CaptureFile(-1, "", 0, "")]
 
     def read(self, partition: CaptureFile):
         if partition.seq < 0:
@@ -224,7 +225,7 @@ class CaptureReader(DataSourceReader):
         # once for the verdict and, if it holds, again for the packets.
         walker, count, error = None, 0, None
         try:
-            for _ in (walk := _Walk(self.paths[0], partition)):
+            for _ in (walk := _Walk(partition)):
                 count += 1
             walker = walk
         except (CaptureError, struct.error) as e:
@@ -235,7 +236,7 @@ class CaptureReader(DataSourceReader):
             yield _batch([(*head, -1, None, None, None, None, *tail, error)])
             return
         rows, held = [], 0
-        for i, (secs, usecs, link, data) in enumerate(_Walk(self.paths[0], partition)):
+        for i, (secs, usecs, link, data) in enumerate(_Walk(partition)):
             rows.append((*head, i, secs, usecs, link, data, *tail, None))
             held += 120 + len(data)
             if held > 8 << 20:
@@ -246,12 +247,12 @@ class CaptureReader(DataSourceReader):
 
 
 class _Walk:
-    def __init__(self, target: str, part: CaptureFile):
-        self.target, self.part = target, part
+    def __init__(self, part: CaptureFile):
+        self.part = part
         self.is_pcapng, self.skipped, self.opb = False, 0, 0
 
     def __iter__(self) -> Iterator[tuple]:
-        fs, _ = open_store(self.target)
+        fs, _ = open_store(self.part.target)
         with fs.open_input_stream(self.part.path, compression=None, buffer_size=1 << 20) as stream:
             magic = stream.read(4)
             if magic == PCAPNG:

@@ -43,6 +43,7 @@ def test_http(run):
     ]
     d = details(a)["HTTP"]
     assert d["transactions"] == 1 and d["methods"] == {"GET": 2, "DELETE": 1} and d["status_codes"] == {"200": 1} and d["top_hosts"] == ["", "x.example"] and d["parse_errors"] == 1
+    assert d["recent_uris"] == ["/a/../etc", "/wp-admin", "/" + "a" * 3000] and set(d) == {"transactions", "methods", "status_codes", "top_hosts", "recent_uris", "user_agents", "parse_errors", "non_http_flows", "poisoned_bytes_skipped"}
     stats = details(a)["TCP Reassembly"]
     assert (stats["flows_total"], stats["flows_fin"], stats["flows_completed"], stats["unclassified_flows"]) == (1, 1, 1, 0)
 
@@ -95,7 +96,7 @@ def test_modbus(run):
     assert "Modbus recon: 6 Illegal Data Address exceptions in window (unit 9) — possible register map enumeration" in texts(a)
     assert {g[2] for g in writes} == {"10.0.0.1"}
     d = details(a)["modbus"]
-    assert (d["pdu_count"], d["write_count"], d["exception_count"], d["parse_errors"]) == (34, 23, 6, 1) and d["function_code_distribution"]["0x06"] == 22
+    assert (d["pdu_count"], d["write_count"], d["exception_count"], d["parse_errors"], d["dropped_findings"]) == (34, 23, 6, 1, 0) and d["function_code_distribution"]["0x06"] == 22
 
 
 def link(fc, control=0xC4, dest=10, source=1, app=0xC0):
@@ -114,7 +115,8 @@ def test_dnp3(run):
     starts = ["DNP3 unexpected unsolicited response", "DNP3 ENABLE_UNSOLICITED", "DNP3 DISABLE_UNSOLICITED", "DNP3 WRITE", "DNP3 broadcast control command", "DNP3 unauthorized control command from unexpected source", "DNP3 unauthorized control command burst: 11", "DNP3 restart command observed", "DNP3 inferred blocked command", "DNP3 sustained loss-of-control pattern: 1 restart", "DNP3 structural anomaly: 3"]
     assert len(got) == len(starts) and all(g.startswith(s) for g, s in zip(got, starts, strict=True)), got
     assert "[0x0001]" in got[5]
-    assert details(a)["DNP3"]["function_code_distribution"]["4"] == 10
+    d = details(a)["DNP3"]
+    assert d["function_code_distribution"]["4"] == 10 and d["flows_analyzed"] == 1 and d["control_operation_counts"] == {"0": 12} and set(d) == {"function_code_distribution", "control_operation_counts", "total_frames", "parse_errors", "flows_analyzed"}
 
 
 def cip(service, path=b"", data=b""):
@@ -139,8 +141,8 @@ def test_enip(run):
     got = texts(a)
     starts = ["EtherNet/IP ListIdentity", "CIP Identity Object", "CIP Stop", "CIP Reset", "CIP ForwardOpen", "CIP ForwardClose", "CIP write-class service burst: 51", "CIP error-response burst: 6", "EtherNet/IP structural anomaly: 3"]
     assert len(got) == len(starts) and all(g.startswith(s) for g, s in zip(got, starts, strict=True)), got
-    d = details(a)["EtherNet/IP"]
-    assert (d["pdu_count"], d["write_count"], d["error_count"], d["parse_errors"]) == (65, 51, 6, 3)
+    d = details(a)["EtherNet/IP"]["enip_summary"]
+    assert d == {"command_distribution": {"0x0063": 2, "0x006F": 63}, "total_pdu_count": 65, "write_count": 51, "error_count": 6, "parse_errors": 3, "flows_analyzed": 1, "dropped_findings": 0}
 
 
 def test_arp(run):
@@ -236,7 +238,7 @@ def test_reports(spark, run, tmp_path):
     assert doc["summary"]["total_packets"] == len(t.packets) and [x["analyzer_name"] for x in doc["analyzers"]] == ["TCP Reassembly", "DNS", "HTTP", "TLS", "modbus", "DNP3", "EtherNet/IP", "ARP"]
     first = doc["findings"][0]
     assert first["mitre_attack"][0] == {"id": "T1083", "name": "File and Directory Discovery", "tactic_id": "TA0007", "tactic_name": "Discovery", "reference": "https://attack.mitre.org/techniques/T1083/"}
-    text = report.terminal(a.totals(), a.findings, a.summaries)
+    text = "\n".join(report.terminal(a.totals(), a.findings, a.summaries))
     assert "[Discovery]" in text and "(x5)" in text and "\x1b" not in text
     report.write_csv(a.findings, str(tmp_path / "out"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out")).collect()
