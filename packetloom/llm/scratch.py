@@ -1,40 +1,5 @@
-"""Tables written in the folder that all executors share.
+"""Tables written in the folder that all executors share, as for the rest of the library."""
 
-``spark.checkpoint.dir`` names that folder. Only where it is unset and all tasks run on
-this machine, as in local tests, a temporary folder takes its place.
-"""
+from packetloom.scratch import new_path, shared_dir, stage
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. A local session without one gets a folder of its own; a cluster must name it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="packetloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back.
-
-    This cuts the lineage: a lost executor costs one read of the table and no
-    recomputation, values that depend on the order of rows stay fixed, and later
-    steps read only the columns that they need.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "shared_dir", "stage"]
