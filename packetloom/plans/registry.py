@@ -7,8 +7,8 @@ the expected rows from the events themselves.
 
 from __future__ import annotations
 
-from . import virtual_queries
+from . import stream_queries, virtual_queries
 
 FLAGSHIP = "capture_totals"
-QUERIES = dict(virtual_queries.QUERIES)
-ORACLE_SQL = dict(virtual_queries.ORACLE_SQL)
+QUERIES = virtual_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL = virtual_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
