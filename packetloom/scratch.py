@@ -28,13 +28,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once and read it back.
 
     This cuts the lineage: a lost executor costs one read of the table and no
     recomputation, values that depend on the order of rows stay fixed, and later
-    steps read only the columns that they need.
+    steps read only the columns that they need. ``codec``: how the files are compressed.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
