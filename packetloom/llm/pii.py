@@ -170,7 +170,7 @@ def _found(rows: DataFrame, carried: list[str], body: Column, rounds: int | None
     lean = lambda s: F.struct(s["start"], s["ord"], s["stop"], s["kind"], F.lit("").alias("value"))
     scanned = rows.select(*carried, F.concat(*_base_spans(body)).alias("base"), word_hashes(body).alias("words"), F.monotonically_increasing_id().alias("row_id"))
     places = F.transform("base", lambda s: F.struct(s["unit"].alias("i"), s["units"].alias("j")))
-    scanned = stage(scanned.select(*carried, "row_id", F.transform("base", lean).cast(SPAN).alias("base_spans"), places.alias("places"), "words"), "pii")
+    scanned = stage(scanned.select(*carried, "row_id", F.transform("base", lean).cast(SPAN).alias("base_spans"), places.alias("places"), "words"), "pii", "zstd")
     seeds = scanned.where(F.size("places") > 0).select("words", F.explode("places").alias("p")).select(*_pattern(F.col("p.i"), F.col("p.j")))
     places = bootstrap(scanned.select("row_id", "words"), seeds, rounds)
     scanned = scanned.drop("places", "words")
