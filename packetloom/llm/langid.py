@@ -47,17 +47,13 @@ def _new(classes: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in out.items()}
 
 
-def _run(p: dict, d: str, codes: np.ndarray, keep: bool, real: np.ndarray | None = None) -> tuple[np.ndarray, list]:
-    """States after each step: (steps, rows, HIDDEN). ``codes``: (steps, rows) bytes in running order.
-
-    ``real`` marks the steps that are no padding; before a row's first such step its state stays zero.
+def _run(p: dict, d: str, codes: np.ndarray) -> tuple[np.ndarray, list]:
+    """States after each step, (steps, rows, HIDDEN), and what gradients need of it. ``codes``: (steps, rows) bytes in running order.
 
     Gates are logistic functions, computed as tanh of half the input.
     """
     h = HIDDEN
-    x = p[f"x{d}"] + p[f"c{d}"]
-    u = p[f"u{d}"].copy()
-    x, u = x.astype(np.float32), u
+    x, u = (p[f"x{d}"] + p[f"c{d}"]).astype(np.float32), p[f"u{d}"].copy()
     x[:, : 2 * h] *= 0.5
     u[:, : 2 * h] *= 0.5
     steps, rows = codes.shape
@@ -71,11 +67,8 @@ def _run(p: dict, d: str, codes: np.ndarray, keep: bool, real: np.ndarray | None
         z, r = gates[:, :h], gates[:, h:]
         own = b[:, 2 * h :]
         c = np.tanh(a[:, 2 * h :] + r * own)
-        if keep:
-            kept.append((state, z, r, own, c))
+        kept.append((state, z, r, own, c))
         state = c + z * (state - c)
-        if real is not None and not real[t].all():
-            state = state * real[t][:, None]
         states[t] = state
     return states, kept
 
@@ -85,18 +78,49 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _states(p: dict, d: str, codes: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+    """The states of :func:`_run` as (steps, HIDDEN, rows), for labelling: rows lie side by side and no array is made anew."""
+    h, (steps, rows) = HIDDEN, codes.shape
+    x, u = (p[f"x{d}"] + p[f"c{d}"]).T.copy(), p[f"u{d}"].T.copy()
+    x[: 2 * h] *= 0.5
+    u[: 2 * h] *= 0.5
+    states, state = np.empty((steps, h, rows), np.float32), np.zeros((h, rows), np.float32)
+    given, own, gates, c, kept = (np.empty((k * h, rows), np.float32) for k in (3, 3, 2, 1, 1))
+    full = np.ones(steps, bool) if real is None else real.all(axis=1)
+    for t in range(steps):
+        np.take(x, codes[t], axis=1, out=given)
+        np.matmul(u, state, out=own)
+        np.add(given[: 2 * h], own[: 2 * h], out=gates)
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(gates[h:], own[2 * h :], out=c)
+        c += given[2 * h :]
+        np.tanh(c, out=c)
+        np.subtract(state, c, out=kept)
+        kept *= gates[:h]
+        np.add(c, kept, out=states[t])
+        if not full[t]:
+            states[t] *= real[t]
+        state = states[t]
+    return states
+
+
 def position_log_probabilities(p: dict, codes: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """(steps, rows, classes) for windows of bytes, codes (steps, rows), of which ``real`` are no padding."""
-    forward, _ = _run(p, "f", codes, False)
-    backward, _ = _run(p, "b", codes[::-1], False, real[::-1].astype(np.float32))
+    """(steps, classes, rows) for windows of bytes, codes (steps, rows), of which ``real`` are no padding."""
+    forward = _states(p, "f", codes)
+    backward = _states(p, "b", codes[::-1], real[::-1].astype(np.float32))[::-1]
     h = HIDDEN
-    return _log_softmax(forward @ p["v"][:h] + backward[::-1] @ p["v"][h:] + p["o"])
+    x = np.matmul(p["v"][:h].T, forward) + np.matmul(p["v"][h:].T, backward) + p["o"][:, None]
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
 
 
 def gradients(p: dict, codes: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the positions in ``mask`` (steps, rows), and its gradients, back through time."""
     h, steps = HIDDEN, len(codes)
-    runs = {"f": (codes, *_run(p, "f", codes, True)), "b": (codes[::-1], *_run(p, "b", codes[::-1], True))}
+    runs = {"f": (codes, *_run(p, "f", codes)), "b": (codes[::-1], *_run(p, "b", codes[::-1]))}
     forward, backward = runs["f"][1], runs["b"][1][::-1]
     log_p = _log_softmax(forward @ p["v"][:h] + backward @ p["v"][h:] + p["o"])
     n = max(1.0, float(mask.sum()))
@@ -184,7 +208,8 @@ def means(model: Model, column: pa.Array, most: int = 1 << 19) -> tuple[np.ndarr
             real = np.arange(steps)[:, None] < count[w][None, :]
             codes = np.where(real, data[np.minimum(spots, len(data) - 1)], np.uint8(32))
             log_p = position_log_probabilities(model.params, codes, real)
-            np.add.at(total, doc[w], (log_p * real[:, :, None]).sum(axis=0))
+            log_p *= real[:, None, :]
+            np.add.at(total, doc[w], log_p.sum(axis=0, dtype=np.float64).T)
         out[first : first + len(part)] = total / np.maximum(size, 1)[:, None]
         sizes[first : first + len(part)] = size
     return out, sizes

@@ -184,3 +184,18 @@ def test_a_score_at_the_threshold_is_accepted(spark):
     model = nbsvm.Model(np.zeros(1 << nbsvm.BITS, np.float32), 0.0, 0.0, shift)
     out = nbsvm.classify(spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string"), model, threshold=1 / (1 + np.exp(-shift))).collect()
     assert [r.predicted for r in out] == [1, 1]
+
+
+def test_labelling_runs_the_network_that_is_trained():
+    """The states of labelling are those of training; padding before a text's end leaves the backward ones at zero."""
+    rng = np.random.default_rng(2)
+    p = langid._new(3, rng)
+    codes = rng.integers(0, 256, (20, 7)).astype(np.uint8)
+    for way in "fb":
+        assert np.allclose(langid._states(p, way, codes), langid._run(p, way, codes)[0].transpose(0, 2, 1), atol=1e-5)
+    real = np.arange(20)[:, None] < rng.integers(1, 21, 7)[None, :]
+    whole = langid.position_log_probabilities(p, codes, real)
+    for i in range(7):
+        n = int(real[:, i].sum())
+        alone = langid.position_log_probabilities(p, codes[:n, i : i + 1], np.ones((n, 1), bool))
+        assert np.allclose(whole[:n, :, i], alone[:, :, 0], atol=1e-5)
