@@ -6,6 +6,8 @@ give ``decode_error``. Columns that a query doesn't ask for are not computed.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,18 +60,19 @@ def _ipv6_upper(data: Column, l3: Column) -> Column:
     return F.when(u8(data, l3 + 6).isin(*EXTENSIONS), F.aggregate(loop, zero, step)).otherwise(zero)
 
 
-def _headers(raw: DataFrame) -> DataFrame:
-    """``raw`` with kind, decode_error, packet_len, protocol, ports, seq, flags, and where the parts lie: numbers only."""
+@cache
+def _header_steps(gateway: int) -> list[dict[str, Column]]:
+    """Columns to add one after the other. They name columns only, so they are built once for a ``gateway`` to the JVM."""
     data = F.col("data")
-    df = raw.where("data IS NOT NULL").withColumn("_link", _link_layer(data, F.col("datalink")))
-    df = df.withColumns({"ether_type": F.col("_link.kind"), "l3": F.col("_link.at"), "packet_len": F.octet_length("data").cast("long")})
+    steps = [{"_link": _link_layer(data, F.col("datalink"))}]
+    steps.append({"ether_type": F.col("_link.kind"), "l3": F.col("_link.at"), "packet_len": F.octet_length("data").cast("long")})
     l3, kind = F.col("l3"), F.col("ether_type")
     size = F.col("packet_len").cast("int")
     is4, is6 = kind == ET_IPV4, kind == ET_IPV6
     # Of IPv4 the first four bytes are one number: version, header length, total length.
-    df = df.withColumns({"_four": uint_be(data, l3, 4), "_v6": F.when(is6, _ipv6_upper(data, l3))})
+    steps.append({"_four": uint_be(data, l3, 4), "_v6": F.when(is6, _ipv6_upper(data, l3))})
     first = F.coalesce(F.shiftright("_four", 24), u8(data, l3))
-    df = df.withColumn("_first", first)
+    steps.append({"_first": first})
     first, total = F.col("_first"), F.col("_four").bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int")
     ihl = F.shiftleft(first.bitwiseAND(F.lit(15).cast("long")), 2).cast("int")
     fragment = uint_be(data, l3 + 6, 2).bitwiseAND(F.lit(0x3FFF).cast("long")) != 0
@@ -87,7 +90,7 @@ def _headers(raw: DataFrame) -> DataFrame:
     end4 = F.when(total >= ihl, F.least(size, l3 + total)).otherwise(size)
     length6 = uint_be(data, l3 + 4, 2).cast("int")
     end6 = F.when(length6 == 0, size).otherwise(F.least(size, l3 + 40 + length6))
-    df = df.withColumns({
+    steps.append({
         "_bad": bad_ip,
         "_proto": F.when(is4, u8(data, l3 + 9)).when(is6, F.col("_v6.kind")),
         "_l4": F.when(is4, l3 + ihl).when(is6, F.col("_v6.at")),
@@ -96,7 +99,7 @@ def _headers(raw: DataFrame) -> DataFrame:
     })
     l4, end, proto = F.col("_l4"), F.col("_end"), F.col("_proto")
     # Ports are one number of four bytes; data offset and flags one of two.
-    df = df.withColumns({"_ports": F.when(proto.isin(TCP, UDP), uint_be(data, l4, 4)), "_offset_flags": F.when(proto == TCP, uint_be(data, l4 + 12, 2))})
+    steps.append({"_ports": F.when(proto.isin(TCP, UDP), uint_be(data, l4, 4)), "_offset_flags": F.when(proto == TCP, uint_be(data, l4 + 12, 2))})
     offset = F.shiftleft(F.shiftright("_offset_flags", 12), 2).cast("int")
     whole = ~F.col("_cut")
     has_tcp = whole & (proto == TCP) & (end - l4 >= 20) & (offset >= 20) & (end - l4 >= offset)
@@ -105,15 +108,15 @@ def _headers(raw: DataFrame) -> DataFrame:
     has_icmp = whole & ((is4 & (proto == ICMP)) | (is6 & (proto == ICMPV6))) & (end - l4 >= 8)
     udp_size = F.when(proto == UDP, uint_be(data, l4 + 4, 2)).cast("int")
     udp_end = F.when((udp_size >= 8) & (l4 + udp_size <= end), l4 + udp_size).otherwise(end)
-    df = df.withColumns({"_tcp": F.coalesce(has_tcp, F.lit(False)), "_udp": F.coalesce(has_udp, F.lit(False)), "_icmp": F.coalesce(has_icmp, F.lit(False)), "_off": offset, "_uend": udp_end})
-    df = df.withColumn("_bad", F.coalesce("_bad", F.when(bad_tcp, "Parse error: TCP data offset")))
+    steps.append({"_tcp": F.coalesce(has_tcp, F.lit(False)), "_udp": F.coalesce(has_udp, F.lit(False)), "_icmp": F.coalesce(has_icmp, F.lit(False)), "_off": offset, "_uend": udp_end})
+    steps.append({"_bad": F.coalesce("_bad", F.when(bad_tcp, "Parse error: TCP data offset"))})
 
     is_arp = kind == ET_ARP
-    df = df.withColumn("decode_error", F.when(is_arp, _arp_error(data, l3, size)).otherwise(F.col("_bad")))
+    steps.append({"decode_error": F.when(is_arp, _arp_error(data, l3, size)).otherwise(F.col("_bad"))})
     ok_ip = F.col("decode_error").isNull() & (is4 | is6)
     tcp, udp = ok_ip & F.col("_tcp"), ok_ip & F.col("_udp")
     flags = F.when(tcp, F.col("_offset_flags"))
-    return df.withColumns({
+    steps.append({
         "kind": F.when(F.col("decode_error").isNotNull(), "error").when(is_arp, "arp").otherwise("ip"),
         "protocol": F.when(tcp, "Tcp").when(udp, "Udp").when(ok_ip & F.col("_icmp"), "Icmp").when(ok_ip, F.concat(F.lit("Other("), proto.cast("string"), F.lit(")"))),
         "src_port": F.when(tcp | udp, F.shiftright("_ports", 16)).cast("int"),
@@ -127,7 +130,16 @@ def _headers(raw: DataFrame) -> DataFrame:
         "_at": l3,
         "_body": F.when(tcp, l4 + F.col("_off")).when(udp, l4 + 8),
         "_stop": F.when(tcp, end).when(udp, F.col("_uend")),
-    }).drop("_link", "_four", "_first", "_v6", "_bad", "_proto", "_l4", "_end", "_cut", "_ports", "_offset_flags", "_tcp", "_udp", "_icmp", "_off", "_uend", "l3", "ether_type")
+    })
+    return steps
+
+
+def _headers(raw: DataFrame) -> DataFrame:
+    """``raw`` with kind, decode_error, packet_len, protocol, ports, seq, flags, and where the parts lie: numbers only."""
+    df = raw.where("data IS NOT NULL")
+    for step in _header_steps(id(df.sparkSession.sparkContext._gateway)):
+        df = df.withColumns(step)
+    return df.drop("_link", "_four", "_first", "_v6", "_bad", "_proto", "_l4", "_end", "_cut", "_ports", "_offset_flags", "_tcp", "_udp", "_icmp", "_off", "_uend", "l3", "ether_type")
 
 
 def _arp_error(data: Column, l3: Column, size: Column) -> Column:
@@ -136,18 +148,9 @@ def _arp_error(data: Column, l3: Column, size: Column) -> Column:
     return F.when(size < l3 + 8, TRUNCATED_ARP).when(~shape & ((size >= needed) | (F.col("datalink") == ETHERNET)), MALFORMED_ARP).when(size < needed, TRUNCATED_ARP).when(~shape, MALFORMED_ARP)
 
 
-def decode(raw: DataFrame) -> DataFrame:
-    """Add decoded columns to rows with ``datalink`` and ``data``.
-
-    kind (ip, arp or error), decode_error, packet_len; src_ip, dst_ip, src_key, dst_key
-    (17 bytes that sort like addresses, IPv4 first), protocol, src_port, dst_port, seq,
-    syn, ack, fin, rst, payload for IP; an ``arp`` struct for ARP.
-    """
-    heads = _headers(raw)
-    # A generator of one row: filters on kinds, protocols and ports stay above it. Pushed below,
-    # each would carry the whole decoder with it. Addresses, payloads and ARP fields are
-    # columns of their own on top, so a query computes those that it asks for.
-    df = heads.select(F.inline(F.array(F.struct(*heads.columns))))
+@cache
+def _body_columns(gateway: int) -> dict[str, Column]:
+    """Addresses, payload and ARP fields, from where the headers say they lie."""
     data, six, at = F.col("data"), F.col("_six"), F.col("_at")
     text = lambda at4, at6: F.when(six, ipv6(part(data, at + at6, 16))).when(~six, ipv4(part(data, at + at4, 4)))
     key = lambda at4, at6: F.when(six, F.concat(F.lit(b"\x06"), part(data, at + at6, 16))).when(~six, F.concat(F.lit(b"\x04"), part(data, at + at4, 4)))
@@ -160,7 +163,22 @@ def decode(raw: DataFrame) -> DataFrame:
         F.when(F.col("datalink") == ETHERNET, part(data, 6, 6)).alias("outer_src_mac"),
     )
     payload = F.when(F.col("_body").isNotNull(), part(data, F.col("_body"), F.col("_stop") - F.col("_body"))).when(six.isNotNull(), F.lit(b""))
-    df = df.withColumns({"src_ip": text(12, 8), "dst_ip": text(16, 24), "src_key": key(12, 8), "dst_key": key(16, 24), "payload": payload, "arp": F.when(F.col("kind") == "arp", arp)})
+    return {"src_ip": text(12, 8), "dst_ip": text(16, 24), "src_key": key(12, 8), "dst_key": key(16, 24), "payload": payload, "arp": F.when(F.col("kind") == "arp", arp)}
+
+
+def decode(raw: DataFrame) -> DataFrame:
+    """Add decoded columns to rows with ``datalink`` and ``data``.
+
+    kind (ip, arp or error), decode_error, packet_len; src_ip, dst_ip, src_key, dst_key
+    (17 bytes that sort like addresses, IPv4 first), protocol, src_port, dst_port, seq,
+    syn, ack, fin, rst, payload for IP; an ``arp`` struct for ARP.
+    """
+    heads = _headers(raw)
+    # A generator of one row: filters on kinds, protocols and ports stay above it. Pushed below,
+    # each would carry the whole decoder with it. Addresses, payloads and ARP fields are
+    # columns of their own on top, so a query computes those that it asks for.
+    df = heads.select(F.inline(F.array(F.struct(*heads.columns))))
+    df = df.withColumns(_body_columns(id(df.sparkSession.sparkContext._gateway)))
     return df.drop("_six", "_at", "_body", "_stop")
 
 
