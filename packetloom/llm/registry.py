@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filter_audit, jaccard, langid, media, mixing, nbsvm, packing, pii, quality_rules, secret_scan, toxicity, warc
+from . import divergence, filter_audit, jaccard, langid, media, mixing, nbsvm, packing, pii, quality_rules, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media_chunks": media.query,
     "op9_language_id": langid.query,
     "op10_pii": pii.query,
+    "op11_source_divergence": divergence.query,
     "op12_toxicity": toxicity.query,
     "op13_filter_audit": filter_audit.query,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op5_source_mixing": mixing.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
