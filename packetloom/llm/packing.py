@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from . import textnum
 from .scratch import stage
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Runs of white space, as the tokenizer's pattern knows it, too long for that pattern, which goes back over them step by step.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The id that ends each document.
 _END = 0
@@ -39,6 +42,9 @@ def encoder(path: str, added: bool = False):
 
     With ``added``, the tokens that the JSON file beside it adds, as <|endoftext|>, are one
     id wherever they stand in a text; without, they are text like any other.
+
+    A long run of white space is one word of the tokenizer's pattern, less its last character
+    where text follows, and is encoded by itself.
     """
     import tiktoken
 
@@ -49,7 +55,22 @@ def encoder(path: str, added: bool = False):
         with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
             special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return partial(made.encode, allowed_special="all") if added else made.encode_ordinary
+    blanks = tiktoken.Encoding("blanks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    plain = partial(made.encode, allowed_special="all") if added else made.encode_ordinary
+    ends = tuple(special)
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for run in _BLANKS.finditer(text):
+            end = run.end()
+            if end < len(text) and not text.startswith(ends, end):
+                end -= 1
+            out += plain(text[at : run.start()])
+            out += blanks.encode_ordinary(text[run.start() : end])
+            at = end
+        return out + plain(text[at:]) if at else plain(text)
+
+    return encode
 
 
 def tokenize_pieces(docs: DataFrame, size: int = 2048, text: str = "text", vocabulary: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:

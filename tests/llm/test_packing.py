@@ -122,3 +122,21 @@ def test_every_code_point_gives_the_default_tokenizer_s_ids():
     for first in range(0, len(texts), 5000):
         part = texts[first : first + 5000]
         assert [encode(t) for t in part] == [e.ids for e in default.encode_batch(part, add_special_tokens=False)]
+
+
+def test_long_runs_of_white_space(spark, tokenizer):
+    """A run that the pattern can't walk back over gives the default tokenizer's ids, beside text and special tokens."""
+    encode, plain = packing.encoder(public_tokenizers.path(packing.VOCABULARY), added=True), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    blanks = "\t\n\v\f\r \x85\xa0        　"
+    rng = random.Random(6)
+    for n in (999, 1000, 1001, 2500):
+        for run in (" " * n, "\n" * n, "".join(rng.choices(blanks, k=n)), "".join(rng.choices(" \n", k=n)) + "\n"):
+            for before, after in (("", ""), ("a", "b"), ("", "é"), ("x.", "<|endoftext|>"), ("<|endoftext|>", "\x1c1"), ("y​", "​z " + run + "w")):
+                text = before + run + after
+                assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+    text = "a" + " " * 1_000_000 + "b" + " \n" * 300_000
+    assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+    rows = [(1, "\n" * 2_000_000), (2, " " * 10_000_000), (3, "a" + " \n\t" * 1_000_000 + "b")]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    total = {i: sum(r.length for r in packed if r.doc_id == i) for i, _ in rows}
+    assert total == {1: 1_000_001, 2: 10_000_001, 3: len(encode(rows[2][1])) + 1}
