@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -159,12 +159,15 @@ def gradients(p: dict, codes: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tu
 
 
 def fit(texts: list[bytes], labels: list[str], steps: int = 260, rows: int = 128, rate: float = 0.02, seed: int = 3) -> Model:
-    """Adam on random windows, as many of each language; without texts the model knows no language."""
-    languages = tuple(sorted(set(labels)))
+    """Adam on random windows, as many of each language.
+
+    A language whose texts are all empty isn't learned; without texts the model knows no language.
+    """
+    languages = tuple(sorted({x for t, x in zip(texts, labels, strict=True) if t}))
     rng = np.random.default_rng(seed)
     p = _new(max(1, len(languages)), rng)
     by = [[t for t, x in zip(texts, labels, strict=True) if x == name and t] for name in languages]
-    if len(languages) < 2 or not all(by):
+    if len(languages) < 2:
         return Model(languages, p)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
@@ -251,16 +254,18 @@ def train(docs: DataFrame, max_rows: int = 3000, held_out: int = 2, text: str =
     Of a language with more rows than its share, those with the lowest hashes of their
     ids are taken; a rarer one keeps all its rows. Of each row ``DRAWN`` windows at
     random places of the whole text are learned from. Every fourth row is not, and sets
-    how probabilities are pooled. Null labels and texts are left out.
+    how probabilities are pooled; one row of each language is always learned from. Null
+    labels and null or empty texts are left out, and so are languages that have no others.
     """
-    usable = docs.select("doc_id", F.col(text).alias("text"), F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != held_out))
+    usable = docs.select("doc_id", F.col(text).alias("text"), F.col(label).alias("y")).where(F.col("y").isNotNull() & (F.col("text") != "") & (fold(F.col("doc_id")) != held_out))
     found = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not found:
         return fit([], [])
     share = max_rows / len(found)
     limits = F.create_map(*[F.lit(x) for y, n in sorted(found.items()) for x in (y, int(1_000_003 * min(1.0, share / n)))])
     picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(limits, F.col("y")))
-    sample = stage(picked.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(4)) == 0).alias("pool")), "lang-sample")
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit("pool")), "text"))  # the sample's rows are few
+    sample = stage(picked.select("text", "y", ((F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(4)) == 0) & (nth > 1)).alias("pool")), "lang-sample")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +288,7 @@ def train(docs: DataFrame, max_rows: int = 3000, held_out: int = 2, text: str =
             mean, size = means(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(mean), pa.list_(pa.float64())), pa.array(size)], ["y", "mean", "size"])
 
-    known = sample.where(F.col("pool") & F.col("y").isin(*model.languages) & (F.col("text") != "")).select("y", "text")
+    known = sample.where(F.col("pool")).select("y", "text")
     got = known.mapInArrow(measure, "y string, mean array<double>, size long").toArrow().sort_by([("y", "ascending"), ("size", "ascending")])
     at = {name: i for i, name in enumerate(model.languages)}
     mean = np.array(got["mean"].to_pylist(), float).reshape(-1, len(model.languages))
@@ -295,7 +300,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, or no language was
     learned. Whole texts are labelled; equal texts get equal results; columns named
-    lang_pred or score are replaced.
+    lang_pred or score are replaced, all others stay, whatever their names.
     """
     names = np.array([*model.languages, "und"], object)
 
@@ -305,10 +310,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         best = p.argmax(axis=1)
         return pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(p[np.arange(len(p)), best])], ["lang", "p"])
 
-    docs = docs.drop("lang_pred", "score")
-    known = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
-    found = docs.withColumn("_label", label(F.col(text)))
-    return found.withColumn("lang_pred", F.when(known, F.col("_label.lang")).otherwise("und")).withColumn("score", F.when(known, F.col("_label.p")).otherwise(0.0)).drop("_label")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {"lang_pred", "score"}]
+    body = F.col(f"`{text}`")
+    known = F.coalesce(body.rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
+    found = docs.select(F.struct(*rest).alias("row"), known.alias("known"), label(body).alias("label"))
+    return found.select("row.*", F.when(F.col("known"), F.col("label.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("known"), F.col("label.p")).otherwise(0.0).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The quality classifier and language identification: held-out accuracy, gradients, odd rows."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -199,3 +201,22 @@ def test_labelling_runs_the_network_that_is_trained():
         n = int(real[:, i].sum())
         alone = langid.position_log_probabilities(p, codes[:n, i : i + 1], np.ones((n, 1), bool))
         assert np.allclose(whole[:n, :, i], alone[:, :, 0], atol=1e-5)
+
+
+def test_languages_of_empty_or_few_texts_do_not_spoil_the_others(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    bad = [(10**6 + i, "", "xx") for i in range(100)] + [(2 * 10**6, None, "yy"), (3 * 10**6, "żółw gęś źdźbło łąka " * 30, "pl"), (4 * 10**6, "这是一句话", "zh"), (4 * 10**6 + 4, "那是另一句话", "zh")]
+    all_ = docs.unionByName(spark.createDataFrame(bad, "doc_id long, text string, lang string"))
+    model = langid.train(all_)
+    learned = {r.lang for r in all_.where((langid.fold(all_.doc_id) != 2) & (all_.text != "") & all_.lang.isNotNull()).select("lang").distinct().collect()}
+    assert set(model.languages) == learned and "xx" not in learned
+    out = langid.identify(docs.where((langid.fold(docs.doc_id) == 2) & docs.text.rlike(r"\p{L}") & docs.lang.isNotNull()), model).collect()
+    assert len(out) > 100 and np.mean([r.lang == r.lang_pred for r in out]) >= 0.99
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_language_of_one_row_is_learned(spark, seed):
+    ids = [i for i in range(1000 * seed, 1000 * seed + 400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, ("the then rather other " if i % 2 else "où été déjà près ") * 12, "en" if i % 2 else "fr") for i in ids[1:]] + [(ids[0], "żółw gęś źdźbło łąka " * 12, "pl")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=200)
+    assert model.languages == ("en", "fr", "pl")
