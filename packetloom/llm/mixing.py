@@ -45,7 +45,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     out. None: equal shares for all. ``size``: wanted rows as a multiple of those of
     ``docs``. The mean for a source is share * size * all rows / its rows. A null source
     is a source of its own. Equal rows are drawn alike. An empty table gives an empty
-    one. Columns named copy or shuffle_key are replaced. Texts are not looked at.
+    one. Columns named copy or shuffle_key are replaced, all others stay, whatever their
+    names. Texts are not looked at.
 
     A source with a mean of more than ``PART_MEAN`` is drawn in equal parts: a sum of
     Poisson numbers is one. Part p of a document numbers its copies from 1024 p on, and the
@@ -56,9 +57,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     numbers each, are broadcast while they hold ``BROADCAST_STEPS`` numbers in all; beyond
     that they are joined on source and salt, so no source's rows meet in one task.
     """
-    docs = docs.drop("copy", "shuffle_key")
-    name = F.coalesce(F.col(source), F.lit("\0"))
-    counts = docs.groupBy(name.alias("_source")).agg(F.count("*").alias("_n"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {"copy", "shuffle_key"}]
+    name = F.coalesce(F.col(f"`{source}`"), F.lit("\0"))
+    docs = docs.select(F.struct(*rest).alias("row"), name.alias("_source"), F.col("doc_id"))
+    counts = docs.groupBy("_source").agg(F.count("*").alias("_n"))
     if weights is not None:
         listed = docs.sparkSession.createDataFrame([(k if k is not None else "\0", float(v)) for k, v in weights.items()] or [("", 0.0)], "_source string, _weight double")
         counts = counts.join(listed, "_source")
@@ -70,7 +72,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     parts = F.greatest(F.lit(1), F.ceil(F.col("_mean") / PART_MEAN).cast("int"))
     rates = counts.withColumn("_mean", mean).withColumn("_parts", parts)
     rates = rates.select("_source", "_parts", poisson_steps(F.col("_mean") / F.col("_parts")).alias("_steps"))
-    docs = docs.withColumn("_source", name)
     if (rates.agg(F.sum(F.size("_steps"))).first()[0] or 0) <= BROADCAST_STEPS:
         drawn = docs.join(F.broadcast(rates), "_source")
     else:
@@ -87,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     first = F.col("_part") * PART_COPIES
     drawn = drawn.withColumn("copy", F.explode(F.sequence(first, first + F.col("_times") - 1))).drop("_times", "_part")
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
-    return drawn.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    return drawn.withColumn("shuffle_key", key).orderBy("shuffle_key").select("row.*", "copy", "shuffle_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -90,14 +90,14 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 20, max_repeat: int = 30, max_lost: float = 0.5) -> DataFrame:
     """Rule values and the verdict for every row of ``docs``.
 
-    All columns of ``docs`` stay but for those of the same names as the new ones:
+    All columns of ``docs`` stay, whatever their names, but for those of the same names as the new ones:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     clean_text, n_clean_words, kept. Null and empty texts have no words and fail the
     base; repeated rows get equal values; a text of any length is judged whole.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_clean_words", "line_kept", "kept"]
-    own = [c for c in docs.columns if c.lower() not in new and not c.startswith("_")]
-    df = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    df = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     df = clean_lines(df, "_text", max_lost)
     df = df.withColumn("_words", word_list(F.col("_text")))
     df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
@@ -107,7 +107,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 20, max_
     df = _repeat_words(df)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("line_kept"))
-    return df.select(*[F.col(f"`{c}`") for c in own], *[c for c in new if c != "line_kept"])
+    return df.select("row.*", *[c for c in new if c != "line_kept"])
 
 
 QUERY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.llm import media, mixing, quality_rules, registry, warc
+from packetloom.llm import langid, media, mixing, quality_rules, registry, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -183,3 +183,17 @@ def test_line_rules(spark):
     lines = ["A clean sentence stands here.", "Home | About | Contact | Help.", "no end mark", "All rights reserved by us.", "so### much%%% noise&&& here.", "", "It ends so!", "See “this.”"]
     df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     assert quality_rules.clean_lines(df).first().clean_text == "\n".join([lines[0], "", "It ends so!", lines[7]])
+
+
+INSIDE = ["row", "_row", "_text", "_words", "_lines", "_windows", "_sorted", "_hits", "line_kept_", "_source", "_n", "_weight", "_mean", "_parts", "_part", "_steps", "_salt", "_u", "_times", "_label", "label", "known", "new"]
+
+
+@pytest.mark.parametrize("most", [mixing.BROADCAST_STEPS, 0])
+def test_callers_columns_of_any_name_stay(spark, monkeypatch, most):
+    """Columns named like those used inside come back whole from the rules, the mixing and the language labels."""
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", most)
+    schema = ", ".join(["doc_id long", "text string", "source string", *[f"`{c}` string" for c in INSIDE]])
+    docs = spark.createDataFrame([(i, "Some words stand here. " * 9, "a", *[f"{c}{i}" for c in INSIDE]) for i in range(3)], schema)
+    want = {tuple(r) for r in docs.collect()}
+    for out, new in ((quality_rules.quality_rules(docs), 9), (mixing.mix_sources(docs, size=40.0), 2), (langid.identify(docs, langid.fit([], [])), 2)):
+        assert out.columns[:-new] == docs.columns and {tuple(r)[:-new] for r in out.collect()} == want
