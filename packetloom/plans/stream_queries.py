@@ -424,7 +424,7 @@ def capture_files(spark: SparkSession, sf_dir: str) -> str:
 
     import pyarrow as pa
 
-    from packetloom.sources.capture import open_store
+    from packetloom.sources.formats import open_store
 
     folder = new_path(spark, "captures")
     e = virtual.events(spark, sf_dir)
@@ -479,7 +479,7 @@ SELECT k || '-' || form || '.pcap' AS file, CASE WHEN k < 5 THEN coalesce(n, 0)
  CASE k WHEN 5 THEN 'record header ends early' WHEN 6 THEN 'unsupported link type 147' END AS error FROM f JOIN n USING (k)""")
 def capture_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each file: four formats of packets, simple packets, a file that ends within a record, an unknown link type."""
-    found = captures(read_captures(spark, capture_files(spark, sf_dir)))
+    found = captures(read_captures(spark, capture_files(spark, sf_dir), split_bytes=1 << 15))
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "packets", "datalink", "is_pcapng", "skipped_blocks", "error")
 
 
@@ -487,7 +487,7 @@ def capture_files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k::INTEGER AS file_seq, pkt_idx, CASE WHEN k = 4 THEN 0 ELSE secs END AS ts_secs, CASE WHEN k = 4 THEN 0 ELSE 5 END::INTEGER AS ts_usecs, 42::BIGINT AS packet_len, 'Udp' AS protocol FROM p""")
 def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packet's time, whatever its file's byte order and resolution; broken files give none."""
-    raw = read_captures(spark, capture_files(spark, sf_dir))
+    raw = read_captures(spark, capture_files(spark, sf_dir), split_bytes=1 << 15)
     return decode.packets(raw).select("file_seq", "pkt_idx", "ts_secs", "ts_usecs", "packet_len", "protocol")
 
 

@@ -1,17 +1,18 @@
 """Packet captures (pcap and pcapng) as a PySpark data source.
 
 ``spark.read.format("capture").load(path)`` gives one partition for each capture file of
-a folder (its own files only, known by their first four bytes) or for one file. A file
-that can't be read gives a single row with ``error``; none of its packets count. Files
-are streamed record by record, so a classic capture of any size fits in little memory.
+a folder (its own files only, known by their first four bytes) or for one file.
+``read_captures`` also splits large classic captures (see ``splits``), so one file is read by
+many tasks; a pcapng file, whose blocks depend on those before them, is one task. A file
+that can't be read gives a single row with ``error``; none of its packets count.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -19,166 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import StructType
 
+from . import splits
+from .formats import CLASSIC, MAX_PCAPNG, PCAPNG, CaptureError, Pcapng, classic_packets, magic_of, open_store
+
 SCHEMA = "file_seq int, path string, pkt_idx long, ts_secs long, ts_usecs int, datalink int, data binary, is_pcapng boolean, skipped_blocks long, opb_skipped long, error string"
 
-# Fixed values of the two formats.
-CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
-PCAPNG = b"\x0a\x0d\x0d\x0a"
-LINK_TYPES = (1, 101, 113, 228, 229)
-SHB, IDB, PB, SPB, EPB = 0x0A0D0D0A, 1, 2, 3, 6
-MAX_PCAPNG = 4 << 30
-MAX_INTERFACES = 65_535
-MAX_SECS = 2**32 - 1
-
-
-class CaptureError(ValueError):
-    """A file that is no readable capture; the message says why."""
-
-
-class Ticks:
-    """Seconds and microseconds from a 64-bit count in units of ``if_tsresol``."""
-
-    def __init__(self, resolution: int):
-        self.units = 2 ** (resolution & 0x7F) if resolution & 0x80 else 10**resolution
-
-    def split(self, high: int, low: int) -> tuple[int, int]:
-        secs, rest = divmod((high << 32) | low, self.units)
-        return min(secs, MAX_SECS), rest * 1_000_000 // self.units
-
-
-def read_exactly(stream, n: int, what: str) -> bytes:
-    data = stream.read(n)
-    if len(data) < n:
-        raise CaptureError(f"{what} ends early")
-    return data
-
-
-def classic_packets(stream, magic: bytes) -> Iterator[tuple]:
-    """(secs, usecs, datalink, data) of a classic capture; records longer than the snap length stay."""
-    order, per_usec = CLASSIC[magic]
-    header = read_exactly(stream, 20, "file header")
-    datalink = struct.unpack(f"{order}I", header[16:])[0] & 0x0FFFFFFF
-    if datalink not in LINK_TYPES:
-        raise CaptureError(f"unsupported link type {datalink}")
-    while record := stream.read(16):
-        if len(record) < 16:
-            raise CaptureError("record header ends early")
-        secs, fraction, captured, _ = struct.unpack(f"{order}IIII", record)
-        yield secs, fraction // per_usec, datalink, read_exactly(stream, captured, "packet record")
-
-
-def _options_resolution(body: bytes, order: str) -> int:
-    """``if_tsresol`` (code 9) among the options of an interface block, 6 without it."""
-    at, found = 8, 6
-    while at + 4 <= len(body):
-        code, size = struct.unpack(f"{order}HH", body[at : at + 4])
-        if code == 0:
-            break
-        if at + 4 + size > len(body):
-            raise CaptureError("E-INP-008: interface option runs past its block")
-        if code == 9:
-            if size != 1:
-                raise CaptureError("E-INP-008: if_tsresol must be one byte")
-            found = body[at + 4]
-        at += 4 + size + (-size % 4)
-    return found
-
-
-class Pcapng:
-    """The block walk of one pcapng file: an order-dependent interface table, so one task."""
-
-    def __init__(self):
-        self.order = None
-        self.interfaces: list[Ticks] = []
-        self.datalink = None
-        self.seen_packet = False
-        self.skipped = self.opb = 0
-
-    def packets(self, stream) -> Iterator[tuple]:
-        first = True
-        while head := (PCAPNG + stream.read(4) if first else stream.read(8)):
-            if len(head) < 8:
-                raise CaptureError("E-INP-008: block header ends early")
-            if head[:4] == PCAPNG:
-                if not first:
-                    raise CaptureError("E-INP-012: a second section is not supported")
-                mark = read_exactly(stream, 4, "section header")
-                self.order = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}.get(mark)
-                if self.order is None:
-                    raise CaptureError("E-INP-008: bad byte-order magic")
-                total = struct.unpack(f"{self.order}I", head[4:])[0]
-                if total < 28 or total % 4:
-                    raise CaptureError("E-INP-008: bad section header length")
-                body = mark + read_exactly(stream, total - 16, "section header")
-                if struct.unpack(f"{self.order}H", body[4:6])[0] != 1:
-                    raise CaptureError("E-INP-008: unsupported pcapng version")
-                read_exactly(stream, 4, "section header")
-                first = False
-                continue
-            kind, total = struct.unpack(f"{self.order}II", head)
-            if total < 12 or total % 4:
-                raise CaptureError("E-INP-008: bad block length")
-            body = read_exactly(stream, total - 12, "E-INP-008: block")
-            if struct.unpack(f"{self.order}I", read_exactly(stream, 4, "E-INP-008: block"))[0] != total:
-                raise CaptureError("E-INP-008: block lengths differ")
-            if kind == IDB:
-                self._interface(body)
-            elif kind == EPB:
-                yield self._enhanced(body)
-            elif kind == SPB:
-                yield self._simple(body)
-            else:
-                self.skipped += 1
-                self.opb += kind == PB
-
-    def _interface(self, body: bytes) -> None:
-        if self.seen_packet:
-            raise CaptureError("E-INP-013: interface description after a packet")
-        if len(self.interfaces) >= MAX_INTERFACES:
-            raise CaptureError("E-INP-015: too many interfaces")
-        if len(body) < 8:
-            raise CaptureError("E-INP-008: interface description too short")
-        link = struct.unpack(f"{self.order}H", body[:2])[0]
-        if link not in LINK_TYPES:
-            raise CaptureError(f"unsupported link type {link}")
-        if self.datalink not in (None, link):
-            raise CaptureError("E-INP-011: interfaces with different link types")
-        self.datalink = link
-        self.interfaces.append(Ticks(_options_resolution(body, self.order)))
-
-    def _enhanced(self, body: bytes) -> tuple:
-        if not self.interfaces:
-            raise CaptureError("E-INP-009: packet before any interface description")
-        if len(body) < 20:
-            raise CaptureError("E-INP-008: packet block too short")
-        at, high, low, captured, _ = struct.unpack(f"{self.order}IIIII", body[:20])
-        if at >= len(self.interfaces):
-            raise CaptureError("E-INP-010: unknown interface")
-        if captured + (-captured % 4) > len(body) - 20:
-            raise CaptureError("E-INP-008: packet data runs past its block")
-        self.seen_packet = True
-        return (*self.interfaces[at].split(high, low), self.datalink, body[20 : 20 + captured])
-
-    def _simple(self, body: bytes) -> tuple:
-        if not self.interfaces:
-            raise CaptureError("E-INP-009: packet before any interface description")
-        if len(body) < 4:
-            raise CaptureError("E-INP-008: packet block too short")
-        self.seen_packet = True
-        size = min(struct.unpack(f"{self.order}I", body[:4])[0], len(body) - 4)
-        return 0, 0, self.datalink, body[4 : 4 + size]
-
-
-def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    if urlsplit(path).scheme in ("", "file"):
-        return pafs.LocalFileSystem(), urlsplit(path).path
-    return pafs.FileSystem.from_uri(path)
-
-
-def is_capture(fs: pafs.FileSystem, path: str) -> bool:
-    with fs.open_input_stream(path, compression=None) as f:
-        magic = f.read(4)
-    return magic in CLASSIC or magic == PCAPNG
+
+#: Packets of a file up to this size are held until its end is reached, so it is walked once.
+HELD = 64 << 20
+SPLIT = 128 << 20
 
 
 @dataclass
@@ -187,11 +37,30 @@ class CaptureFile(InputPartition):
     path: str
     size: int
     target: str  # tells the store of the path
+    part: splits.SplitRange | None = None  # of a file that many tasks read
+    error: str | None = None  # known before the scan
+
+
+def list_captures(targets: list[str]) -> list[tuple[int, str, str, int, bytes]]:
+    """Number, path, target, size and magic of each file; files of a folder are looked at many at a time."""
+    out = []
+    for target in targets:
+        fs, path = open_store(target)
+        info = fs.get_file_info(path)
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(f"no such file or folder: {target}")
+        folder = info.type != pafs.FileType.File
+        found = [info] if not folder else sorted((f for f in fs.get_file_info(pafs.FileSelector(path, recursive=False)) if f.type == pafs.FileType.File), key=lambda f: f.path)
+        with ThreadPoolExecutor(32) as pool:
+            magics = list(pool.map(lambda f, fs=fs: magic_of(fs, f.path), found))
+        out += [(f.path, target, f.size, m) for f, m in zip(found, magics, strict=True) if not folder or m in CLASSIC or m == PCAPNG]
+    return [(i, *f) for i, f in enumerate(out)]
 
 
 class CaptureReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.paths = options.get("paths", options.get("path", "")).split("\n")
+        self.index = options.get("index")
         self.only: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]):  # noqa: N802
@@ -203,47 +72,37 @@ class CaptureReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        out = []
-        for target in self.paths:
-            fs, path = open_store(target)
-            info = fs.get_file_info(path)
-            if info.type == pafs.FileType.NotFound:
-                raise FileNotFoundError(f"no such file or folder: {target}")
-            if info.type == pafs.FileType.File:
-                found = [info]
-            else:
-                files = (f for f in fs.get_file_info(pafs.FileSelector(path, recursive=False)) if f.type == pafs.FileType.File)
-                found = sorted((f for f in files if is_capture(fs, f.path)), key=lambda f: f.path)
-            out += [(f.path, f.size, target) for f in found]
-        files = [CaptureFile(i, *f) for i, f in enumerate(out)]
+        split: dict[int, list[CaptureFile]] = {}
+        for r in splits.read_index(self.index) if self.index else []:
+            part = None if r["error"] else splits.SplitRange(r["entry"], r["leave"], r["first"])
+            split.setdefault(r["file_seq"], []).append(CaptureFile(r["file_seq"], r["path"], r["size"], r["target"], part, r["error"]))
+        files = [f for seq, path, target, size, _ in list_captures(self.paths) for f in split.get(seq) or [CaptureFile(seq, path, size, target)]]
         return [f for f in files if self.only is None or f.path in self.only] or [CaptureFile(-1, "", 0, "")]
 
     def read(self, partition: CaptureFile):
         if partition.seq < 0:
             return
-        # An error anywhere in a file takes back all its packets, so the file is walked
-        # once for the verdict and, if it holds, again for the packets.
-        walker, count, error = None, 0, None
-        try:
-            for _ in (walk := _Walk(partition)):
-                count += 1
-            walker = walk
-        except (CaptureError, struct.error) as e:
-            error = str(e)
         head = (partition.seq, partition.path)
-        tail = (walker.is_pcapng, walker.skipped, walker.opb) if walker else (False, 0, 0)
+        if partition.part is not None:
+            yield from _batches((*head, *p, False, 0, 0, None) for p in splits.packets(partition.target, partition.path, partition.size, partition.part))
+            return
+        # An error anywhere in a file takes back all its packets. Those of a small file
+        # wait for its end; a large one is walked once for the verdict and again for the packets.
+        walk, count, error, held = _Walk(partition), 0, partition.error, []
+        keep = partition.size <= HELD
+        if error is None:
+            try:
+                for p in walk:
+                    count += 1
+                    if keep:
+                        held.append(p)
+            except (CaptureError, struct.error) as e:
+                error = str(e)
+        tail = (walk.is_pcapng, walk.skipped, walk.opb) if error is None else (False, 0, 0)
         if error is not None or not count:
             yield _batch([(*head, -1, None, None, None, None, *tail, error)])
             return
-        rows, held = [], 0
-        for i, (secs, usecs, link, data) in enumerate(_Walk(partition)):
-            rows.append((*head, i, secs, usecs, link, data, *tail, None))
-            held += 120 + len(data)
-            if held > 8 << 20:
-                yield _batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield _batch(rows)
+        yield from _batches((*head, i, *p, *tail, None) for i, p in enumerate(held if keep else _Walk(partition)))
 
 
 class _Walk:
@@ -276,6 +135,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
 
+def _batches(made: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for row in made:
+        rows.append(row)
+        size += 120 + len(row[6])
+        if size > 8 << 20:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
 class CaptureSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -288,11 +159,18 @@ class CaptureSource(DataSource):
         return CaptureReader(schema, self.options)
 
 
-def read_captures(spark: SparkSession, *targets: str) -> DataFrame:
-    """Rows of all capture files of the targets, in the order given and by name within a folder."""
+def read_captures(spark: SparkSession, *targets: str, split_bytes: int = SPLIT) -> DataFrame:
+    """Rows of all capture files of the targets, in the order given and by name within a folder.
+
+    Classic captures of more than ``split_bytes`` are read in ranges of that size.
+    """
     spark.dataSource.register(CaptureSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("capture").option("paths", "\n".join(targets)).load()
+    scan = spark.read.format("capture").option("paths", "\n".join(targets))
+    large = [(seq, path, target, size) for seq, path, target, size, magic in list_captures(list(targets)) if magic in CLASSIC and size > split_bytes]
+    if large:
+        scan = scan.option("index", splits.split_index(spark, large, split_bytes))
+    return scan.load()
 
 
 def captures(raw: DataFrame) -> DataFrame:

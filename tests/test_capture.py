@@ -41,6 +41,7 @@ def test_pcapng_blocks_and_errors(read):
         b=b.section(">") + b.interface(order=">", resolution=9) + b.enhanced(1_700_000_000_000_005_000, d, ">"),
         c=s + b.enhanced(stamp, d), d=s + i + b.enhanced(stamp, d, iface=3), e=s + i + b.interface(101), f=s + i + b.enhanced(stamp, d) + i, g=s + i + s,
         h=s + b.interface(resolution=0x80 | 10) + b.enhanced(1024 * 5 + 512, d), k=s + i + b.enhanced(stamp, d)[:-4], m=b.section(major=2),
+        n=s + i + struct.pack("<III", 6, 14, 14), p=s + i + b.enhanced(stamp, d)[:-4] + struct.pack("<I", 96), q=s + b.block(1, struct.pack("<HHI", 1, 7, 0)), r=s + i + b.enhanced(stamp, d) + b.block(1, struct.pack("<HHI", 1, 7, 0)), t=s[:20],
     )
     rows = {}
     for r in raw.collect():
@@ -48,7 +49,7 @@ def test_pcapng_blocks_and_errors(read):
     a = sorted(rows["a"], key=lambda r: r.pkt_idx)
     assert [(r.ts_secs, r.ts_usecs) for r in a] == [(1_700_000_000, 123_456), (0, 0)] and (a[0].skipped_blocks, a[0].opb_skipped) == (2, 1)
     assert (rows["b"][0].ts_secs, rows["b"][0].ts_usecs) == (1_700_000_000, 5) and (rows["h"][0].ts_secs, rows["h"][0].ts_usecs) == (5, 500_000)
-    for k, code in (("c", "009"), ("d", "010"), ("e", "011"), ("f", "013"), ("g", "012"), ("k", "008"), ("m", "008")):
+    for k, code in (("c", "009"), ("d", "010"), ("e", "011"), ("f", "013"), ("g", "012"), ("k", "010"), ("m", "008"), ("n", "010"), ("p", "010"), ("q", "008"), ("r", "008"), ("t", "010")):
         assert f"E-INP-{code}" in rows[k][0].error and len(rows[k]) == 1 and rows[k][0].data is None
 
 
