@@ -78,37 +78,44 @@ def word_hashes(text: Column) -> Column:
     return F.transform(units(text), lambda u: let(F.lower(_marks_off(u)), lambda w: F.when(w == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(w))))
 
 
-def _pattern(i: Column, j: Column) -> list[Column]:
+def _pattern(i: Column, j: Column, words: str = "words") -> list[Column]:
     """left, right and value of the run of ``j`` words from word ``i`` of ``words``: the two words before, the one behind, the run."""
-    left = F.xxhash64(F.get("words", i - 2), F.get("words", i - 1))
-    return [left.alias("left"), F.get("words", i + j).alias("right"), F.xxhash64(F.slice("words", i + 1, j)).alias("value")]
+    left = F.xxhash64(F.get(words, i - 2), F.get(words, i - 1))
+    return [left.alias("left"), F.get(words, i + j).alias("right"), F.xxhash64(F.slice(words, i + 1, j)).alias("value")]
+
+
+def _joined(each: DataFrame, near: Column, table: DataFrame, key: str) -> DataFrame:
+    """The words of ``each`` that ``table`` has by ``key``, with ``near``, the words around them.
+
+    A table of at most ``BROADCAST_ROWS`` rows (of two numbers) is broadcast, and only words
+    that it has get their neighbours. For a larger one all words are shuffled, each with
+    its few neighbours, never with its text.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return each.join(F.broadcast(table), key).withColumn("near", near).drop("words")
+    return each.withColumn("near", near).drop("words").join(table, key)
 
 
 def _in_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """The runs of at most ``MOST`` words that stand between the words of ``patterns`` (left, right): left, right, value, first."""
     each = texts.select("words", F.posexplode("words").alias("at", "word"))
-    each = each.withColumn("left", F.xxhash64(F.get("words", F.col("at") - 1), "word")).where("at >= 1")
-    met = each.join(_small(patterns), "left").withColumn("i", F.col("at") + 1)
-    met = met.withColumn("j", F.array_position(F.slice("words", F.col("i") + 2, F.lit(MOST)), F.col("right")).cast("int")).where("j > 0")
-    run = F.slice("words", F.col("i") + 1, F.col("j"))
+    each = each.withColumn("left", F.xxhash64(F.get("words", F.col("at") - 1), "word")).where("at >= 1").drop("word")
+    met = _joined(each, F.slice("words", F.col("at") + 2, F.lit(MOST + 1)), patterns, "left")
+    met = met.withColumn("j", F.array_position(F.slice("near", F.lit(2), F.lit(MOST)), F.col("right")).cast("int")).where("j > 0")
+    run = F.slice("near", F.lit(1), F.col("j"))
     # Marks alone are no value. A lambda here would keep the join out of generated code, which copies a text's words for each of them.
     met = met.where(F.size(F.array_remove(run, 0)) > 0)
-    return met.select("left", "right", F.xxhash64(run).alias("value"), F.get("words", F.col("i")).alias("first"))
+    return met.select("left", "right", F.xxhash64(run).alias("value"), F.get("near", F.lit(0)).alias("first"))
 
 
 def _of_values(texts: DataFrame, values: DataFrame) -> DataFrame:
     """Every place of ``values`` (value, first) in ``texts``: row_id, i, j (words), left, right, value."""
     each = texts.select("row_id", "words", F.posexplode("words").alias("i", "first")).where("i >= 2")
-    met = each.join(_small(values.select("first").distinct()), "first")
-    runs = F.sequence(F.lit(1), F.least(F.lit(MOST), F.size("words") - 1 - F.col("i")))
-    met = met.where(F.size("words") - 1 > F.col("i")).withColumn("j", F.explode(runs))
-    met = met.select("row_id", "i", "j", *_pattern(F.col("i"), F.col("j")))
-    return met.join(_small(values.select("value").distinct()), "value")
-
-
-def _small(table: DataFrame) -> DataFrame:
-    """``table`` to be broadcast if it has at most ``BROADCAST_ROWS`` rows (of two numbers); a larger one is joined by shuffles."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    met = _joined(each, F.slice("words", F.col("i") - 1, F.lit(MOST + 3)), values.select("first").distinct(), "first")
+    met = met.where(F.size("near") > 3).withColumn("j", F.explode(F.sequence(F.lit(1), F.size("near") - 3)))
+    met = met.select("row_id", "i", "j", *_pattern(F.lit(2), F.col("j"), "near"))
+    values = values.select("value").distinct()
+    return met.join(F.broadcast(values) if values.count() <= BROADCAST_ROWS else values, "value")
 
 
 def bootstrap(texts: DataFrame, seeds: DataFrame, rounds: int | None = None, min_support: int = 3, min_score: float = 1.0, min_share: float = 0.1) -> DataFrame | None:

@@ -269,8 +269,10 @@ def pattern_of(w, i, j):
     return w[i - 2], w[i - 1], w[i + j]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_bootstrap_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, broadcast", [(1, pii.BROADCAST_ROWS), (2, pii.BROADCAST_ROWS), (3, pii.BROADCAST_ROWS), (1, 0), (2, 0)])
+def test_bootstrap_against_brute_force(spark, monkeypatch, seed, broadcast):
+    """With tables that are broadcast, and with those that are too large for it."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
     rng = random.Random(seed)
     fill = ["red", "blue", "stone", "river", "tree", "(old)", "so,"]
     frames = [("call us", "today"), ("mail to", "please"), ("seen by", "once")]
