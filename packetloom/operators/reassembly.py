@@ -60,7 +60,7 @@ class Stream:
         data = data[:room]
         end = at + len(data)
 
-        touching = [s for s in self._before(end) if s + len(self.pieces[s]) > at]
+        touching = self._touching(at, end)
         if not touching:
             self._put(at, data)
             return ("cut" if cut else "new"), True
@@ -83,8 +83,12 @@ class Stream:
             left = True
         return ("cut" if cut else "overlap"), True
 
-    def _before(self, end: int) -> list[int]:
-        return self.starts[: bisect_left(self.starts, end)]
+    def _touching(self, at: int, end: int) -> list[int]:
+        """The starts of held pieces with bytes in [at, end). Pieces don't overlap, so only the one before ``at`` can reach into it."""
+        i = max(bisect_right(self.starts, at) - 1, 0)
+        if i < len(self.starts) and self.starts[i] + len(self.pieces[self.starts[i]]) <= at:
+            i += 1
+        return self.starts[i : bisect_left(self.starts, end, i)]
 
     def _shared(self, s: int, at: int, data: bytes) -> bool:
         """Whether a held piece and the new data differ where both have bytes."""
@@ -119,58 +123,81 @@ RAISES = {
 }
 
 
-def _instance(config: FlowConfig, rows: Iterator[dict]) -> Iterator[dict]:
-    """Chunks, findings and counters of one flow instance, in order."""
-    streams = {CLIENT: Stream(config), SERVER: Stream(config)}
-    initiator, synced, fins = None, False, 0
-    stats: Counter = Counter()
-    ports: tuple[int, ...] = ()
-    last: dict = {}
-    route, looks = None, 0
-    for p in rows:
-        last = p
+class Flow:
+    """One flow instance: its two streams and what is counted. It ends with a reset, two FINs, or from outside."""
+
+    def __init__(self, config: FlowConfig):
+        self.config = config
+        self.streams = {CLIENT: Stream(config), SERVER: Stream(config)}
+        self.initiator, self.synced, self.fins, self.reset = None, False, 0, False
+        self.stats: Counter = Counter()
+        self.route, self.looks = None, 0
+
+    @property
+    def closed(self) -> bool:
+        return self.reset or self.fins >= 2
+
+    def packet(self, p: dict) -> Iterator[dict]:
+        """Chunks and findings that a packet brings, in order."""
+        stats, ports = self.stats, (p["lower_port"], p["upper_port"])
         stats["packets_tcp"] += 1
-        ports = (p["lower_port"], p["upper_port"])
-        way = lambda p=p: CLIENT if initiator == p["from_lower"] else SERVER
         if p["syn"]:
-            if initiator is None:
-                initiator = p["from_lower"] != p["ack"]  # of a SYN+ACK the other end
-            streams[way()].begin(p["seq"])
-            synced = True
+            if self.initiator is None:
+                self.initiator = p["from_lower"] != p["ack"]  # of a SYN+ACK the other end
+            self.streams[self._way(p)].begin(p["seq"])
+            self.synced = True
         if p["rst"]:
-            stats["flows_rst"] += 1
-            break
+            self.reset = True
+            return
         if p["fin"]:
-            fins += 1
+            self.fins += 1
         data = p["payload"]
-        if data:
-            if not synced and fins < 2:
-                synced, stats["flows_partial"] = True, 1
-                if initiator is None:
-                    initiator = p["from_lower"]
-            direction = way()
-            own = streams[direction]
-            own.begin(p["seq"] - 1)
-            outcome, left = own.add(p["seq"], data)
-            if outcome not in ("outside", "limit", "depth"):
-                own.small_run = own.small_run + 1 if len(data) < config.small_bytes else 0
-            for name in RAISES[outcome]:
-                stats[name] += 1
-            if outcome == "limit" and left:
-                stats["segments_overlaps"] += 1
-                stats["segments_inserted"] += 1
-            for f in _findings(config, own, outcome, p, direction, ports):
-                yield f | {"p": p, "what": "finding"}
-            for at, chunk in own.ready():
-                stats["bytes_reassembled"] += len(chunk)
-                if route is None and looks < ATTEMPTS:
-                    route, looks = classify_bytes(chunk, *ports), looks + 1
-                yield {"what": "chunk", "p": p, "direction": direction, "offset": at, "data": chunk, "route": route}
-    if fins >= 2 and not stats["flows_rst"]:
-        stats["flows_fin"] += 1
-    stats["flows_total"] += 1
-    stats["unclassified_flows"] += route is None
-    yield {"what": "stats", "p": last, "stats": dict(stats)}
+        if not data:
+            return
+        if not self.synced and self.fins < 2:
+            self.synced, stats["flows_partial"] = True, 1
+            if self.initiator is None:
+                self.initiator = p["from_lower"]
+        direction = self._way(p)
+        own = self.streams[direction]
+        own.begin(p["seq"] - 1)
+        outcome, left = own.add(p["seq"], data)
+        if outcome not in ("outside", "limit", "depth"):
+            own.small_run = own.small_run + 1 if len(data) < self.config.small_bytes else 0
+        for name in RAISES[outcome]:
+            stats[name] += 1
+        if outcome == "limit" and left:
+            stats["segments_overlaps"] += 1
+            stats["segments_inserted"] += 1
+        for f in _findings(self.config, own, outcome, p, direction, ports):
+            yield f | {"p": p, "what": "finding"}
+        for at, chunk in own.ready():
+            stats["bytes_reassembled"] += len(chunk)
+            if self.route is None and self.looks < ATTEMPTS:
+                self.route, self.looks = classify_bytes(chunk, *ports), self.looks + 1
+            yield {"what": "chunk", "p": p, "direction": direction, "offset": at, "data": chunk, "route": self.route}
+
+    def end(self, last: dict) -> dict:
+        """The row of counters, at the instance's last packet."""
+        stats = self.stats
+        stats["flows_rst"] += self.reset
+        stats["flows_fin"] += self.fins >= 2 and not self.reset
+        stats["flows_total"] += 1
+        stats["unclassified_flows"] += self.route is None
+        return {"what": "stats", "p": last, "stats": {k: v for k, v in stats.items() if v}}
+
+    def _way(self, p: dict) -> str:
+        return CLIENT if self.initiator == p["from_lower"] else SERVER
+
+
+def _instance(config: FlowConfig, rows: Iterator[dict]) -> Iterator[dict]:
+    """Chunks, findings and counters of one flow instance, in order."""
+    flow, last = Flow(config), {}
+    for last in rows:
+        yield from flow.packet(last)
+        if flow.reset:
+            break
+    yield flow.end(last)
 
 
 def _findings(config: FlowConfig, own: Stream, outcome: str, p: dict, direction: str, ports: tuple[int, ...]) -> Iterator[dict]:
