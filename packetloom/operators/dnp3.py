@@ -10,9 +10,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchored import anchored_windows
+from .anchored import anchored_windows, with_windows
 from .findings import finding, hex2, hex4, rows
-from .flows import KEY
+from .flows import KEY, with_ips
 from .ordered import ordered_map
 from .reassembly import CLIENT, SERVER
 
@@ -156,17 +156,16 @@ def code_class(fc: Column) -> Column:
     return F.when(fc == 1, "Read").when(fc == 2, "Write").when(fc.between(3, 6), "Control").when(fc.isin(0x0D, 0x0E), "Restart").when(fc.between(0x81, 0x83), "Response").otherwise("Other")
 
 
-def detect(found: DataFrame, ends: DataFrame, threshold: int = 10) -> DataFrame:
-    """Findings in the rows of :func:`frames`; ``ends``: lower_ip and upper_ip of each key. No finding has a direction."""
-    df = found.join(ends, KEY)
+def detect(found: DataFrame, threshold: int = 10) -> DataFrame:
+    """Findings in the rows of :func:`frames`. No finding has a direction."""
     order = ["at", "sub"]
     lower_serves = F.col("lower_port") == PORT
     from_client = F.col("direction") == CLIENT
     who = F.when(lower_serves == from_client, F.col("upper_ip")).otherwise(F.col("lower_ip"))
     fc, kind = F.col("fc"), code_class(F.col("fc"))
     control = (F.col("what") == "frame") & (kind == "Control")
-    windows = anchored_windows(df.where(control), KEY, order, "ts", 60).select(*KEY, *order, "win_count", F.col("elapsed").alias("burst_elapsed"))
-    df = df.join(windows, [*KEY, *order], "left")
+    df = with_ips(with_windows(found, KEY, order, "ts", {"burst": (control, 60)}))
+    df = df.withColumns({"win_count": F.col("burst.win_count"), "burst_elapsed": F.col("burst.elapsed")})
     w = Window.partitionBy(*KEY).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     stranger = control & (F.col("control").bitwiseAND(0x80) != 0) & (F.size("masters") > 0) & ~F.array_contains("masters", F.col("source"))

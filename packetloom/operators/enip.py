@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.binary import part, u8, uint_le
 
-from .anchored import anchored_windows
+from .anchored import with_windows
 from .findings import finding, hex2, hex4, rows
-from .flows import KEY
+from .flows import KEY, with_ips
 from .ordered import ordered_map
 from .reassembly import CLIENT, SERVER
 
@@ -125,15 +125,15 @@ def services(found: DataFrame) -> DataFrame:
     return df.withColumn("classes", F.when(F.octet_length("path") >= 2, classes).otherwise(F.array().cast("array<bigint>"))).withColumn("sub", F.col("sub") * 100 + F.col("nth")).drop("item", "cip", "path", "nth")
 
 
-def detect(found: DataFrame, ends: DataFrame, write_burst: int = 50, error_burst: int = 5) -> DataFrame:
-    """Findings in the rows of :func:`frames`; ``ends``: lower_ip and upper_ip of each key. No finding has a direction."""
+def detect(found: DataFrame, write_burst: int = 50, error_burst: int = 5) -> DataFrame:
+    """Findings in the rows of :func:`frames`. No finding has a direction."""
     order = ["at", "sub"]
     lower_serves = F.col("lower_port") == PORT
     who = lambda: F.when(lower_serves == (F.col("direction") == CLIENT), F.col("upper_ip")).otherwise(F.col("lower_ip"))
     other = lambda: F.when(lower_serves == (F.col("direction") == CLIENT), F.col("lower_ip")).otherwise(F.col("upper_ip"))
     cat, n, lit = F.concat, lambda c: F.col(c).cast("string"), F.lit
 
-    top = found.join(ends, KEY).withColumns({"command": uint_le(F.col("frame"), 0, 2), "session": uint_le(F.col("frame"), 4, 4)})
+    top = with_ips(found).withColumns({"command": uint_le(F.col("frame"), 0, 2), "session": uint_le(F.col("frame"), 4, 4)})
     listing = (F.col("what") == "frame") & (F.col("command") == 0x0063)
     w = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     first = listing & (F.coalesce(F.count_if(listing).over(w), lit(0)) == 0)
@@ -143,12 +143,11 @@ def detect(found: DataFrame, ends: DataFrame, write_burst: int = 50, error_burst
         (F.col("what") == "structure", finding("Anomaly", "Possible", "Low", cat(lit("EtherNet/IP structural anomaly: "), n("n"), lit(" malformed frames in "), n("elapsed"), lit("s window (flow "), who(), lit("→"), other(), lit(") — possible crash-probe")), F.array(cat(lit("malformed_in_window="), n("n"), lit("; threshold=3"))), ["T0814"], 2, who())),
     ])
 
-    df = services(found).join(ends, KEY)
+    df = services(found)
     failed = F.col("response") & (F.coalesce("status", lit(0)) != 0)
     writes = ~F.col("response") & F.col("service").isin(0x02, 0x04, 0x10)
-    fast = anchored_windows(df.where(writes), KEY, order, "ts", 1).select(*KEY, *order, F.col("win_count").alias("written"))
-    errors = anchored_windows(df.where(failed), KEY, order, "ts", 10).select(*KEY, *order, "win_no", F.col("win_count").alias("errors"))
-    df = df.join(fast, [*KEY, *order], "left").join(errors, [*KEY, *order], "left")
+    df = with_ips(with_windows(df, KEY, order, "ts", {"fast": (writes, 1), "slow": (failed, 10)}))
+    df = df.withColumns({"written": F.col("fast.win_count"), "errors": F.col("slow.win_count"), "win_no": F.col("slow.win_no")})
     # statuses of the error window so far, as many as stand before its alert
     near = Window.partitionBy(*KEY, "win_no").orderBy(*order).rowsBetween(-error_burst, 0)
     df = df.withColumn("_statuses", F.sort_array(F.collect_list(F.when(F.col("win_no").isNotNull(), F.col("status"))).over(near)))

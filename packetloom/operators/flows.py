@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions.binary import ipv4, ipv6, part
+
 from .ordered import numbered
 
 
@@ -42,6 +44,16 @@ def flow_key(src_key: Column, src_port: Column, dst_key: Column, dst_port: Colum
 KEY = ["lower_key", "lower_port", "upper_key", "upper_port"]
 
 
+def address(key: Column) -> Column:
+    """The address of an end as text, from its bytes behind their version."""
+    return F.when(F.octet_length(key) == 5, ipv4(part(key, 1, 4))).otherwise(ipv6(part(key, 1, 16)))
+
+
+def with_ips(df: DataFrame) -> DataFrame:
+    """``df`` with lower_ip and upper_ip from its flow key."""
+    return df.withColumns({"lower_ip": address(F.col("lower_key")), "upper_ip": address(F.col("upper_key"))})
+
+
 def keyed(packets: DataFrame) -> DataFrame:
     """TCP packets with the flow key, the ends' addresses as text, and ``flow`` as displayed."""
     df = packets.withColumns(flow_key(F.col("src_key"), F.col("src_port"), F.col("dst_key"), F.col("dst_port")))

@@ -9,27 +9,78 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.binary import u8, uint_be
 
-from .anchored import anchored_windows
+from .anchored import WINDOW, Anchor
 from .findings import finding, hex2, hex4, rows
-from .flows import KEY
+from .flows import KEY, with_ips
 from .ordered import ordered_map
 from .reassembly import CLIENT, SERVER
 
-CARRY, PORT = 260, 502
-SCHEMA = "lower_key binary, lower_port int, upper_key binary, upper_port int, inst long, at long, sub int, ts long, direction string, what string, adu binary"
+CARRY, PORT, MOST_PENDING = 260, 502, 256
+SCHEMA = (
+    "lower_key binary, lower_port int, upper_key binary, upper_port int, inst long, at long, sub int, ts long, direction string, what string, adu binary,"
+    + "".join(f" {name} {WINDOW}," for name in ("paired", "burst", "slow", "failed"))
+    + " outcome string, request_fc int, seconds long"
+)
 # Function codes by class.
 WRITE, DIAGNOSTIC = (0x05, 0x06, 0x0F, 0x10, 0x15, 0x16, 0x17), (0x08, 0x2B)
 READ = (0x01, 0x02, 0x03, 0x04, 0x07, 0x0B, 0x0C, 0x11, 0x14, 0x18)
 REGISTERS, COILS = (0x06, 0x10, 0x16, 0x17), (0x05, 0x0F)
 
 
-def units(routed: DataFrame) -> DataFrame:
-    """Rows of ``SCHEMA``: adu for each unit, error where a flow turns out not to be Modbus."""
+class _Flow:
+    """What a flow's units leave behind: windows of writes and exceptions, and requests without an answer."""
+
+    def __init__(self, most_pending: int):
+        self.paired, self.burst, self.slow = Anchor(5), Anchor(1), Anchor(2, restart_at=True)
+        self.failed: dict[int, Anchor] = {}
+        self.pending: dict[tuple[bytes, int], tuple[int, int]] = {}
+        self.most_pending = most_pending
+
+    def windows(self, adu: bytes, now: int, way: str) -> list[tuple | None]:
+        fc = adu[7]
+        if way == SERVER:
+            code = adu[8] if len(adu) > 8 else 0xFF
+            return [None, None, None, self.failed.setdefault(code, Anchor(10)).event(now) if fc >= 0x80 else None]
+        if fc not in WRITE:
+            return [None] * 4
+        return [self.paired.event(now) if fc in REGISTERS else None, self.burst.event(now), self.slow.event(now), None]
+
+    def transaction(self, adu: bytes, now: int, way: str) -> tuple[str | None, int | None, int | None]:
+        """Outcome, code and age of the request that a unit belongs to.
+
+        A request waits under its transaction and unit, in place of an earlier one; one too
+        many is dropped. Any response closes the pair; an exception only that of its own code.
+        """
+        key, fc = (adu[:2], adu[6]), adu[7]
+        held = self.pending.get(key)
+        if way == CLIENT:
+            if fc >= 0x80:
+                return None, None, None
+            if held is None and len(self.pending) >= self.most_pending:
+                return "dropped", fc, None
+            self.pending[key] = (fc, now)
+            return ("request" if held is None else "duplicate"), fc, None
+        if held is None:
+            return "orphan", None, None
+        if fc >= 0x80 and fc & 0x7F != held[0]:
+            return "mismatch", held[0], None
+        del self.pending[key]
+        return ("matched" if fc < 0x80 else "exception"), held[0], max(0, now - held[1])
+
+
+def units(routed: DataFrame, most_pending: int = MOST_PENDING) -> DataFrame:
+    """Rows of ``SCHEMA``: adu for each unit, error where a flow turns out not to be Modbus.
+
+    One pass over a flow's chunks frames the units, counts them in the windows that they
+    are events of, and pairs responses with requests, of which ``most_pending`` may wait.
+    """
+    blank = [None] * 7
 
     def run(key: tuple, chunks: Iterator[dict]) -> Iterator[tuple]:
         held = {CLIENT: b"", SERVER: b""}
+        flow = _Flow(most_pending)
         for c in chunks:
-            way, at, sub = c["direction"], 0, 1000 * c["sub"]
+            way, at, sub, now = c["direction"], 0, 1000 * c["sub"], c["ts"]
             buffer, held[way] = held[way] + c["data"], b""
             foreign = False
             while at < len(buffer) and not foreign:
@@ -42,16 +93,23 @@ def units(routed: DataFrame) -> DataFrame:
                     held[way] = buffer[at:]
                     break
                 else:
-                    yield (*key, c["ip_idx"], sub, c["ts"], way, "adu", buffer[at : at + size])
+                    adu = buffer[at : at + size]
+                    yield (*key, c["ip_idx"], sub, now, way, "adu", adu, *flow.windows(adu, now, way), *flow.transaction(adu, now, way))
                     at, sub = at + size, sub + 1
             if foreign:
-                yield (*key, c["ip_idx"], sub, c["ts"], way, "error", None)
+                yield (*key, c["ip_idx"], sub, now, way, "error", None, *blank)
                 return
 
     mine = routed.where("route = 'Modbus'").select(*KEY, "inst", "ip_idx", "sub", "ts", "direction", "data")
     return ordered_map(mine, [*KEY, "inst"], ["ip_idx", "sub"], run, SCHEMA)
 
 
+def pairs(found: DataFrame) -> DataFrame:
+    """Requests and responses with what became of them: request, duplicate (in place of one that waited), dropped
+    (too many waited); matched, exception (with the request's code and the seconds since), mismatch, orphan."""
+    return fields(found).where("outcome IS NOT NULL").select(*KEY, "inst", "at", "sub", "ts", "direction", "txn", "unit", "fc", "outcome", "request_fc", "seconds")
+
+
 def code_class(fc: Column) -> Column:
     return F.when(fc >= 0x80, "Exception").when(fc.isin(*WRITE), "Write").when(fc.isin(*DIAGNOSTIC), "Diagnostic").when(fc.isin(*READ), "Read").otherwise("Unknown")
 
@@ -64,22 +122,13 @@ def fields(found: DataFrame) -> DataFrame:
     return df.withColumn("exception", F.when((F.col("code_class") == "Exception") & (F.col("direction") == SERVER), F.coalesce(u8(adu, 8), F.lit(0xFF))))
 
 
-def detect(found: DataFrame, ends: DataFrame, burst: int = 20, sustained: int = 10, exceptions: int = 5) -> DataFrame:
-    """Findings in the rows of :func:`units`; ``ends``: lower_ip and upper_ip of each key."""
-    key, order = [*KEY, "inst"], ["at", "sub"]
-    df = fields(found).join(ends, KEY)
+def detect(found: DataFrame, burst: int = 20, sustained: int = 10, exceptions: int = 5) -> DataFrame:
+    """Findings in the rows of :func:`units`, each from its row alone."""
+    df = with_ips(fields(found))
     lower_serves = F.col("lower_port") == PORT
     client = F.when(lower_serves, F.col("upper_ip")).otherwise(F.col("lower_ip"))
     server = F.when(lower_serves, F.col("lower_ip")).otherwise(F.col("upper_ip"))
     df = df.withColumns({"client": client, "server": server, "is_write": (F.col("direction") == CLIENT) & (F.col("code_class") == "Write")})
-    writes = df.where("is_write")
-    window = lambda events, keys, width, name, **kw: anchored_windows(events, keys, order, "ts", width, **kw).select(*key, *order, F.struct("win_start", "win_count", "elapsed").alias(name))
-    near = window(writes.where(F.col("fc").isin(*REGISTERS)), key, 5, "paired")
-    fast = window(writes, key, 1, "burst")
-    slow = anchored_windows(writes, key, order, "ts", 2, restart_at=True).select(*key, *order, F.struct("win_start", "win_count", "elapsed").alias("slow"))
-    failed = window(df.where("exception IS NOT NULL"), [*key, "exception"], 10, "failed")
-    for part in (near, fast, slow, failed):
-        df = df.join(part, [*key, *order], "left")
 
     text = lambda c: F.col(c).cast("string")
     fc, unit, txn, adu = F.col("fc"), text("unit"), hex4(F.col("txn")), F.col("adu")

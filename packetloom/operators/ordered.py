@@ -18,12 +18,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from packetloom.scratch import stage
 
 
-def ordered_map(df: DataFrame, keys: list[str], order: list[str], run: Callable[[tuple, Iterator[dict]], Iterable[tuple]], schema: str, placed: bool = False) -> DataFrame:
+def ordered_map(df: DataFrame, keys: list[str], order: list[str], run: Callable[[tuple, Iterator[dict]], Iterable[tuple]], schema: str | T.StructType, placed: bool = False) -> DataFrame:
     """``run(key, rows)`` for each key; what it yields becomes rows of ``schema``.
 
     ``placed``: each key's rows already lie together and in order, as behind a window over it.
     """
-    fields = T._parse_datatype_string(schema)
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(fields)
     rows_of = df if placed else df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
 

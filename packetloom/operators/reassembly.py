@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,22 +219,50 @@ def _findings(config: FlowConfig, own: Stream, outcome: str, p: dict, direction:
         yield base | {"confidence": "Low", "summary": f"Excessive out-of-window segments ({own.outside}) on flow {flow}", "evidence": [f"max_receive_window={config.max_window} bytes; possible misconfiguration, evasion, or capture corruption"], "direction": direction}
 
 
+def _numbered(config: FlowConfig, rows: Iterator[dict]) -> Iterator[tuple[int, dict]]:
+    """Packets of a key with the number of their instance, by the rules of :func:`flows.instances`."""
+    nth, fins, last = -1, 0, None
+    for p in rows:
+        begins = last is None or last["rst"]
+        if not begins:
+            swept = p["ip_idx"] // config.sweep_packets * config.sweep_packets
+            begins = p["clock"] > last["clock"] and p["clock"] - last["ts"] > config.timeout or swept > last["ip_idx"] and swept - last["ip_idx"] > config.idle_packets
+        if begins or fins >= 2:
+            nth, fins = nth + 1, 0
+        fins += p["fin"] and not p["rst"]
+        last = p
+        yield nth, p
+
+
 def reassemble(tcp: DataFrame, config: FlowConfig = FlowConfig()) -> DataFrame:
-    """Rows of :data:`SCHEMA` for the packets of :func:`flows.instances`: chunk, finding or stats."""
+    """Rows of :data:`SCHEMA`: chunk, finding or stats.
+
+    ``tcp``: packets of :func:`flows.instances`, whose shuffle and order are used again, or those of
+    :func:`flows.keyed` with ip_idx and clock, whose instances are told apart in the same pass.
+    """
 
-    def run(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
-        for sub, made in enumerate(_instance(config, rows)):
-            p = made["p"]
+    def rows_of(key: tuple, nth: int, made: Iterator[dict]) -> Iterator[tuple]:
+        for sub, m in enumerate(made):
+            p = m["p"]
             yield (
-                *key, p["flow"], made["what"], p["ip_idx"], sub, p["ts"], made.get("direction"), made.get("offset"), made.get("data"), made.get("category"), made.get("verdict"),
-                made.get("confidence"), made.get("summary"), made.get("evidence"), made.get("mitre_techniques"), made.get("source_ip"), list(made["stats"].items()) if "stats" in made else None, made.get("route"),
+                *key, nth, p["flow"], m["what"], p["ip_idx"], sub, p["ts"], m.get("direction"), m.get("offset"), m.get("data"), m.get("category"), m.get("verdict"),
+                m.get("confidence"), m.get("summary"), m.get("evidence"), m.get("mitre_techniques"), m.get("source_ip"), list(m["stats"].items()) if "stats" in m else None, m.get("route"),
             )
 
-    needed = tcp.select(*KEY, "inst", "ip_idx", "flow", "ts", "src_ip", "from_lower", "seq", "syn", "ack", "fin", "rst", "payload")
+    def known(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        return rows_of(key[:-1], key[-1], _instance(config, rows))
+
+    def told(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        for nth, own in groupby(_numbered(config, rows), key=lambda x: x[0]):
+            yield from rows_of(key, nth, _instance(config, (p for _, p in own)))
+
+    needed = ["ip_idx", "flow", "ts", "src_ip", "from_lower", "seq", "syn", "ack", "fin", "rst", "payload"]
+    if "inst" not in tcp.columns:
+        return ordered_map(tcp.select(*KEY, "clock", *needed), KEY, ["ip_idx"], told, SCHEMA)
     # Behind the windows of the instances this one needs no shuffle and no sort; behind anything
     # else Spark adds them. Instances of a key follow one another.
-    needed = needed.withColumn("_nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("ip_idx")))
-    return ordered_map(needed, [*KEY, "inst"], ["ip_idx"], run, SCHEMA, placed=True)
+    placed = tcp.select(*KEY, "inst", *needed).withColumn("_nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("ip_idx")))
+    return ordered_map(placed, [*KEY, "inst"], ["ip_idx"], known, SCHEMA, placed=True)
 
 
 STATS = ["flows_partial", "flows_fin", "flows_rst", "segments_inserted", "segments_duplicates", "segments_overlaps", "segments_out_of_window", "segments_segment_limit", "segments_depth_exceeded", "bytes_reassembled", "flows_total", "packets_tcp", "unclassified_flows"]

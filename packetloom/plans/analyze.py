@@ -145,7 +145,6 @@ def _streams(packets: DataFrame, options: Options, found: list[DataFrame], later
         wide = wide.drop("unclassified_flows")
     later.append(lambda lost: _json_row(wide.withColumn("dropped_findings", F.lit(lost[1])), 0, "TCP Reassembly", "packets_tcp"))
 
-    ends = flow_rows.select(*flows.KEY, "lower_ip", "upper_ip").distinct()
     lost_column = lambda lost, k: {"dropped_findings": F.lit(lost[k])}
     if "http" in on:
         m = stage(http.messages(routed), "http")
@@ -159,15 +158,15 @@ def _streams(packets: DataFrame, options: Options, found: list[DataFrame], later
         later.append(lambda lost: _json_fields(tls.counts(h), 3, "TLS", "handshakes", ("handshakes", "parse_errors", "truncated_records", "handshake_reassembly_overflows", "buffer_saturation_drops"), ("ja3_hashes", "ja3s_hashes", "tls_versions", "cipher_suites"), {"snis": "top_snis"}))
     if "modbus" in on:
         u = stage(modbus.units(routed), "modbus")
-        found.append(modbus.detect(u, ends, options.modbus_write_burst, options.modbus_write_sustained))
+        found.append(modbus.detect(u, options.modbus_write_burst, options.modbus_write_sustained))
         later.append(lambda lost: _json_fields(modbus.counts(u), 4, "modbus", "pdu_count", ("pdu_count", "write_count", "exception_count", "parse_errors"), ("function_code_distribution",), lists=lost_column(lost, 4)))
     if "dnp3" in on:
         d = stage(dnp3.frames(routed), "dnp3")
-        found.append(dnp3.detect(d, ends, options.dnp3_direct_operate))
+        found.append(dnp3.detect(d, options.dnp3_direct_operate))
         later.append(lambda lost: _json_fields(dnp3.counts(d, routed), 5, "DNP3", "total_frames", ("total_frames", "parse_errors", "flows_analyzed"), ("function_code_distribution", "control_operation_counts")))
     if "enip" in on:
         e = stage(enip.frames(routed), "enip")
-        found.append(enip.detect(e, ends, options.enip_write_burst, options.enip_error_burst))
+        found.append(enip.detect(e, options.enip_write_burst, options.enip_error_burst))
         later.append(lambda lost: _json_fields(enip.counts(e, routed), 6, "EtherNet/IP", "total_pdu_count", ("total_pdu_count", "parse_errors", "error_count", "write_count", "flows_analyzed"), ("command_distribution",), lists=lost_column(lost, 6), nested="enip_summary"))
     return flow_rows
 

@@ -73,15 +73,11 @@ def exchange(e: DataFrame, port: int) -> DataFrame:
     data = F.when(F.col("server"), virtual.ipv4_frame(6, target, client, body(dport, sport))).otherwise(virtual.ipv4_frame(6, client, target, body(sport, dport)))
     syn = virtual.ipv4_frame(6, client, target, virtual.tcp_body(sport, dport, F.lit(1000), F.lit(2), F.lit("")))
     raw = virtual.raw(e, F.col("event_id") * 2 + 1, F.col("ts"), data).unionByName(virtual.raw(e.where("_first"), F.col("event_id") * 2, F.col("ts"), syn))
-    return flows.instances(flows.ip_index(decode.packets(raw)), flows.FlowConfig(timeout=10**9))
-
-
-def ends(tcp: DataFrame) -> DataFrame:
-    return tcp.select(*flows.KEY, "lower_ip", "upper_ip").distinct()
+    return flows.keyed(flows.ip_index(decode.packets(raw)).where("protocol = 'Tcp'"))
 
 
 def routed(tcp: DataFrame) -> DataFrame:
-    return dispatch.dispatch(reassembly.chunks(reassembly.reassemble(tcp)))
+    return dispatch.dispatch(reassembly.chunks(reassembly.reassemble(tcp, flows.FlowConfig(timeout=10**9))))
 
 
 def told(found: DataFrame, *more: str) -> DataFrame:
@@ -127,7 +123,7 @@ f AS (
 ) """
 
 
-def modbus_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def modbus_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = numbered(spark, sf_dir)
     c = F.col("event_id") % 10
     body = F.when(c == 4, "00010002").when(c == 5, "000a0002").when(c == 6, "0e010002").otherwise("00010002")
@@ -136,22 +132,39 @@ def modbus_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     asked = F.concat(head, F.lit("0006"), unit, hexed(pick(_FC, c), 1), body)
     failed = F.concat(head, F.lit("0003"), unit, F.lit("83"), hexed(F.col("event_id") % 3 + 1, 1))
     e = e.select("user_id", "event_id", (F.lit(1000) + F.floor(F.col("nth") / 4)).alias("ts"), (F.col("kind") == 3).alias("server"), F.when(F.col("kind") == 3, failed).otherwise(asked).alias("hex"))
-    tcp = exchange(e, 502)
-    return stage(modbus.units(routed(tcp)), "modbus"), ends(tcp)
+    return stage(modbus.units(routed(exchange(e, 502))), "modbus")
 
 
 @query(_MODBUS + _TOLD)
 def modbus_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All Modbus detectors: single units, register pairs, bursts, sustained writes, exceptions by code."""
-    found, who = modbus_units(spark, sf_dir)
-    return told(modbus.detect(found, who, burst=3, sustained=1, exceptions=1))
+    return told(modbus.detect(modbus_units(spark, sf_dir), burst=3, sustained=1, exceptions=1))
 
 
 @query(f"{_BASE}, m AS (SELECT CASE WHEN kind = 3 THEN 131 ELSE {_FC}[event_id % 10 + 1] END AS fc, kind = 3 AS server FROM b)"
        " SELECT 'function_code_distribution' AS field, printf('0x%02X', fc) AS value, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'counters', 'pdu_count', count(*) FROM m UNION ALL SELECT 'counters', 'write_count', count(*) FROM m WHERE fc IN (5, 6, 16, 22) UNION ALL SELECT 'counters', 'exception_count', count(*) FROM m WHERE server UNION ALL SELECT 'counters', 'parse_errors', 0")
 def modbus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of the Modbus summary."""
-    return modbus.counts(modbus_units(spark, sf_dir)[0])
+    return modbus.counts(modbus_units(spark, sf_dir))
+
+
+# Transactions: eight units in turn on one transaction number of the flow, so that each outcome occurs.
+_OUTCOMES = [("request", 3, None), ("duplicate", 3, None), ("matched", 3, 1), ("orphan", None, None), ("request", 6, None), ("mismatch", 6, None), ("exception", 6, 2), ("orphan", None, None)]
+
+
+@query(f"{_BASE} SELECT {[o for o, _, _ in _OUTCOMES]}[nth % 8 + 1] AS outcome, {[c or -1 for _, c, _ in _OUTCOMES]}[nth % 8 + 1]::INTEGER AS request_fc, {[-1 if s is None else s for _, _, s in _OUTCOMES]}[nth % 8 + 1]::BIGINT AS seconds, (nth // 8 % 5)::BIGINT AS txn, (user_id % 200)::BIGINT AS unit, count(*) AS n FROM b GROUP BY ALL")
+def modbus_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and responses by transaction: matched pairs with their seconds, duplicates, orphans, exceptions of the wrong code."""
+    e = numbered(spark, sf_dir)
+    c = F.col("nth") % 8
+    head = F.concat(hexed((F.floor(F.col("nth") / 8) % 5).cast("long"), 2), F.lit("0000"))
+    unit = hexed(F.col("user_id") % 200, 1)
+    plain = F.concat(head, F.lit("0006"), unit, F.when(c < 4, "03").otherwise("06"), F.lit("00010002"))
+    failed = F.concat(head, F.lit("0003"), unit, F.when(c == 5, "83").otherwise("86"), F.lit("02"))
+    e = e.select("user_id", "event_id", (F.lit(1000) + F.col("nth")).alias("ts"), c.isin(2, 3, 5, 6, 7).alias("server"), F.when(c > 4, failed).otherwise(plain).alias("hex"))
+    made = modbus.pairs(modbus.units(routed(exchange(e, 502))))
+    missing = lambda name: F.coalesce(F.col(name), F.lit(-1)).alias(name)
+    return made.groupBy("outcome", missing("request_fc"), missing("seconds"), "txn", "unit").agg(F.count("*").alias("n"))
 
 
 # DNP3: eight function codes in turn from a master, sixteen frames a second; errors are responses.
@@ -192,11 +205,11 @@ def _hex4(x: str) -> str:
 ) {_TOLD}""")
 def dnp3_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DNP3 detectors that single frames, masters, bursts and restarts trip."""
-    found, who, _ = dnp3_frames(spark, sf_dir)
-    return told(dnp3.detect(found, who, 5))
+    found, _ = dnp3_frames(spark, sf_dir)
+    return told(dnp3.detect(found, 5))
 
 
-def dnp3_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def dnp3_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e, i = numbered(spark, sf_dir), F.col("event_id")
     server = F.col("kind") == 3
     fc = F.when(server, 0x81).otherwise(pick(_DNP3, i % 8))
@@ -206,7 +219,7 @@ def dnp3_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     e = e.select("user_id", "event_id", (F.lit(1000) + F.floor(F.col("nth") / 16)).alias("ts"), server.alias("server"), frame.alias("hex"))
     tcp = exchange(e, 20_000)
     chunks = stage(routed(tcp), "chunks")
-    return stage(dnp3.frames(chunks), "dnp3"), ends(tcp), chunks
+    return stage(dnp3.frames(chunks), "dnp3"), chunks
 
 
 @query(_DNP3_BASE + """g AS (SELECT user_id, wc, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nr FROM burst),
@@ -215,7 +228,7 @@ SELECT 'function_code_distribution' AS field, fc::VARCHAR AS value, count(*) AS
 UNION ALL SELECT 'control_operation_counts', i::VARCHAR, coalesce(wc, 0) FROM u LEFT JOIN (SELECT * FROM g WHERE nr = 1) g USING (user_id)""")
 def dnp3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of the DNP3 summary; control requests are those of a flow's last window."""
-    found, _, chunks = dnp3_frames(spark, sf_dir)
+    found, chunks = dnp3_frames(spark, sf_dir)
     return dnp3.counts(found, chunks)
 
 
@@ -231,7 +244,7 @@ def dnp3_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = F.when(server, link_frame(F.lit(0x81), app, F.lit(0x44), F.lit(1), F.lit(10))).otherwise(link_frame(F.lit(0x05), app, F.lit(0xC4), F.lit(10), F.lit(1)))
     ts = F.lit(1000) + F.when(even, F.floor(nth / 2)).otherwise(nth) * 11
     tcp = exchange(e.select("user_id", "event_id", ts.alias("ts"), server.alias("server"), frame.alias("hex")), 20_000)
-    found = dnp3.detect(dnp3.frames(routed(tcp)), ends(tcp), 10**6)
+    found = dnp3.detect(dnp3.frames(routed(tcp)), 10**6)
     return told(found.where("summary LIKE '%blocked%'"))
 
 
@@ -239,7 +252,7 @@ def dnp3_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CIP = ["", "0e022001" + "2401", "0700", "0500", "5400", "4e00", "10012002", "0e012002"]
 
 
-def enip_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def enip_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e, i = numbered(spark, sf_dir), F.col("event_id")
     server = F.col("kind") == 3
     little = lambda x: F.concat(hexed(x % 256, 1), hexed(F.floor(x / 256), 1))
@@ -251,7 +264,7 @@ def enip_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     e = e.select("user_id", "event_id", (F.lit(1000) + F.floor(F.col("nth") / 8)).alias("ts"), server.alias("server"), frame.alias("hex"))
     tcp = exchange(e, 44_818)
     chunks = stage(routed(tcp), "chunks")
-    return stage(enip.frames(chunks), "enip"), ends(tcp), chunks
+    return stage(enip.frames(chunks), "enip"), chunks
 
 
 _ENIP_BASE = f"""{_BASE}, m AS (SELECT *, 1000 + nth // 8 AS ts, {_USER} AS client, kind = 3 AS server, event_id % 8 AS c, [0, 5, 8][event_id % 3 + 1] AS status FROM b),
@@ -270,8 +283,8 @@ w AS (SELECT * FROM m WHERE NOT server AND c = 6), x AS (SELECT * FROM m WHERE s
 ) {_TOLD}""")
 def enip_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EtherNet/IP and CIP detectors: listings, identity reads, stop, reset, connections, bursts of writes and errors."""
-    found, who, _ = enip_frames(spark, sf_dir)
-    return told(enip.detect(found, who, 1, 2))
+    found, _ = enip_frames(spark, sf_dir)
+    return told(enip.detect(found, 1, 2))
 
 
 @query(_ENIP_BASE + """c AS (SELECT CASE WHEN NOT server AND c = 0 THEN '0x0063' ELSE '0x006F' END AS value FROM m)
@@ -279,7 +292,7 @@ SELECT 'command_distribution' AS field, value, count(*) AS n FROM c GROUP BY ALL
 UNION ALL SELECT 'counters', 'error_count', count(*) FROM x HAVING count(*) > 0 UNION ALL SELECT 'counters', 'flows_analyzed', count(DISTINCT user_id) FROM m""")
 def enip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of the EtherNet/IP summary."""
-    found, _, chunks = enip_frames(spark, sf_dir)
+    found, chunks = enip_frames(spark, sf_dir)
     return enip.counts(found, chunks)
 
 
@@ -725,20 +738,20 @@ def mitre_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BAD = f"""{_BASE}, m AS (SELECT *, {_USER} AS client, nth % 31 = CASE WHEN nth // 31 % 2 = 0 THEN 5 ELSE 4 END AS third, CASE WHEN nth // 31 % 2 = 0 THEN 50 ELSE 40 END AS el FROM b)"""
 
 
-def half_bad(spark: SparkSession, sf_dir: str, good: Column, bad: Column, port: int) -> tuple[DataFrame, DataFrame]:
+def half_bad(spark: SparkSession, sf_dir: str, good: Column, bad: Column, port: int) -> DataFrame:
     e, nth = numbered(spark, sf_dir), F.col("nth")
     tcp = exchange(e.select("user_id", "event_id", (F.lit(1000) + nth * 10).alias("ts"), F.lit(False).alias("server"), F.when(nth % 2 == 0, good).otherwise(bad).alias("hex")), port)
-    return stage(routed(tcp), "chunks"), ends(tcp)
+    return stage(routed(tcp), "chunks")
 
 
 @query(f"""{_BAD} SELECT client AS source_ip, 'DNP3 structural anomaly: 3 malformed frames in ' || el || 's window (flow ' || client || '→10.1.0.1) — possible Crain-Sistrunk crash-probe' AS summary, 'T0814' AS techniques, count(*) AS n FROM m WHERE third GROUP BY ALL
 UNION ALL SELECT '', 'parse errors', '', count(*) FROM m WHERE nth % 2 = 1 HAVING count(*) > 0""")
 def dnp3_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks without a sync word between good frames: the walk finds its way back, and three in a window are told once."""
-    chunks, who = half_bad(spark, sf_dir, link_frame(F.lit(1), F.lit(0xC0), F.lit(0xC4), F.lit(10), F.lit(1)), F.lit("7a" * 12), 20_000)
+    chunks = half_bad(spark, sf_dir, link_frame(F.lit(1), F.lit(0xC0), F.lit(0xC4), F.lit(10), F.lit(1)), F.lit("7a" * 12), 20_000)
     found = stage(dnp3.frames(chunks), "dnp3")
     errors = dnp3.counts(found, chunks).where("value = 'parse_errors'").select(F.lit("").alias("source_ip"), F.lit("parse errors").alias("summary"), F.lit("").alias("techniques"), "n")
-    return told(dnp3.detect(found, who, 10**6)).select("source_ip", "summary", "techniques", "n").unionByName(errors)
+    return told(dnp3.detect(found, 10**6)).select("source_ip", "summary", "techniques", "n").unionByName(errors)
 
 
 @query(f"""{_BAD} SELECT client AS source_ip, 'EtherNet/IP structural anomaly: 3 malformed frames in ' || el || 's window (flow ' || client || '→10.1.0.1) — possible crash-probe' AS summary, 'T0814' AS techniques, count(*) AS n FROM m WHERE third GROUP BY ALL
@@ -746,10 +759,10 @@ UNION ALL SELECT '', 'parse errors', '', count(*) FROM m WHERE nth % 2 = 1 HAVIN
 def enip_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that are too long between good ones: each is skipped whole, and three in a window are told once."""
     rest = "4d000000" + "00000000" + "00" * 8 + "00000000"
-    chunks, who = half_bad(spark, sf_dir, F.lit("04000000" + rest), F.lit("6f000003" + rest), 44_818)
+    chunks = half_bad(spark, sf_dir, F.lit("04000000" + rest), F.lit("6f000003" + rest), 44_818)
     found = stage(enip.frames(chunks), "enip")
     errors = enip.counts(found, chunks).where("value = 'parse_errors'").select(F.lit("").alias("source_ip"), F.lit("parse errors").alias("summary"), F.lit("").alias("techniques"), "n")
-    return told(enip.detect(found, who, 10**6, 10**6)).select("source_ip", "summary", "techniques", "n").unionByName(errors)
+    return told(enip.detect(found, 10**6, 10**6)).select("source_ip", "summary", "techniques", "n").unionByName(errors)
 
 
 @query(f"""{_BASE}, m AS (SELECT *, user_id % 2 = 0 AS cut FROM b), n AS (SELECT user_id, cut, count(*) AS n FROM m GROUP BY ALL)
