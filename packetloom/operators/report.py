@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.sources.json_sink import JsonDocument
+
 from .mitre import by_tactic, enrich
 
 # The catalogue that techniques are taken from.
@@ -96,14 +98,30 @@ def write_json_lines(findings: DataFrame, path: str) -> None:
     json_findings(findings).write.mode("overwrite").text(path)
 
 
-def document(totals: dict, findings: DataFrame, summaries: DataFrame, most: int = 100_000) -> str:
-    """The whole report as one JSON document. Larger reports than ``most`` findings are written as lines instead."""
-    rows = [json.loads(r.value) for r in json_findings(findings).limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"more than {most} findings: write them with write_json_lines")
+def _around(totals: dict, summaries: DataFrame) -> tuple[str, str]:
+    """The JSON document before and behind its list of findings."""
     analyzers = [{"analyzer_name": r.analyzer_name, "packets_analyzed": r.packets_analyzed, "detail": json.loads(r.detail)} for r in summaries.orderBy("place").collect()]
-    out = {"summary": totals, "findings": rows, "analyzers": analyzers, "mitre_domain": MITRE_DOMAIN, "mitre_attack_version": MITRE_VERSION}
-    return json.dumps(out, indent=2, ensure_ascii=False)
+    text = lambda x: json.dumps(x, indent=2, ensure_ascii=False).replace("\n", "\n  ")
+    head = f'{{\n  "summary": {text(totals)},\n  "findings": ['
+    tail = "".join(f',\n  "{k}": {text(v)}' for k, v in (("analyzers", analyzers), ("mitre_domain", MITRE_DOMAIN), ("mitre_attack_version", MITRE_VERSION)))
+    return head, f"]{tail}\n}}\n"
+
+
+def document(totals: dict, findings: DataFrame, summaries: DataFrame) -> Iterator[str]:
+    """The whole report as one JSON document, in pieces; findings are fetched partition by partition."""
+    head, tail = _around(totals, summaries)
+    yield head
+    for i, r in enumerate(json_findings(findings).toLocalIterator()):
+        yield ("," if i else "") + "\n" + r.value
+    yield "\n" + tail
+
+
+def write_json(totals: dict, findings: DataFrame, summaries: DataFrame, path: str) -> None:
+    """The whole report as one JSON file, however many findings there are; tasks write them."""
+    spark = findings.sparkSession
+    spark.dataSource.register(JsonDocument)
+    head, tail = _around(totals, summaries)
+    json_findings(findings).write.format("json_document").mode("append").option("head", head).option("tail", tail).save(path)
 
 
 def escaped(text: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from collections.abc import Iterable
 from contextlib import nullcontext
@@ -119,7 +120,7 @@ def main(argv: list[str] | None = None) -> int:
         if as_csv:  # a summary has no findings: the header alone
             lines = report.csv_text(nothing)
         elif as_json:
-            lines = [report.document(totals, nothing, spark.createDataFrame([], "place int, analyzer_name string, packets_analyzed long, detail string"))]
+            lines = report.document(totals, nothing, spark.createDataFrame([], "place int, analyzer_name string, packets_analyzed long, detail string"))
         else:
             hosts = (f"  {r.host}" for r in summary.hosts(packets).orderBy("host_key").toLocalIterator()) if args.hosts else ()
             lines = chain(report.totals_lines(totals), ["HOSTS"] if args.hosts else [], hosts)
@@ -133,13 +134,16 @@ def main(argv: list[str] | None = None) -> int:
             lines, target = (), None
         elif as_csv:
             lines = report.csv_text(found.findings)
+        elif as_json and target:
+            report.write_json(found.totals(), found.findings, found.summaries, os.path.abspath(target) if "://" not in target else target)
+            lines, target = (), None
         elif as_json:
-            lines = [report.document(found.totals(), found.findings, found.summaries)]
+            lines = report.document(found.totals(), found.findings, found.summaries)
         else:
             lines = report.terminal(found.totals(), found.findings, found.summaries, not args.flat, not args.no_collapse)
     with open(target, "w", encoding="utf-8") if target else nullcontext(sys.stdout) as out:
         for line in lines:
-            print(line, file=out)
+            print(line, file=out, end="" if as_json else "\n")
     bad = files.where("error IS NOT NULL").select("path", "error").orderBy("path").collect()
     for r in bad:
         print(f"{r.path}: {r.error}", file=sys.stderr)

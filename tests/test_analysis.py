@@ -234,7 +234,7 @@ def test_reports(spark, run, tmp_path):
     for _ in range(5):
         t.send(b"GET /=../x HTTP/1.1\r\nHost: h\x1b\r\n\r\n").send(b"GET /../x HTTP/1.1\r\nHost: h\r\n\r\n")
     a = run(t.packets)
-    doc = json.loads(report.document(a.totals(), a.findings, a.summaries))
+    doc = json.loads("".join(report.document(a.totals(), a.findings, a.summaries)))
     assert doc["summary"]["total_packets"] == len(t.packets) and [x["analyzer_name"] for x in doc["analyzers"]] == ["TCP Reassembly", "DNS", "HTTP", "TLS", "modbus", "DNP3", "EtherNet/IP", "ARP"]
     first = doc["findings"][0]
     assert first["mitre_attack"][0] == {"id": "T1083", "name": "File and Directory Discovery", "tactic_id": "TA0007", "tactic_name": "Discovery", "reference": "https://attack.mitre.org/techniques/T1083/"}

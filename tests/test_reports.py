@@ -7,7 +7,7 @@ import build as b
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import findings, http, mitre
+from packetloom.operators import findings, http, mitre, report
 from packetloom.plans import analyze, cli
 
 
@@ -93,3 +93,23 @@ def test_options_of_the_command_line():
     assert cli.options(cli.parser().parse_args(["analyze", "--reassemble", "x"])).reassemble
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["analyze", "--small-segment-max-bytes", "2049", "x"])
+
+
+def test_a_large_report_is_one_json_file(spark, tmp_path):
+    """Many findings from many tasks, in order, and none: the file is what the pieces of the document give."""
+    found = spark.range(250_000).select(
+        F.lit(2).alias("stage"), (250_000 - F.col("id")).alias("at"), F.lit(0).alias("sub"), F.lit("Anomaly").alias("category"), F.lit("Likely").alias("verdict"), F.lit("High").alias("confidence"),
+        F.concat(F.lit('f "\n é '), F.col("id").cast("string")).alias("summary"), F.array(F.lit("e")).alias("evidence"), F.array(F.lit("T0814")).alias("mitre_techniques"), F.lit("1.2.3.4").alias("source_ip"),
+        F.timestamp_seconds(F.col("id")).alias("ts"), F.lit(None).cast("string").alias("direction"),
+    )
+    sums = spark.createDataFrame([(1, "HTTP", 5, '{"x": [1]}')], "place int, analyzer_name string, packets_analyzed long, detail string")
+    path = tmp_path / "report.json"
+    report.write_json({"total_packets": 3, "protocols": {"Tcp": 1}}, found, sums, str(path))
+    doc = json.loads(path.read_text(encoding="utf-8"))
+    assert [f["summary"] for f in doc["findings"][:2]] == ['f "\n é 249999', 'f "\n é 249998'] and len(doc["findings"]) == 250_000
+    assert doc["summary"]["protocols"] == {"Tcp": 1} and doc["analyzers"][0]["detail"] == {"x": [1]} and list(doc)[-1] == "mitre_attack_version"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["report.json"]
+    few = found.limit(3)
+    for own in (few, found.limit(0)):
+        report.write_json({}, own, sums, str(path))
+        assert json.loads(path.read_text(encoding="utf-8")) == json.loads("".join(report.document({}, own, sums)))
