@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.binary import part
-
 # The tokens that open an HTTP message, and the ports that stand in for content.
-HTTP_TOKENS = ("GET ", "POST ", "PUT ", "DELETE ", "HEAD ", "OPTIONS ", "PATCH ", "CONNECT ", "TRACE ", "HTTP/")
+HTTP_TOKENS = (b"GET ", b"POST ", b"PUT ", b"DELETE ", b"HEAD ", b"OPTIONS ", b"PATCH ", b"CONNECT ", b"TRACE ", b"HTTP/")
 PORTS = (((443, 8443), "Tls"), ((80, 8080), "Http"), ((502,), "Modbus"), ((20000,), "Dnp3"), ((44818,), "Enip"))
 ATTEMPTS = 8
 
 
-def classify(data: Column, lower_port: Column, upper_port: Column) -> Column:
-    """Tls, Http, Modbus, Dnp3, Enip, or null."""
-    out = F.when((F.octet_length(data) >= 5) & (F.hex(part(data, 0, 2)) == "1603"), "Tls")
-    is_token = F.lit(False)
-    for token in HTTP_TOKENS:
-        is_token = is_token | (part(data, 0, len(token)) == F.lit(token.encode()))
-    out = out.when(is_token, "Http")
-    for ports, name in PORTS:
-        out = out.when(lower_port.isin(*ports) | upper_port.isin(*ports), name)
-    return out
+def classify_bytes(data: bytes, lower_port: int, upper_port: int, more: Iterable[tuple[str, Callable[[bytes, int, int], bool]]] = ()) -> str | None:
+    """Tls, Http, Modbus, Dnp3, Enip, one of ``more`` (name and test), or None: the protocol that a chunk tells."""
+    if len(data) >= 5 and data[:2] == b"\x16\x03":
+        return "Tls"
+    if data.startswith(HTTP_TOKENS):
+        return "Http"
+    by_port = next((name for ports, name in PORTS if lower_port in ports or upper_port in ports), None)
+    return by_port or next((name for name, test in more if test(data, lower_port, upper_port)), None)
 
 
-_TOKENS = tuple(t.encode() for t in HTTP_TOKENS)
+def classify(data: Column, lower_port: Column, upper_port: Column) -> Column:
+    """:func:`classify_bytes` of a column of first chunks."""
 
+    def each(data: pa.Array, lower: pa.Array, upper: pa.Array) -> pa.Array:
+        return pa.array([None if d is None else classify_bytes(d, a, b) for d, a, b in zip(data.to_pylist(), lower.to_pylist(), upper.to_pylist(), strict=True)], pa.string())
 
-def classify_bytes(data: bytes, lower_port: int, upper_port: int) -> str | None:
-    """:func:`classify` of one chunk, for the pass over a flow."""
-    if len(data) >= 5 and data[:2] == b"\x16\x03":
-        return "Tls"
-    if data.startswith(_TOKENS):
-        return "Http"
-    return next((name for ports, name in PORTS if lower_port in ports or upper_port in ports), None)
+    return F.arrow_udf(each, "string")(data, lower_port, upper_port)
 
 
 def dispatch(chunks: DataFrame) -> DataFrame:

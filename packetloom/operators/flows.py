@@ -7,6 +7,7 @@ was a reset, or two FINs were seen.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,8 @@ class FlowConfig:
     small_bytes: int = 16
     small_ignore_ports: tuple[int, ...] = (23, 513)
     out_of_window_threshold: int = 100
+    #: Protocols beyond the built-in ones: name, and whether a chunk between two ports is one of its streams'.
+    routes: tuple[tuple[str, Callable[[bytes, int, int], bool]], ...] = ()
 
 
 def flow_key(src_key: Column, src_port: Column, dst_key: Column, dst_port: Column) -> dict[str, Column]:

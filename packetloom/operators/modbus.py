@@ -27,10 +27,11 @@ READ = (0x01, 0x02, 0x03, 0x04, 0x07, 0x0B, 0x0C, 0x11, 0x14, 0x18)
 REGISTERS, COILS = (0x06, 0x10, 0x16, 0x17), (0x05, 0x0F)
 
 
-class _Flow:
-    """What a flow's units leave behind: windows of writes and exceptions, and requests without an answer."""
+class Machine:
+    """One flow's units: half a unit each way, windows of writes and exceptions, requests without an answer."""
 
     def __init__(self, most_pending: int):
+        self.held, self.foreign = {CLIENT: b"", SERVER: b""}, False
         self.paired, self.burst, self.slow = Anchor(5), Anchor(1), Anchor(2, restart_at=True)
         self.failed: dict[int, Anchor] = {}
         self.pending: dict[tuple[bytes, int], tuple[int, int]] = {}
@@ -67,6 +68,28 @@ class _Flow:
         del self.pending[key]
         return ("matched" if fc < 0x80 else "exception"), held[0], max(0, now - held[1])
 
+    def chunk(self, c: dict) -> Iterator[tuple]:
+        """The rows of a chunk, without the flow's key."""
+        if self.foreign:
+            return
+        way, at, sub, now = c["direction"], 0, 1000 * c["sub"], c["ts"]
+        buffer, self.held[way] = self.held[way] + c["data"], b""
+        while at < len(buffer) and not self.foreign:
+            rest = len(buffer) - at
+            size = 6 + int.from_bytes(buffer[at + 4 : at + 6], "big")
+            if rest >= 8 and not (buffer[at + 2 : at + 4] == b"\0\0" and 8 <= size <= 260):
+                self.foreign = True
+            elif rest < 8 or rest < size:
+                self.foreign = rest > CARRY
+                self.held[way] = buffer[at:]
+                break
+            else:
+                adu = buffer[at : at + size]
+                yield (c["ip_idx"], sub, now, way, "adu", adu, *self.windows(adu, now, way), *self.transaction(adu, now, way))
+                at, sub = at + size, sub + 1
+        if self.foreign:
+            yield (c["ip_idx"], sub, now, way, "error", *[None] * 8)
+
 
 def units(routed: DataFrame, most_pending: int = MOST_PENDING) -> DataFrame:
     """Rows of ``SCHEMA``: adu for each unit, error where a flow turns out not to be Modbus.
@@ -74,30 +97,13 @@ def units(routed: DataFrame, most_pending: int = MOST_PENDING) -> DataFrame:
     One pass over a flow's chunks frames the units, counts them in the windows that they
     are events of, and pairs responses with requests, of which ``most_pending`` may wait.
     """
-    blank = [None] * 7
 
     def run(key: tuple, chunks: Iterator[dict]) -> Iterator[tuple]:
-        held = {CLIENT: b"", SERVER: b""}
-        flow = _Flow(most_pending)
+        machine = Machine(most_pending)
         for c in chunks:
-            way, at, sub, now = c["direction"], 0, 1000 * c["sub"], c["ts"]
-            buffer, held[way] = held[way] + c["data"], b""
-            foreign = False
-            while at < len(buffer) and not foreign:
-                rest = len(buffer) - at
-                size = 6 + int.from_bytes(buffer[at + 4 : at + 6], "big")
-                if rest >= 8 and not (buffer[at + 2 : at + 4] == b"\0\0" and 8 <= size <= 260):
-                    foreign = True
-                elif rest < 8 or rest < size:
-                    foreign = rest > CARRY
-                    held[way] = buffer[at:]
-                    break
-                else:
-                    adu = buffer[at : at + size]
-                    yield (*key, c["ip_idx"], sub, now, way, "adu", adu, *flow.windows(adu, now, way), *flow.transaction(adu, now, way))
-                    at, sub = at + size, sub + 1
-            if foreign:
-                yield (*key, c["ip_idx"], sub, now, way, "error", None, *blank)
+            for row in machine.chunk(c):
+                yield (*key, *row)
+            if machine.foreign:
                 return
 
     mine = routed.where("route = 'Modbus'").select(*KEY, "inst", "ip_idx", "sub", "ts", "direction", "data")

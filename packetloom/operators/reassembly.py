@@ -175,7 +175,7 @@ class Flow:
         for at, chunk in own.ready():
             stats["bytes_reassembled"] += len(chunk)
             if self.route is None and self.looks < ATTEMPTS:
-                self.route, self.looks = classify_bytes(chunk, *ports), self.looks + 1
+                self.route, self.looks = classify_bytes(chunk, *ports, self.config.routes), self.looks + 1
             yield {"what": "chunk", "p": p, "direction": direction, "offset": at, "data": chunk, "route": self.route}
 
     def end(self, last: dict) -> dict:

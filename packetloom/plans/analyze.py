@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.operators import arp, decode, dispatch, dnp3, enip, flows, http, modbus, reassembly, summary, tls
+from packetloom.operators import decode, dispatch, flows, reassembly, summary
 from packetloom.operators.findings import COLUMNS, LAST, capped, dropped, finding, rows
 from packetloom.scratch import stage
 from packetloom.sources.capture import captures, read_captures
 
-STREAMS = ("http", "tls", "modbus", "dnp3", "enip")
-ANALYZERS = ("dns", "arp", *STREAMS)
+from .analyzers import BUILT_IN, PacketAnalyzer, StreamAnalyzer, chosen, known
+from .summaries import json_row
+
+STREAMS = tuple(n for n, a in BUILT_IN.items() if isinstance(a, StreamAnalyzer))
+ANALYZERS = tuple(BUILT_IN)
 # What the report says of segments beyond the limit.
 SEGMENT_LIMIT_EVIDENCE = ("Segment count limit prevents BTreeMap overhead explosion", "May indicate segmentation-based evasion attempt")
 
@@ -37,7 +40,7 @@ class Options:
         for name in ("modbus_write_burst", "modbus_write_sustained", "arp_spoof", "arp_storm_rate"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        if unknown := set(self.analyzers) - set(ANALYZERS):
+        if unknown := set(self.analyzers) - known():
             raise ValueError(f"unknown analyzers: {', '.join(sorted(unknown))}")
 
 
@@ -60,31 +63,6 @@ class Analysis:
         return out
 
 
-def _json_row(wide: DataFrame, place: int, name: str, analyzed: str) -> DataFrame:
-    """A one-row table of counters as a summary row."""
-    return wide.select(F.lit(place).alias("place"), F.lit(name).alias("analyzer_name"), F.expr(analyzed).cast("long").alias("packets_analyzed"), F.to_json(F.struct(*sorted(wide.columns))).alias("detail"))
-
-
-def _json_fields(long: DataFrame, place: int, name: str, analyzed: str, wanted: tuple[str, ...], maps: tuple[str, ...] = (), top: dict[str, str] | None = None, lists: dict[str, Column] | None = None, nested: str = "") -> DataFrame:
-    """Counters as rows (field, value, n) as a summary row.
-
-    ``wanted``: counters at the top level, 0 where they have no row. ``maps``: fields that
-    become maps, of at most ``http.MOST_KEYS`` values each. ``top``: fields and the names
-    under which their twenty most frequent values are listed. ``lists``: more columns.
-    ``nested``: a name to put all of it under.
-    """
-    columns = {c: F.coalesce(F.sum(F.when((F.col("field") == "counters") & (F.col("value") == c), F.col("n"))), F.lit(0)).alias(c) for c in wanted}
-    entries = lambda f: F.collect_list(F.when(F.col("field") == f, F.struct("value", "n")))
-    columns |= {f: F.map_from_entries(F.array_sort(entries(f))).alias(f) for f in maps}
-    for f, shown in (top or {}).items():
-        ranked = F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct((-F.col("n")).alias("rank"), "value"))))
-        columns[shown] = F.transform(F.slice(ranked, 1, 20), lambda x: x["value"]).alias(shown)
-    wide = long.agg(*columns.values()).withColumns(lists or {})
-    body = F.struct(*sorted([*columns, *(lists or {})]))
-    detail = F.to_json(F.struct(body.alias(nested)) if nested else body)
-    return wide.select(F.lit(place).alias("place"), F.lit(name).alias("analyzer_name"), F.col(analyzed).cast("long").alias("packets_analyzed"), detail.alias("detail"))
-
-
 def analyze_packets(packets: DataFrame, options: Options = Options()) -> Analysis:
     """The analysis of decoded packets (:func:`decode.packets`). Branches that aren't asked for are never built.
 
@@ -96,12 +74,13 @@ def analyze_packets(packets: DataFrame, options: Options = Options()) -> Analysi
     packets = stage(packets.drop("data"), "packets")
     found: list[DataFrame] = []
     sums: list[DataFrame] = []
-    if "dns" in on:
-        sums.append(_json_row(summary.dns(packets), 1, "DNS", "dns_queries + dns_responses"))
-    if "arp" in on:
-        own = stage(arp.detect(packets, options.arp_spoof, options.arp_storm_rate), "arp-findings")
-        found.append(own)
-        sums.append(_json_row(arp.counts(packets, own), 7, "ARP", "frames_analyzed"))
+    for analyzer in chosen(on, PacketAnalyzer):
+        mine = packets.where(analyzer.wants())
+        own = analyzer.detect(mine, options)
+        if own is not None:
+            own = stage(own, f"{analyzer.name}-findings")
+            found.append(own)
+        sums.append(analyzer.summary(mine, own))
     later, flow_rows = [], None
     if options.reassemble:
         flow_rows = _streams(packets, options, found, later)
@@ -123,7 +102,8 @@ FINDINGS = "stage int, at long, sub int, category string, verdict string, confid
 
 def _streams(packets: DataFrame, options: Options, found: list[DataFrame], later: list) -> DataFrame:
     """Add findings to ``found``, and to ``later`` functions from the dropped findings of each stage to a summary row."""
-    on, config = options.analyzers, options.flow
+    mine = chosen(options.analyzers, StreamAnalyzer)
+    config = replace(options.flow, routes=tuple((a.route, a.classify) for a in mine if a.name not in BUILT_IN))
     indexed = flows.ip_index(packets)
     tcp = flows.instances(indexed, config)
     # Payloads go into the streams; what the flows are counted by stays behind.
@@ -141,33 +121,14 @@ def _streams(packets: DataFrame, options: Options, found: list[DataFrame], later
     routed = dispatch.dispatch(reassembly.chunks(made))
     expired = flow_rows.agg(F.count_if("expired").alias("n")).first()["n"]
     wide = totals.withColumns({"flows_expired": F.lit(expired), "packets_skipped_non_tcp": F.lit(end["packets_skipped_non_tcp"]), "packets_processed": F.lit(end["packets_processed"]), "evictions": F.lit(0)})
-    if not set(STREAMS) & set(on):
+    if not mine:
         wide = wide.drop("unclassified_flows")
-    later.append(lambda lost: _json_row(wide.withColumn("dropped_findings", F.lit(lost[1])), 0, "TCP Reassembly", "packets_tcp"))
-
-    lost_column = lambda lost, k: {"dropped_findings": F.lit(lost[k])}
-    if "http" in on:
-        m = stage(http.messages(routed), "http")
-        found.append(http.detect(m))
-        uris = [r.uri for r in http.recent_uris(m).orderBy("nth").collect()]
-        uris = F.array(*[F.lit(u) for u in uris]).cast("array<string>")
-        later.append(lambda lost: _json_fields(http.counts(m), 2, "HTTP", "transactions", ("transactions", "parse_errors", "non_http_flows", "poisoned_bytes_skipped"), ("methods", "status_codes", "user_agents"), {"hosts": "top_hosts"}, {"recent_uris": uris}))
-    if "tls" in on:
-        h = stage(tls.hellos(routed), "tls")
-        found.append(tls.detect(h))
-        later.append(lambda lost: _json_fields(tls.counts(h), 3, "TLS", "handshakes", ("handshakes", "parse_errors", "truncated_records", "handshake_reassembly_overflows", "buffer_saturation_drops"), ("ja3_hashes", "ja3s_hashes", "tls_versions", "cipher_suites"), {"snis": "top_snis"}))
-    if "modbus" in on:
-        u = stage(modbus.units(routed), "modbus")
-        found.append(modbus.detect(u, options.modbus_write_burst, options.modbus_write_sustained))
-        later.append(lambda lost: _json_fields(modbus.counts(u), 4, "modbus", "pdu_count", ("pdu_count", "write_count", "exception_count", "parse_errors"), ("function_code_distribution",), lists=lost_column(lost, 4)))
-    if "dnp3" in on:
-        d = stage(dnp3.frames(routed), "dnp3")
-        found.append(dnp3.detect(d, options.dnp3_direct_operate))
-        later.append(lambda lost: _json_fields(dnp3.counts(d, routed), 5, "DNP3", "total_frames", ("total_frames", "parse_errors", "flows_analyzed"), ("function_code_distribution", "control_operation_counts")))
-    if "enip" in on:
-        e = stage(enip.frames(routed), "enip")
-        found.append(enip.detect(e, options.enip_write_burst, options.enip_error_burst))
-        later.append(lambda lost: _json_fields(enip.counts(e, routed), 6, "EtherNet/IP", "total_pdu_count", ("total_pdu_count", "parse_errors", "error_count", "write_count", "flows_analyzed"), ("command_distribution",), lists=lost_column(lost, 6), nested="enip_summary"))
+    later.append(lambda lost: json_row(wide.withColumn("dropped_findings", F.lit(lost[1])), 0, "TCP Reassembly", "packets_tcp"))
+
+    for analyzer in mine:
+        frames = stage(analyzer.frames(routed), analyzer.name)
+        found.append(analyzer.detect(frames, options))
+        later.append(lambda lost, a=analyzer, frames=frames: a.summary(frames, routed, lost.get(a.place, 0)))
     return flow_rows
 
 
