@@ -14,26 +14,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from packetloom.operators.anchored import Anchor
+from packetloom.operators.flows import KEY
+from packetloom.operators.reassembly import CLIENT, SERVER
 
-def anchored_windows(events: DataFrame, keys: list[str], order: str, ts: str, width: int) -> DataFrame:
-    """Streaming :func:`operators.anchored.anchored_windows`: key, order, win_no, win_start, win_count, elapsed."""
+
+def anchored_windows(events: DataFrame, keys: list[str], order: str, ts: str, width: int, event_time: str = "event_time", lateness: str = "0 seconds") -> DataFrame:
+    """Streaming :func:`operators.anchored.anchored_windows`: key, order, win_no, win_start, win_count, elapsed.
+
+    A window that the watermark has passed by ``width`` seconds takes no more events, so its state
+    goes: the key's next event opens a window in any case, and ``win_no`` counts from 0
+    again. ``event_time`` is the timestamp of the seconds ``ts``.
+    """
     kinds = dict(events.dtypes)
     lead = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    names = [*keys, order, "win_no", "win_start", "win_count", "elapsed"]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, start, count = state.get if state.exists else (-1, None, 0)
-        rows = pd.concat(parts).sort_values(order)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
+        anchor = Anchor(width)
+        if state.exists:
+            anchor.number, anchor.start, anchor.count = state.get
+        rows = sorted(row for part in parts for row in zip(part[order], part[ts], strict=True))
         out = []
-        for at, now in zip(rows[order], rows[ts], strict=True):
-            if start is None or now - start > width:
-                number, start, count = number + 1, int(now), 0
-            count += 1
-            out.append((*key, at, number, start, count, max(0, int(now) - start)))
-        state.update((number, start, count))
-        yield pd.DataFrame(out, columns=[*keys, order, "win_no", "win_start", "win_count", "elapsed"])
+        for at, now in rows:
+            number, start, count, elapsed = anchor.event(int(now))
+            out.append((*key, at, number, start, count, elapsed))
+        state.update((anchor.number, anchor.start, anchor.count))
+        state.setTimeoutTimestamp(max((anchor.start + width + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
 
     schema = f"{lead}, `{order}` {kinds[order]}, win_no long, win_start long, win_count long, elapsed long"
-    return events.groupBy(*keys).applyInPandasWithState(run, schema, "win_no long, win_start long, win_count long", "append", GroupStateTimeout.NoTimeout)
+    marked = events.withWatermark(event_time, lateness)
+    return marked.groupBy(*keys).applyInPandasWithState(run, schema, "win_no long, win_start long, win_count long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def modbus_pairs(units: DataFrame, within: int = 10, lateness: str = "0 seconds") -> DataFrame:
+    """Requests and their responses of a stream of Modbus units, a join of the stream with itself.
+
+    ``units``: the flow key, ``began``, ``event_time``, ``direction``, ``txn``, ``unit`` and ``fc``. A response belongs to
+    a request of its flow, transaction and unit that is at most ``within`` seconds older; an
+    exception only to one of its own code. A request without one comes out, with nulls, when the
+    watermark has passed; until then it is state. Requests under one number are all paired,
+    where the batch operator keeps the last.
+    """
+    keys = [*KEY, "began", "txn", "unit"]
+    marked = units.withWatermark("event_time", lateness)
+    asked = marked.where((F.col("direction") == CLIENT) & (F.col("fc") < 0x80)).select(*keys, F.col("fc").alias("request_fc"), F.col("event_time").alias("asked"))
+    said = marked.where(F.col("direction") == SERVER).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("fc").alias("response_fc"), F.col("event_time").alias("answered"))
+    same = (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"INTERVAL {within} SECONDS"))
+    same = same & ((F.col("response_fc") < 0x80) | (F.col("response_fc") - 0x80 == F.col("request_fc")))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    paired = asked.join(said, same, "leftOuter")
+    return paired.select(*keys, "request_fc", "response_fc", "asked", (F.unix_seconds("answered") - F.unix_seconds("asked")).alias("seconds"))
 
 
 def flow_sessions(packets: DataFrame, keys: list[str], timeout: int = 300, lateness: str = "0 seconds") -> DataFrame:
