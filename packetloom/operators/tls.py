@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from .flows import KEY
 from .http import first_keys
 from .ordered import ordered_map
 from .reassembly import CLIENT, SERVER
+from .suites import suites
 
 BUFFER, MOST_RECORD = 65_536, 18_432
 HANDSHAKE, CLIENT_HELLO, SERVER_HELLO = 0x16, 1, 2
@@ -156,75 +158,22 @@ def ja3s(version: Column, cipher: Column, extensions: Column) -> Column:
     return F.concat_ws(",", version.cast("string"), cipher.cast("string"), _dashed(no_grease(extensions)))
 
 
-# Registered names of weak suites and of common ones; any other is shown as 0x....
-CIPHERS = {
-    0x0000: "TLS_NULL_WITH_NULL_NULL",
-    0x0001: "TLS_RSA_WITH_NULL_MD5",
-    0x0002: "TLS_RSA_WITH_NULL_SHA",
-    0x0003: "TLS_RSA_EXPORT_WITH_RC4_40_MD5",
-    0x0004: "TLS_RSA_WITH_RC4_128_MD5",
-    0x0005: "TLS_RSA_WITH_RC4_128_SHA",
-    0x0006: "TLS_RSA_EXPORT_WITH_RC2_CBC_40_MD5",
-    0x0008: "TLS_RSA_EXPORT_WITH_DES40_CBC_SHA",
-    0x0009: "TLS_RSA_WITH_DES_CBC_SHA",
-    0x000A: "TLS_RSA_WITH_3DES_EDE_CBC_SHA",
-    0x000B: "TLS_DH_DSS_EXPORT_WITH_DES40_CBC_SHA",
-    0x000E: "TLS_DH_RSA_EXPORT_WITH_DES40_CBC_SHA",
-    0x0011: "TLS_DHE_DSS_EXPORT_WITH_DES40_CBC_SHA",
-    0x0014: "TLS_DHE_RSA_EXPORT_WITH_DES40_CBC_SHA",
-    0x0017: "TLS_DH_anon_EXPORT_WITH_RC4_40_MD5",
-    0x0018: "TLS_DH_anon_WITH_RC4_128_MD5",
-    0x0019: "TLS_DH_anon_EXPORT_WITH_DES40_CBC_SHA",
-    0x001A: "TLS_DH_anon_WITH_DES_CBC_SHA",
-    0x001B: "TLS_DH_anon_WITH_3DES_EDE_CBC_SHA",
-    0x0026: "TLS_KRB5_EXPORT_WITH_DES_CBC_40_SHA",
-    0x0028: "TLS_KRB5_EXPORT_WITH_RC4_40_SHA",
-    0x0029: "TLS_KRB5_EXPORT_WITH_DES_CBC_40_MD5",
-    0x002B: "TLS_KRB5_EXPORT_WITH_RC4_40_MD5",
-    0x002C: "TLS_PSK_WITH_NULL_SHA",
-    0x002D: "TLS_DHE_PSK_WITH_NULL_SHA",
-    0x002E: "TLS_RSA_PSK_WITH_NULL_SHA",
-    0x002F: "TLS_RSA_WITH_AES_128_CBC_SHA",
-    0x0033: "TLS_DHE_RSA_WITH_AES_128_CBC_SHA",
-    0x0034: "TLS_DH_anon_WITH_AES_128_CBC_SHA",
-    0x0035: "TLS_RSA_WITH_AES_256_CBC_SHA",
-    0x0039: "TLS_DHE_RSA_WITH_AES_256_CBC_SHA",
-    0x003A: "TLS_DH_anon_WITH_AES_256_CBC_SHA",
-    0x003B: "TLS_RSA_WITH_NULL_SHA256",
-    0x003C: "TLS_RSA_WITH_AES_128_CBC_SHA256",
-    0x003D: "TLS_RSA_WITH_AES_256_CBC_SHA256",
-    0x006C: "TLS_DH_anon_WITH_AES_128_CBC_SHA256",
-    0x006D: "TLS_DH_anon_WITH_AES_256_CBC_SHA256",
-    0x009C: "TLS_RSA_WITH_AES_128_GCM_SHA256",
-    0x009D: "TLS_RSA_WITH_AES_256_GCM_SHA384",
-    0x00A6: "TLS_DH_anon_WITH_AES_128_GCM_SHA256",
-    0x00A7: "TLS_DH_anon_WITH_AES_256_GCM_SHA384",
-    0x1301: "TLS_AES_128_GCM_SHA256",
-    0x1302: "TLS_AES_256_GCM_SHA384",
-    0x1303: "TLS_CHACHA20_POLY1305_SHA256",
-    0xC006: "TLS_ECDHE_ECDSA_WITH_NULL_SHA",
-    0xC007: "TLS_ECDHE_ECDSA_WITH_RC4_128_SHA",
-    0xC010: "TLS_ECDHE_RSA_WITH_NULL_SHA",
-    0xC011: "TLS_ECDHE_RSA_WITH_RC4_128_SHA",
-    0xC013: "TLS_ECDHE_RSA_WITH_AES_128_CBC_SHA",
-    0xC014: "TLS_ECDHE_RSA_WITH_AES_256_CBC_SHA",
-    0xC015: "TLS_ECDH_anon_WITH_NULL_SHA",
-    0xC016: "TLS_ECDH_anon_WITH_RC4_128_SHA",
-    0xC018: "TLS_ECDH_anon_WITH_AES_128_CBC_SHA",
-    0xC019: "TLS_ECDH_anon_WITH_AES_256_CBC_SHA",
-    0xC02B: "TLS_ECDHE_ECDSA_WITH_AES_128_GCM_SHA256",
-    0xC02C: "TLS_ECDHE_ECDSA_WITH_AES_256_GCM_SHA384",
-    0xC02F: "TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256",
-    0xC030: "TLS_ECDHE_RSA_WITH_AES_256_GCM_SHA384",
-    0xCCA8: "TLS_ECDHE_RSA_WITH_CHACHA20_POLY1305_SHA256",
-    0xCCA9: "TLS_ECDHE_ECDSA_WITH_CHACHA20_POLY1305_SHA256",
-}
+#: Registered names; any other suite is shown as 0x....
+CIPHERS = suites()
 EVIDENCE = 64
 
 
+def cipher_names(values: Column) -> Column:
+    """Names of a list of suites. The registry is too large for a literal in generated code, so Arrow batches look it up."""
+
+    def each(column: pa.Array) -> pa.Array:
+        return pa.array([None if row is None else [CIPHERS.get(v, f"0x{v:04x}") for v in row] for row in column.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(each, "array<string>")(values.cast("array<bigint>"))
+
+
 def cipher_name(value: Column) -> Column:
-    names = F.create_map(*[x for k, v in CIPHERS.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(names, value), F.lower(F.concat(F.lit("0x"), F.lpad(F.hex(value), 4, "0"))))
+    return F.when(value.isNotNull(), F.get(cipher_names(F.array(F.coalesce(value, F.lit(0)))), F.lit(0)))
 
 
 def is_weak(name: Column, server: bool = False) -> Column:
@@ -250,16 +199,17 @@ def detect(found: DataFrame) -> DataFrame:
     client, server, version, sni = F.col("what") == "client", F.col("what") == "server", F.col("version"), F.col("sni")
     kind, text = sni_kind(sni), F.make_valid_utf8(sni.cast("string"))
     raw = F.array(F.concat(F.lit("hex: "), hex_of(sni)))
-    names = F.transform("ciphers", lambda c: cipher_name(c))
+    names = F.col("_names")
     weak = F.filter(names, lambda n: is_weak(n))
     shown = F.when(F.size(weak) > EVIDENCE, F.concat(F.slice(weak, 1, EVIDENCE), F.array(F.concat(F.lit("(+"), (F.size(weak) - EVIDENCE).cast("string"), F.lit(" more)"))))).otherwise(weak)
-    chosen = cipher_name(F.get("ciphers", F.lit(0)))
+    chosen = F.get("_names", F.lit(0))
     code = F.lower(F.concat(F.lit("0x"), F.lpad(F.hex(F.get("ciphers", F.lit(0))), 4, "0")))
     old = F.concat(F.lit(" deprecated protocol ("), version_name(version), F.lit(", RFC 7568 prohibits SSLv3)"))
     old_seen = F.array(F.concat(F.lit("Version: "), F.lower(F.concat(F.lit("0x"), F.lpad(F.hex(version), 4, "0"))), F.lit(" ("), version_name(version), F.lit(")")))
     clause = F.when(text.rlike(r"[\x00-\x1F\x7F]"), " and ASCII control bytes").otherwise("")
     control = F.lit("TLS SNI contains ASCII control characters (RFC 6066 §3 requires ASCII; DNS preferred hostname syntax per RFC 952 / RFC 1123 restricts to letters, digits, and hyphens): ")
     low = lambda summary, sub: finding("Anomaly", "Inconclusive", "Low", summary, raw, ["T1027"], sub, direction=CLIENT)
+    found = found.withColumn("_names", cipher_names(F.col("ciphers")))
     return rows(found, 3, F.col("at") * 1_000_000 + F.col("sub"), F.col("ts"), [
         (client & (kind == "control"), low(F.concat(control, text), 1)),
         (client & (kind == "non-ascii"), low(F.concat(F.lit("TLS SNI contains non-ASCII characters"), clause, F.lit(" (RFC 6066 requires A-labels per RFC 5890): "), text), 1)),

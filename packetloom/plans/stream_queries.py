@@ -663,6 +663,20 @@ def tls_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("category", "verdict", "confidence", short.alias("summary"), "direction").agg(F.sum("n").alias("n"))
 
 
+# Suites: two in the ranges of the registry's first two bytes for each customer, by number.
+_SUITE = "CASE WHEN c_custkey % 2 = 0 THEN c_custkey // 2 % 256 ELSE 49152 + c_custkey // 2 % 256 END"
+
+
+@query(f"""WITH n AS (SELECT unnest({list(tls.CIPHERS)}) AS suite, unnest({list(tls.CIPHERS.values())}) AS name), s AS (SELECT ({_SUITE})::BIGINT AS suite FROM customer),
+r AS (SELECT suite, coalesce(name, printf('0x%04x', suite)) AS name FROM s LEFT JOIN n USING (suite))
+SELECT suite, name, upper(name) LIKE '%NULL%' OR upper(name) LIKE '%ANON%' OR upper(name) LIKE '%EXPORT%' AS weak, upper(name) LIKE '%NULL%' OR upper(name) LIKE '%ANON%' OR upper(name) LIKE '%EXPORT%' OR name LIKE '%RC4%' AS weak_chosen, count(*) AS n FROM r GROUP BY ALL""")
+def tls_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of suites, and whether one is weak when a client offers or a server chooses it."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.expr(_SUITE.replace("c_custkey // 2", "c_custkey div 2")).cast("long").alias("suite"))
+    name = tls.cipher_name(F.col("suite"))
+    return c.groupBy("suite").agg(F.count("*").alias("n")).select("suite", name.alias("name"), tls.is_weak(name).alias("weak"), tls.is_weak(name, server=True).alias("weak_chosen"), "n")
+
+
 @query(f"""WITH {_TLS} SELECT 'tls_versions' AS field, v AS value, count(*) AS n FROM (SELECT CASE WHEN old THEN '768' ELSE '771' END AS v FROM c UNION ALL SELECT '771' FROM c) GROUP BY ALL UNION ALL SELECT 'cipher_suites', CASE WHEN k % 4 = 1 THEN 'TLS_RSA_WITH_RC4_128_SHA' ELSE 'TLS_AES_128_GCM_SHA256' END, count(*) FROM c GROUP BY ALL
 UNION ALL SELECT 'snis', CASE sni WHEN 0 THEN 'host' || k WHEN 1 THEN 'host' || k || chr(1) WHEN 2 THEN 'host' || k || 'é' ELSE '<non-utf8:' || lower(hex('host' || k)) || 'ff>' END, count(*) FROM c GROUP BY ALL
 UNION ALL SELECT 'ja3_hashes', {_JA3}, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'ja3s_hashes', md5(CASE WHEN k % 4 = 1 THEN '771,5,43' ELSE '771,4865,43' END), count(*) FROM c GROUP BY ALL UNION ALL SELECT 'counters', 'handshakes', count(*) FROM c""")
