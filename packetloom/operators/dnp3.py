@@ -153,7 +153,8 @@ def frames(routed: DataFrame) -> DataFrame:
 
 
 def code_class(fc: Column) -> Column:
-    return F.when(fc == 1, "Read").when(fc == 2, "Write").when(fc.between(3, 6), "Control").when(fc.isin(0x0D, 0x0E), "Restart").when(fc.between(0x81, 0x83), "Response").otherwise("Other")
+    known = F.when(fc == 1, "Read").when(fc == 2, "Write").when(fc.between(3, 6), "Control").when(fc.isin(0x0D, 0x0E), "Restart")
+    return known.when((fc >= 0) & (fc <= 0x1A), "Management").when(fc.between(0x81, 0x83), "Response").otherwise("Unknown")
 
 
 def detect(found: DataFrame, threshold: int = 10) -> DataFrame:

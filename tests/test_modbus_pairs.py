@@ -61,3 +61,12 @@ def test_instances_of_the_pass_are_those_of_the_windows(spark):
     config = flows.FlowConfig(sweep_packets=16, idle_packets=30)
     rows = [sorted(map(repr, reassembly.reassemble(tcp, config).withColumn("stats", F.sort_array(F.map_entries("stats"))).collect())) for tcp in (flows.instances(ip, config), flows.keyed(ip.where("protocol = 'Tcp'")))]
     assert rows[0] == rows[1] and len(rows[0]) > 100
+
+
+def test_classes_of_dnp3_codes(spark):
+    """Every code has one class."""
+    from packetloom.operators import dnp3
+
+    got = {r.fc: r.c for r in spark.range(256).select(F.col("id").alias("fc"), dnp3.code_class(F.col("id")).alias("c")).collect()}
+    want = {1: "Read", 2: "Write", 13: "Restart", 14: "Restart", **dict.fromkeys(range(3, 7), "Control"), **dict.fromkeys(range(0x81, 0x84), "Response")}
+    assert all(got[k] == want.get(k, "Management" if k <= 0x1A else "Unknown") for k in range(256))
