@@ -30,7 +30,7 @@ _CHAIN, _LONGEST = 12, 1 << 18
 RANGE = "file_seq int, path string, target string, size long, nth int, begin long, stop long, entry long, leave long, packets long, error string"
 
 
-class Window4:
+class FileWindow:
     """Bytes of an open file by offset, read a few MiB at a time."""
 
     def __init__(self, file, size: int):
@@ -44,7 +44,7 @@ class Window4:
         return self.data[offset - self.base : offset - self.base + n]
 
 
-def walk(window: Window4, at: int, stop: int, order: str) -> tuple[int, int]:
+def walk(window: FileWindow, at: int, stop: int, order: str) -> tuple[int, int]:
     """Where the first record at or beyond ``stop`` begins, and the number of records before it; raises CaptureError."""
     n, size, captured = 0, window.size, struct.Struct(f"{order}8xI4x")
     while at < stop:
@@ -58,7 +58,7 @@ def walk(window: Window4, at: int, stop: int, order: str) -> tuple[int, int]:
     return at, n
 
 
-def guess(window: Window4, begin: int, stop: int, order: str, per_second: int) -> int | None:
+def guess(window: FileWindow, begin: int, stop: int, order: str, per_second: int) -> int | None:
     """The first place in a range from which a chain of plausible records begins, if there is one."""
     for base in range(begin, stop, _WINDOW - 64):
         data = window.file.read_at(min(_WINDOW, window.size - base), base)
@@ -78,7 +78,7 @@ def guess(window: Window4, begin: int, stop: int, order: str, per_second: int) -
     return None
 
 
-def _plausible(window: Window4, at: int, order: str, per_second: int) -> bool:
+def _plausible(window: FileWindow, at: int, order: str, per_second: int) -> bool:
     """A chain of headers of one time, give or take a day, or such a chain up to the file's exact end."""
     first = None
     for _ in range(_CHAIN):
@@ -101,7 +101,7 @@ def _walked(rows: pa.RecordBatch) -> pa.RecordBatch:
     for r in rows.to_pylist():
         fs, path = open_store(r["target"])
         with fs.open_input_file(r["path"]) as file:
-            window = Window4(file, r["size"])
+            window = FileWindow(file, r["size"])
             magic = window.at(0, 4)
             order, per_usec = CLASSIC[magic]
             entry, leave, n, error = r["entry"], None, 0, None
@@ -169,7 +169,7 @@ def packets(target: str, path: str, size: int, part: SplitRange) -> Iterator[tup
     """(number, secs, usecs, datalink, data) of a range's records."""
     fs, _ = open_store(target)
     with fs.open_input_file(path) as file:
-        window = Window4(file, size)
+        window = FileWindow(file, size)
         magic = window.at(0, 4)
         order, per_usec = CLASSIC[magic]
         datalink = classic_header(window.at(4, 20), magic)
@@ -180,9 +180,9 @@ def packets(target: str, path: str, size: int, part: SplitRange) -> Iterator[tup
             at, nth = at + RECORD + captured, nth + 1
 
 
-def read_index(spark_free_path: str) -> list[dict]:
+def read_index(table: str) -> list[dict]:
     """The rows of a table of :func:`split_index`, one for each range, for the planning of a scan."""
     import pyarrow.parquet as pq
 
-    fs, path = open_store(spark_free_path)
+    fs, path = open_store(table)
     return sorted(pq.read_table(path, filesystem=fs).to_pylist(), key=lambda r: (r["file_seq"], r["nth"]))

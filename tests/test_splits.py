@@ -82,7 +82,7 @@ def test_guesses_are_found_in_plain_files(tmp_path):
     path = tmp_path / "x.pcap"
     path.write_bytes(data)
     with pafs.LocalFileSystem().open_input_file(str(path)) as f:
-        window = splits.Window4(f, len(data))
+        window = splits.FileWindow(f, len(data))
         leave = 24
         for begin in range(0, len(data), 100_000):
             stop = min(len(data), begin + 100_000)
