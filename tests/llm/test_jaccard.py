@@ -150,3 +150,25 @@ def test_pruning_keeps_pairs_at_the_threshold():
     least = jaccard.least_agreements(0.8, 1e-6)
     assert least[12] < 12 * 0.8 and least[jaccard.VALUES] < jaccard.VALUES * 0.8
     assert all(least[n] >= 0 for n in range(jaccard.VALUES + 1))
+
+
+def test_edges_of_dense_groups_are_thinned(spark):
+    from packetloom.llm.components import connected_components, tied_to_least
+
+    # 400 nodes, each tied to 25 lesser ones of a core of 40, beside a path and a few pairs
+    rng = random.Random(3)
+    pairs = [(100 + i, c) for i in range(400) for c in rng.sample(range(40), 25)] + [(2000 + i, 2001 + i) for i in range(60)] + [(3001, 3000), (3000, 3001), (3005, 3005)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert tied_to_least(tied_to_least(edges)).count() < 700 < len(pairs)
+    root = {n: n for p in pairs for n in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {n: find(n) for n in root if n != 3005}
+    assert {r.node: r.label for r in connected_components(edges).collect()} == want
