@@ -73,7 +73,7 @@ class CaptureReader(DataSourceReader):
 
     def partitions(self):
         split: dict[int, list[CaptureFile]] = {}
-        for r in splits.read_index(self.index) if self.index else []:
+        for r in splits.joined(splits.read_index(self.index)) if self.index else []:
             part = None if r["error"] else splits.SplitRange(r["entry"], r["leave"], r["first"])
             split.setdefault(r["file_seq"], []).append(CaptureFile(r["file_seq"], r["path"], r["size"], r["target"], part, r["error"]))
         files = [f for seq, path, target, size, _ in list_captures(self.paths) for f in split.get(seq) or [CaptureFile(seq, path, size, target)]]

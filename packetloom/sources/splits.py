@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ def walk(window: FileWindow, at: int, stop: int, order: str) -> tuple[int, int]:
 def guess(window: FileWindow, begin: int, stop: int, order: str, per_second: int) -> int | None:
     """The first place in a range from which a chain of plausible records begins, if there is one."""
     for base in range(begin, stop, _WINDOW - 64):
-        data = window.file.read_at(min(_WINDOW, window.size - base), base)
+        data = window.at(base, min(_WINDOW, stop - base + 64))
         found = []
         for shift in range(4):
             words = np.frombuffer(data, f"{order}u4", max(0, (len(data) - shift) // 4), shift)
@@ -95,33 +96,40 @@ def _plausible(window: FileWindow, at: int, order: str, per_second: int) -> bool
     return True
 
 
-def _walked(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Entry, leave, packets and error of each range; one with an ``entry`` is walked from there, one without from a guess."""
-    out = []
-    for r in rows.to_pylist():
-        fs, path = open_store(r["target"])
-        with fs.open_input_file(r["path"]) as file:
-            window = FileWindow(file, r["size"])
-            magic = window.at(0, 4)
-            order, per_usec = CLASSIC[magic]
-            entry, leave, n, error = r["entry"], None, 0, None
-            if entry is None:
-                entry = HEADER if r["nth"] == 0 else guess(window, r["begin"], r["stop"], order, per_usec * 1_000_000)
-            if entry is not None:
-                try:
-                    if r["nth"] == 0:
-                        classic_header(window.at(4, 20), magic)
-                    leave, n = walk(window, entry, r["stop"], order)
-                except CaptureError as e:
-                    error = str(e)
-        out.append({**r, "entry": entry, "leave": leave, "packets": n, "error": error})
-    return pa.RecordBatch.from_pylist(out, schema=rows.schema)
+def _walked(r: dict, window: FileWindow, magic: bytes) -> dict:
+    """A range with its entry, leave, packets and error; one with an ``entry`` is walked from there, one without from a guess."""
+    order, per_usec = CLASSIC[magic]
+    entry, leave, n, error = r["entry"], None, 0, None
+    if entry is None:
+        entry = HEADER if r["nth"] == 0 else guess(window, r["begin"], r["stop"], order, per_usec * 1_000_000)
+    if entry is not None:
+        try:
+            if r["nth"] == 0:
+                classic_header(window.at(4, 20), magic)
+            leave, n = walk(window, entry, r["stop"], order)
+        except CaptureError as e:
+            error = str(e)
+    return {**r, "entry": entry, "leave": leave, "packets": n, "error": error}
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of a file that follow one another share its window, so bytes are read once however short the ranges are."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield _walked(batch.slice(i, 1))
+        out = []
+        for path, own in groupby(batch.to_pylist(), key=lambda r: r["path"]):
+            own = list(own)
+            fs, _ = open_store(own[0]["target"])
+            with fs.open_input_file(path) as file:
+                magic = file.read_at(4, 0)
+                window = FileWindow(file, own[0]["size"])
+                out += [_walked(r, window, magic) for r in own]
+        yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+
+
+def _dealt(ranges: DataFrame, count: int) -> DataFrame:
+    """Ranges by tasks, at most four for each core; those of a task follow one another."""
+    tasks = min(count, 4 * ranges.sparkSession.sparkContext.defaultParallelism)
+    return ranges.repartitionByRange(tasks, "file_seq", "nth").sortWithinPartitions("file_seq", "nth")
 
 
 def split_index(spark: SparkSession, files: list[tuple[int, str, str, int]], split_bytes: int) -> str:
@@ -137,7 +145,7 @@ def split_index(spark: SparkSession, files: list[tuple[int, str, str, int]], spl
     ranges = ranges.select("*", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("long").alias("leave"), F.lit(0).cast("long").alias("packets"), F.lit(None).cast("string").alias("error"))
     count = sum((size - 1) // split_bytes + 1 for *_, size in files)
     by_file = Window.partitionBy("file_seq").orderBy("nth")
-    ranges = stage(ranges.repartition(count).mapInArrow(_walks, RANGE), "ranges")
+    ranges = stage(_dealt(ranges, count).mapInArrow(_walks, RANGE), "ranges")
     while True:
         due = F.when(F.col("nth") == 0, F.lit(HEADER)).otherwise(F.lag("leave").over(by_file))
         held = ranges.withColumn("due", due)
@@ -147,7 +155,7 @@ def split_index(spark: SparkSession, files: list[tuple[int, str, str, int]], spl
         n = again.count()
         if not n:
             break
-        ranges = stage(held.where(~wrong).drop("due").unionByName(again.repartition(n).mapInArrow(_walks, RANGE)), "ranges")
+        ranges = stage(held.where(~wrong).drop("due").unionByName(_dealt(again, n).mapInArrow(_walks, RANGE)), "ranges")
     path = new_path(spark, "splits")
     first = F.coalesce(F.sum("packets").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     good = ranges.withColumn("first", first).withColumn("failed", F.first("error", ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -180,6 +188,19 @@ def packets(target: str, path: str, size: int, part: SplitRange) -> Iterator[tup
             at, nth = at + RECORD + captured, nth + 1
 
 
+def joined(ranges: list[dict], most: int = 256) -> list[dict]:
+    """Ranges in order, with neighbours of a file made one, so that about ``most`` are left of any number; none grows beyond 128 MiB for it."""
+    share = min(sum((r["leave"] or 0) - (r["entry"] or 0) for r in ranges if not r["error"]) // most, 128 << 20)
+    out: list[dict] = []
+    for r in ranges:
+        last = out[-1] if out else None
+        if last and not last["error"] and not r["error"] and last["file_seq"] == r["file_seq"] and last["leave"] == r["entry"] and r["leave"] - last["entry"] <= share:
+            out[-1] = {**last, "leave": r["leave"], "packets": last["packets"] + r["packets"]}
+        else:
+            out.append(r)
+    return out
+
+
 def read_index(table: str) -> list[dict]:
     """The rows of a table of :func:`split_index`, one for each range, for the planning of a scan."""
     import pyarrow.parquet as pq

@@ -90,3 +90,33 @@ def test_guesses_are_found_in_plain_files(tmp_path):
                 assert splits.guess(window, begin, stop, "<", 1_000_000) == leave
             leave, _ = splits.walk(window, leave, stop, "<")
         assert leave == len(data)
+
+
+def test_reads_and_tasks_do_not_grow_with_the_number_of_ranges(spark, tmp_path, monkeypatch):
+    """Short ranges of one task share what is read of a file, and are scanned in a bounded number of partitions."""
+    reads = []
+
+    class Counted:
+        def __init__(self, data):
+            self.data = data
+
+        def read_at(self, n, at):
+            reads.append(n)
+            return self.data[at : at + n]
+
+    record = struct.pack("<IIII", 1000, 5, 40, 40) + bytes(40)
+    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + record * 4000
+    window = splits.FileWindow(Counted(data), len(data))
+    at, total = splits.HEADER, 0
+    for begin in range(0, len(data), 1000):
+        stop = min(len(data), begin + 1000)
+        if begin:
+            assert splits.guess(window, begin, stop, "<", 1_000_000) == (at if at < stop else None)
+        at, n = splits.walk(window, at, stop, "<")
+        total += n
+    assert total == 4000 and sum(reads) < 3 * len(data)
+
+    ranges = [{"file_seq": i // 3000, "entry": 100 * (i % 3000), "leave": 100 * (i % 3000) + 100, "first": i % 3000, "packets": 1, "error": None} for i in range(9000)]
+    made = splits.joined(ranges)
+    assert len(made) < 300 and sum(r["packets"] for r in made) == 9000
+    assert splits.joined(ranges[:10]) == ranges[:10]
