@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.binary import has_bit, ipv4, ipv6, part, u8, uint_be
@@ -166,6 +166,12 @@ def _body_columns(gateway: int) -> dict[str, Column]:
     return {"src_ip": text(12, 8), "dst_ip": text(16, 24), "src_key": key(12, 8), "dst_key": key(16, 24), "payload": payload, "arp": F.when(F.col("kind") == "arp", arp)}
 
 
+def _small_methods(spark: SparkSession) -> None:
+    """The JVM interprets methods above 8,000 bytes for ever; with this limit Spark makes smaller ones of the decoder."""
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def decode(raw: DataFrame) -> DataFrame:
     """Add decoded columns to rows with ``datalink`` and ``data``.
 
@@ -173,6 +179,7 @@ def decode(raw: DataFrame) -> DataFrame:
     (17 bytes that sort like addresses, IPv4 first), protocol, src_port, dst_port, seq,
     syn, ack, fin, rst, payload for IP; an ``arp`` struct for ARP.
     """
+    _small_methods(raw.sparkSession)
     heads = _headers(raw)
     # A generator of one row: filters on kinds, protocols and ports stay above it. Pushed below,
     # each would carry the whole decoder with it. Addresses, payloads and ARP fields are

@@ -47,6 +47,10 @@ def flow_key(src_key: Column, src_port: Column, dst_key: Column, dst_port: Colum
 KEY = ["lower_key", "lower_port", "upper_key", "upper_port"]
 
 
+#: What flows and streams take of decoded packets.
+NEEDED = ["order", "ts", "kind", "protocol", "src_ip", "dst_ip", "src_key", "dst_key", "src_port", "dst_port", "seq", "syn", "ack", "fin", "rst", "payload"]
+
+
 def address(key: Column) -> Column:
     """The address of an end as text, from its bytes behind their version."""
     return F.when(F.octet_length(key) == 5, ipv4(part(key, 1, 4))).otherwise(ipv6(part(key, 1, 16)))

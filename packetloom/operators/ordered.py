@@ -8,6 +8,7 @@ rows are never gathered, so one that holds a third of all rows costs time, not m
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,20 +28,22 @@ def ordered_map(df: DataFrame, keys: list[str], order: list[str], run: Callable[
     arrow = to_arrow_schema(fields)
     rows_of = df if placed else df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
 
+    key_of = itemgetter(*keys) if len(keys) > 1 else lambda row: (row[keys[0]],)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
+        rows = (row for batch in batches for row in _dicts(batch))
         current = next(rows, None)
         out: list[tuple] = []
         size = 0
 
         def group(key: tuple) -> Iterator[dict]:
             nonlocal current
-            while current is not None and tuple(current[k] for k in keys) == key:
+            while current is not None and key_of(current) == key:
                 row, current = current, next(rows, None)
                 yield row
 
         while current is not None:
-            key = tuple(current[k] for k in keys)
+            key = key_of(current)
             mine = group(key)
             for made in run(key, mine):
                 out.append(made)
@@ -56,6 +59,19 @@ def ordered_map(df: DataFrame, keys: list[str], order: list[str], run: Callable[
     return rows_of.mapInArrow(work, fields)
 
 
+def _values(column: pa.Array) -> list:
+    """A column's Python values, as ``to_pylist`` gives them but without a scalar object for each where the type allows it."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or not column.null_count and (pa.types.is_integer(kind) or pa.types.is_boolean(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
+    names = batch.schema.names
+    return (dict(zip(names, values)) for values in zip(*map(_values, batch.columns)))
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 

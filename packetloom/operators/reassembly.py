@@ -170,8 +170,10 @@ class Flow:
         if outcome == "limit" and left:
             stats["segments_overlaps"] += 1
             stats["segments_inserted"] += 1
-        for f in _findings(self.config, own, outcome, p, direction, ports):
-            yield f | {"p": p, "what": "finding"}
+        c = self.config
+        if outcome in ("conflict", "cut") or own.overlaps > c.overlap_threshold or own.small_run > c.small_threshold or own.outside > c.out_of_window_threshold:
+            for f in _findings(c, own, outcome, p, direction, ports):
+                yield f | {"p": p, "what": "finding"}
         for at, chunk in own.ready():
             stats["bytes_reassembled"] += len(chunk)
             if self.route is None and self.looks < ATTEMPTS:
