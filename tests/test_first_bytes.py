@@ -15,7 +15,7 @@ def tables(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["modbus_counts", "modbus_findings", "modbus_function_codes"])
+@pytest.mark.parametrize("name", ["modbus_counts", "modbus_findings", "modbus_function_codes", "modbus_units"])
 def test_streams_that_begin_like_tls_match_sql(spark, tables, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tables}/events.parquet')")
