@@ -152,8 +152,10 @@ def top(found: DataFrame, column: str, n: int = 20) -> DataFrame:
 MOST_KEYS = 50_000
 
 
-def first_keys(values: DataFrame, order: list[str], most: int = MOST_KEYS) -> DataFrame:
-    """``field``, ``value``, ``n`` of ``values`` (field, value, ``order``): of each field the ``most`` values that occur first."""
+def first_keys(values: DataFrame, order: list[str], most: int | None = MOST_KEYS) -> DataFrame:
+    """``field``, ``value``, ``n`` of ``values`` (field, value, ``order``): of each field the ``most`` values that occur first, or all (None)."""
+    if most is None:
+        return values.groupBy("field", "value").agg(F.count("*").alias("n"))
     seen = values.groupBy("field", "value").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
     # Fields are few; more than ``most`` values of one are put in order within tasks before they meet.
     w = Window.partitionBy("field", "_part").orderBy("_first")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from packetloom.functions.binary import hex_of
 
 from .findings import finding, rows
 from .flows import KEY
-from .http import first_keys
+from .http import MOST_KEYS, first_keys
 from .ordered import ordered_map
 from .reassembly import CLIENT, SERVER
 from .suites import suites
@@ -140,8 +140,10 @@ def hellos(routed: DataFrame) -> DataFrame:
     return ordered_map(mine, [*KEY, "inst"], ["ip_idx", "sub"], run, SCHEMA)
 
 
-def no_grease(values: Column) -> Column:
-    """Without reserved values of the form 0x?A?A, the halves not necessarily equal."""
+def no_grease(values: Column, reserved: Collection[int] | None = None) -> Column:
+    """Without ``reserved`` values; None: those of the form 0x?A?A, the halves not necessarily equal."""
+    if reserved is not None:
+        return F.filter(values, lambda v: ~v.isin(*reserved))
     return F.filter(values, lambda v: v.bitwiseAND(F.lit(0x0F0F)) != 0x0A0A)
 
 
@@ -149,13 +151,13 @@ def _dashed(values: Column) -> Column:
     return F.array_join(values.cast("array<string>"), "-")
 
 
-def ja3(version: Column, ciphers: Column, extensions: Column, curves: Column, formats: Column) -> Column:
-    """The text whose MD5 is the client's fingerprint."""
-    return F.concat_ws(",", version.cast("string"), *[_dashed(no_grease(x)) for x in (ciphers, extensions, curves)], _dashed(formats))
+def ja3(version: Column, ciphers: Column, extensions: Column, curves: Column, formats: Column, reserved: Collection[int] | None = None) -> Column:
+    """The text whose MD5 is the client's fingerprint; ``reserved`` as in :func:`no_grease`."""
+    return F.concat_ws(",", version.cast("string"), *[_dashed(no_grease(x, reserved)) for x in (ciphers, extensions, curves)], _dashed(formats))
 
 
-def ja3s(version: Column, cipher: Column, extensions: Column) -> Column:
-    return F.concat_ws(",", version.cast("string"), cipher.cast("string"), _dashed(no_grease(extensions)))
+def ja3s(version: Column, cipher: Column, extensions: Column, reserved: Collection[int] | None = None) -> Column:
+    return F.concat_ws(",", version.cast("string"), cipher.cast("string"), _dashed(no_grease(extensions, reserved)))
 
 
 #: Registered names; any other suite is shown as 0x....
@@ -221,20 +223,20 @@ def detect(found: DataFrame) -> DataFrame:
     ])
 
 
-def fingerprints(found: DataFrame) -> DataFrame:
-    """``at``, ``ja3`` or ``ja3s`` and their MD5 of each hello."""
-    text = F.when(F.col("what") == "client", ja3(F.col("version"), F.col("ciphers"), F.col("extensions"), F.col("curves"), F.col("point_formats"))).when(F.col("what") == "server", ja3s(F.col("version"), F.get("ciphers", F.lit(0)), F.col("extensions")))
+def fingerprints(found: DataFrame, reserved: Collection[int] | None = None) -> DataFrame:
+    """``at``, ``ja3`` or ``ja3s`` and their MD5 of each hello; ``reserved`` as in :func:`no_grease`."""
+    text = F.when(F.col("what") == "client", ja3(F.col("version"), F.col("ciphers"), F.col("extensions"), F.col("curves"), F.col("point_formats"), reserved)).when(F.col("what") == "server", ja3s(F.col("version"), F.get("ciphers", F.lit(0)), F.col("extensions"), reserved))
     return found.where(F.col("what").isin("client", "server")).select("at", "sub", "what", text.alias("text"), F.md5(text.cast("binary")).alias("hash"))
 
 
-def counts(found: DataFrame) -> DataFrame:
-    """``field``, ``value``, ``n``: every counter of the summary, one row for each value."""
+def counts(found: DataFrame, most: int | None = MOST_KEYS, reserved: Collection[int] | None = None) -> DataFrame:
+    """``field``, ``value``, ``n``: every counter of the summary, one row for each value; ``most`` as in :func:`first_keys`, ``reserved`` as in :func:`no_grease`."""
     hello = found.where(F.col("what").isin("client", "server"))
-    prints = fingerprints(found).select("at", "sub", F.when(F.col("what") == "client", "ja3_hashes").otherwise("ja3s_hashes").alias("field"), F.col("hash").alias("value"))
+    prints = fingerprints(found, reserved).select("at", "sub", F.when(F.col("what") == "client", "ja3_hashes").otherwise("ja3s_hashes").alias("field"), F.col("hash").alias("value"))
     versions = hello.select("at", "sub", F.lit("tls_versions").alias("field"), F.col("version").cast("string").alias("value"))
     chosen = found.where("what = 'server'").select("at", "sub", F.lit("cipher_suites").alias("field"), cipher_name(F.get("ciphers", F.lit(0))).alias("value"))
     names = found.where("what = 'client' AND sni IS NOT NULL").select("at", "sub", F.lit("snis").alias("field"), sni_key(F.col("sni")).alias("value"))
     labels = F.create_map(*[F.lit(x) for x in ("client", "handshakes", "error", "parse_errors", "truncated", "truncated_records", "overflow", "handshake_reassembly_overflows", "saturated", "buffer_saturation_drops")])
     events = found.where("what <> 'server'").select(F.lit("counters").alias("field"), labels[F.col("what")].alias("value"))
-    values = first_keys(prints.unionByName(versions).unionByName(chosen).unionByName(names), ["at", "sub"])
+    values = first_keys(prints.unionByName(versions).unionByName(chosen).unionByName(names), ["at", "sub"], most)
     return values.unionByName(events.groupBy("field", "value").agg(F.count("*").alias("n")))
